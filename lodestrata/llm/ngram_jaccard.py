@@ -339,5 +339,16 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     )
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The row of the smallest doc_id of each component, with all columns of docs; one row for each doc_id that stays.
+
+    Rows without a doc_id all stay.
+    """
+    groups = ngram_jaccard_join(docs, words, percent)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    stay = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, percent=90)
