@@ -75,7 +75,8 @@ def find_cycles(edges: DataFrame, local: int | None = None) -> DataFrame:
         def run(frames):
             rows = [x for f in frames for x in zip(f["a"], f["b"])]
             groups = _strong(rows)
-            yield pd.DataFrame({"nodes": groups, "size": [len(g) for g in groups]})
+            if groups:
+                yield pd.DataFrame({"nodes": groups, "size": [len(g) for g in groups]})
 
         return loops.unionByName(pairs.coalesce(1).mapInPandas(run, f"nodes array<{kind}>, size long"))
     comp = strong_components(pairs)
@@ -146,7 +147,8 @@ def entry_depths(nodes: DataFrame, edges: DataFrame, local: int | None = None) -
                         if y not in at:
                             at[y] = at[x] + 1
                             todo.append(y)
-            yield pd.DataFrame({"id": list(deep), "depth_from_entry": list(deep.values())})
+            if deep:
+                yield pd.DataFrame({"id": list(deep), "depth_from_entry": list(deep.values())})
 
         depth = pairs.unionByName(roots).coalesce(1).mapInPandas(run, f"id {nodes.schema['id'].dataType.simpleString()}, depth_from_entry int")
     else:

@@ -101,7 +101,8 @@ def commands(texts: DataFrame) -> DataFrame:
 
         for f in frames:
             rows = [(n, c, s) for p, t in zip(f["path"], f["content"]) for n, c, s in _commands(p, t or "")]
-            yield pd.DataFrame(rows, columns=["name", "command", "source"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["name", "command", "source"])
 
     found = texts.select("path", "content").mapInPandas(run, "name string, command string, source string")
     return found.withColumn("purpose", purpose(F.col("name"), F.col("command")))

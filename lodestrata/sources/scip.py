@@ -121,7 +121,8 @@ def read_indexes(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
         def run(frames):
             for f in frames:
                 for content in f["content"]:
-                    yield pd.DataFrame(list(rows(bytes(content))), columns=names).astype({n: "Int32" for n in names if n.endswith(("_line", "_char")) or n in ("occ", "kind")})
+                    if found := list(rows(bytes(content))):
+                        yield pd.DataFrame(found, columns=names).astype({n: "Int32" for n in names if n.endswith(("_line", "_char")) or n in ("occ", "kind")})
         return run
 
     occ_names = [c.split()[0] for c in RELATIONS["occurrences"].split(", ")]
