@@ -2,8 +2,8 @@
 
 A word that may be disguised (leet digits and signs, letters set apart, repeated letters) becomes a lattice of what each
 character may stand for; Viterbi decoding finds the likeliest reading under a language model of characters that was
-counted over all documents. The text with these readings is scored by a logistic model over words and word beginnings
-that tell the labels apart.
+counted over all documents. The text with these readings is scored by a decision list over words and word
+beginnings that tell the labels apart.
 
 Passes: (1) counts of four characters in a row over all documents; (2) words of labelled documents, counted by label;
 (3) the chosen features of all documents, written narrow; the model is fitted on the labelled ones and applied.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import save, ship, table
-from lodestrata.llm.words import BLANKS, BYTES, LOWER, column_bytes, mix, slices, word_hashes
+from lodestrata.llm.words import BLANKS, BYTES, LOWER, SLICE, column_bytes, mix, slices, word_hashes
 
 #: Labelled rows that the model is fitted on at most (those of the smallest hashes), and features that it has at most.
 SAMPLE, FEATURES = 20_000, 256
@@ -28,8 +28,8 @@ SAMPLE, FEATURES = 20_000, 256
 DISTANCE, SUPPORT = 6.5, 5
 #: Bytes of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
-#: Strength of the pull of the model's weights to 0.
-RIDGE = 0.3
+#: Standard errors below its precision at which a feature is ranked, and documents that its precision counts as.
+DOUBT, DRAW = 1.5, 4.0
 THRESHOLD = 0.3
 #: What characters may stand for, as fixed values.
 LEET = {
@@ -188,19 +188,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a logistic model (the last is the constant) by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    pull = np.full(x.shape[1], RIDGE)
-    pull[-1] = 1e-3
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (p - y) + pull * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+def fit(found: list[list[int]], toxic: np.ndarray, n: int) -> tuple[list[int], list[float]]:
+    """A decision list over n features: (place of each feature, score of each place; the last place is for none).
+
+    Features are ranked by the lower bound of their precision; a text is judged by the best that it has. A place's score is
+    the toxic rate of the texts that it judges, drawn to the feature's own precision where these are few.
+    """
+    has = np.zeros((2, n))
+    for f, y in zip(found, toxic.tolist()):
+        has[y, f] += 1
+    total = has.sum(0)
+    rate = (has[1] + 0.5) / (total + 1)
+    low = rate - DOUBT * np.sqrt(rate * (1 - rate) / (total + 1))
+    order = np.argsort(-low, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    judged = np.zeros((2, n + 1))
+    for f, y in zip(found, toxic.tolist()):
+        judged[y, place[f].min() if f else n] += 1
+    prior = np.append(rate[order], toxic.mean() / 10 if len(toxic) else 0.0)
+    return place.tolist(), ((judged[1] + DRAW * prior) / (judged.sum(0) + DRAW)).tolist()
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -223,7 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def count(batches):
         total = np.zeros(N**4, np.int64)
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             total += count_symbols(b.column("text"))
         at = np.flatnonzero(total)
         yield pa.record_batch({"cell": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
@@ -239,7 +246,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return decoder.made
 
     def words(batches):
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             h, doc = text_features(b.column("text"), decoder())
             y = b.column("toxic").to_numpy()
             seen = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)
@@ -265,7 +272,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         chosen = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
 
     def hits(batches):
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             found: list[list[int]] = [[] for _ in range(b.num_rows)]
             if len(chosen):
                 h, doc = text_features(b.column("text"), decoder())
@@ -276,25 +283,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": b.column("doc_id"), "found": pa.array(found, pa.list_(pa.int32()))})
 
     rows = save(texts.mapInArrow(hits, "doc_id long, found array<int>"), "features")
-    weights, constant = np.zeros(0), float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
+    score = F.lit(rate)
     if len(chosen):
-        # Rows that look alike are fitted once, with their number; SAMPLE documents at most.
-        fitted = rows.join(F.broadcast(sample), "doc_id").select("found", "toxic").collect()
-        x = np.zeros((len(fitted), len(chosen)))
-        for i, r in enumerate(fitted):
-            x[i, r.found] = 1
-        w = fit(x, np.array([r.toxic for r in fitted], float))
-        weights, constant = w[:-1], float(w[-1])
-    table_ = F.array(*[F.lit(float(x)) for x in weights]) if len(weights) else None
-    z = F.lit(constant) if table_ is None else F.aggregate("found", F.lit(constant), lambda s, i: s + F.element_at(table_, i + 1))
-    score = F.lit(rate) if table_ is None else 1 / (1 + F.exp(-z))
+        fitted = rows.join(F.broadcast(sample), "doc_id").select("found", "toxic").collect()  # SAMPLE documents at most
+        place, scores = fit([r.found for r in fitted], np.array([r.toxic for r in fitted], int), len(chosen))
+        of = F.array(*[F.lit(p) for p in place])
+        best = F.coalesce(F.array_min(F.transform("found", lambda i: F.element_at(of, i + 1))), F.lit(len(chosen)))
+        score = F.element_at(F.array(*[F.lit(float(x)) for x in scores]), best.cast("int") + 1)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.cast("double").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all columns; rows without a doc_id stay."""
-    bad = score_toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    bad = save(score_toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct(), "toxic")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
