@@ -17,5 +17,23 @@ r AS (SELECT rep AS v, rep AS u FROM c UNION SELECT r.v, e.y FROM r JOIN e ON e.
 m AS (SELECT v, min(u) AS component_id FROM r GROUP BY 1)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
 FROM s LEFT JOIN c ON len(s.sh) > 0 AND c.node = md5(array_to_string(list_sort(s.sh), chr(10))) LEFT JOIN m ON m.v = c.rep
+""",
+    "op1_chat_formatting": r"""
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS n_calls,
+  CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_invalid, CAST(NULL AS VARCHAR) AS call_id, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json
+FROM conversations
+""",
+    "op5_benchmark_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS g
+      FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+s AS (SELECT DISTINCT n FROM w),
+g AS (SELECT doc_id, s.n AS n, i, array_to_string(ws[i : i + s.n - 1], ' ') AS g FROM (SELECT doc_id, ws, s.n, unnest(range(1, len(ws) - s.n + 2)) AS i FROM d, s WHERE len(ws) >= s.n) s),
+h AS (SELECT doc_id, item_id, i, g.n FROM g JOIN w ON g.g = w.g AND g.n = w.n),
+p AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
+q AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """,
 }
