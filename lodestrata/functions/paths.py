@@ -31,17 +31,6 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def _any(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
-
-
-def _ends(c: Column, suffixes) -> Column:
-    return _any([c.endswith(s) for s in suffixes])
-
-
 def language(path: Column) -> Column:
     """Language of a path by its extension; null where it isn't known."""
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
@@ -59,19 +48,18 @@ def group_key(path: Column, depth: int) -> Column:
     return F.when(F.size(s) == 1, "(root)").otherwise(F.array_join(F.slice(s, F.lit(1), n), "/"))
 
 
+def _alternatives(names) -> str:
+    return "|".join(map(re.escape, names))
+
+
 def is_entry_point(path: Column) -> Column:
-    name = F.lower(basename(path))
-    return name.isin(*ENTRY_NAMES) | name.contains(".config.") | name.contains(".setup.") | _ends(name, ENTRY_SUFFIXES) | name.startswith("test_")
+    """One pattern, so that the path's own expression is evaluated once."""
+    ends = "|".join(re.escape(x) for x in ENTRY_SUFFIXES)
+    return F.lower(path).rlike(rf"(?:^|/)(?:{_alternatives(ENTRY_NAMES)})$|\.(?:config|setup)\.[^/]*$|(?:{ends})$|(?:^|/)test_[^/]*$")
 
 
 def is_test_file(path: Column) -> Column:
-    parts = F.split(F.lower(path), "/")
-    name = F.element_at(parts, -1)
-    dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return (
-        (name == "conftest.py") | (name.startswith("test_") & name.endswith(".py")) | _ends(name, TEST_SUFFIXES)
-        | F.arrays_overlap(dirs, F.array(*map(F.lit, TEST_DIRS)))
-    )
+    return F.lower(path).rlike(rf"(?:^|/)(?:{_alternatives(TEST_DIRS)})/|(?:^|/)conftest\.py$|(?:^|/)test_[^/]*\.py$|(?:{_alternatives(TEST_SUFFIXES)})$")
 
 
 #: Files that nothing imports but that aren't dead: roots of crates and packages, tests, benches, examples.

@@ -13,6 +13,7 @@ from lodestrata.functions import paths, scores
 from lodestrata.functions.text import simple_tokens
 from lodestrata.operators import fleet, graph, history, metrics, rules, search, state, symbols, testmap
 from lodestrata.plans.proxies import Source, lang, path, sql
+from lodestrata.storage import saved
 from lodestrata.streaming import watch
 
 AS_OF = datetime(2001, 11, 4)
@@ -405,8 +406,6 @@ def q4_flow(s):
 
 
 def _walk(s, side: str, backwards: bool) -> DataFrame:
-    from lodestrata.storage import saved
-
     calls = saved(symbols.call_edges(symbols.enclosing(s.occurrences)), "calls")
     root = calls.where("callee LIKE 'order%'").agg(F.min(side)).first()[0]
     found = symbols.walk(calls, root, backwards, 3) if root else {"nodes": []}
@@ -439,7 +438,7 @@ def x2_window_chunks(s):
 
 def _bm25(s, k=50) -> DataFrame:
     chunks = _chunks(s)
-    index = search.postings(chunks.withColumn("name", F.lit("")), simple_tokens)
+    index = saved(search.postings(chunks.withColumn("name", F.lit("")), simple_tokens), "postings")  # an index is stored
     return search.bm25(index, ["the", "idiot", "of", "que"], chunks.count(), k, {"content": 1.0})
 
 
