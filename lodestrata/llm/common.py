@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -36,6 +37,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are written and no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes what save() wrote, once nothing lazy refers to it."""
     for df in frames:

@@ -5,8 +5,9 @@ similarity reaches the threshold differ in so few n-grams that at least two of e
 so fragments that are alike (never single frequent n-grams) bring candidates together. Each candidate family is then
 compared fragment by fragment: partial overlaps are counted separately and summed per pair, and the sum decides.
 
-Stages: (A) each text to (size, hash of its set): equal sets are one node from here on. (B) fragment keys, dealt out by
-key; nodes of one key are tied to the first of them (a star, not pairs). Each task first ties the nodes that it sees
+Stages: (A) each text to (size, hash of its set): equal sets are one node from here on. (B) Where fragments
+are short, only sets that share enough of their n-grams with any other set go on: n-grams are dealt out by ranges of the
+order, uses are counted in each range separately and summed per set. Then fragment keys, dealt out by key; nodes of one key are tied to the first of them (a star, not pairs). Each task first ties the nodes that it sees
 itself, so a key that a third of all rows share reaches the shuffle once a task. (C) families, cut in blocks of bounded
 size; a task compares two blocks and returns a spanning forest of the links that it found.
 """
@@ -21,11 +22,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import components, release, save, ship, table
-from lodestrata.llm.words import BLANKS, mix, slices, text_shingles
+from lodestrata.llm.common import components, release, save, ship, table, tidy
+from lodestrata.llm.words import BLANKS, lean, mix, slices, text_shingles
 
 #: Sizes of one scheme of cuts differ by this ratio at most.
 RATIO = 1.3
@@ -33,6 +35,10 @@ RATIO = 1.3
 BLOCK_DOCS, BLOCK_NGRAMS = 2048, 1_000_000
 #: Vertical fragments that a family's n-grams are cut into when overlaps are counted.
 FRAGMENTS = 4
+#: N-grams that a fragment holds at least on average where candidates need no other proof than one fragment.
+LONG = 8
+#: N-grams that a task holds before it deals them out; uses are counted by so many bits of their hashes.
+CHUNK, BITS = 1_000_000, 48
 #: log2 of the bits of the filter that picks the texts of candidates.
 FILTER_BITS = 22
 BOUNDS = [1]
@@ -95,7 +101,7 @@ def _set_rows(words: int):
 HELD = 1_000_000
 
 
-def _key_rows(words: int, p: int, q: int):
+def _key_rows(words: int, p: int, q: int, bits: np.ndarray | None):
     """(key, node, first, scheme): first is null for a row that has to meet others, else the tie is found already."""
     def flush(keys, nodes, marks):
         key, node, mark = np.concatenate(keys), np.concatenate(nodes), np.concatenate(marks)
@@ -111,7 +117,7 @@ def _key_rows(words: int, p: int, q: int):
 
     def run(batches):
         keys, nodes, marks, held, seen = [], [], [], 0, set()
-        for b in slices(batches):
+        for b in slices(_passing(batches, bits)):
             for a in text_shingles(b.column("text"), BLANKS, words):
                 if not len(a) or (node := set_hash(a)) in seen:
                     continue
@@ -151,27 +157,144 @@ def _ties(batches):
         yield pa.record_batch({"node": pa.array(node[use]), "first": pa.array(first[use]), "scheme": b.column("scheme").filter(pa.array(use))})
 
 
-def _token_rows(words: int, bits: np.ndarray):
-    """(node, n, tokens) of the texts whose document passes the filter."""
+PIECES = "part int, chunk long, docs int, tokens binary, owners binary, nodes binary, sizes binary"
+
+
+def _range_rows(words: int, parts: int):
+    """A chunk's distinct n-grams by ranges of the order, with the set that each is of (the first of BITS bits count).
+
+    An n-gram that two sets of the chunk have is sent once, with owner 65535; the chunk counts it for its sets itself.
+    """
+    def flush(chunk, sets, nodes):
+        flat = np.concatenate(sets) >> np.uint64(64 - BITS)
+        owner = np.repeat(np.arange(len(sets)), [len(a) for a in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]])
+        many = ~np.concatenate([new[1:], [True]])[np.flatnonzero(new)]
+        first = np.flatnonzero(new)
+        shared = np.repeat(many, np.diff(np.append(first, len(flat))))
+        own = np.bincount(owner[shared], minlength=len(sets)).astype(np.int32)
+        flat, owner = flat[first], np.where(many, 65535, owner[first]).astype(np.uint16)
+        cut = np.searchsorted(flat, np.array([(i << BITS) // parts for i in range(parts + 1)], dtype=np.uint64))
+        sizes = np.array([len(a) for a in sets], np.int64)
+        out = [(-1, own.tobytes(), b"", np.array(nodes, np.uint64).tobytes(), sizes.tobytes())]
+        for i in range(parts):
+            t = flat[cut[i] : cut[i + 1]]
+            if len(t):
+                step = np.diff(t, prepend=t[:1])
+                step = step.astype(np.uint32) if step.max() < 1 << 32 else step
+                out.append((i, t[:1].tobytes() + step.tobytes(), owner[cut[i] : cut[i + 1]].tobytes(), b"", b""))
+        part, tokens, owners, names, ns = zip(*out)
+        return pa.record_batch({
+            "part": pa.array(part, pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int64()), "docs": pa.array([len(sets)] * len(out), pa.int32()),
+            "tokens": pa.array(tokens, pa.binary()), "owners": pa.array(owners, pa.binary()), "nodes": pa.array(names, pa.binary()), "sizes": pa.array(ns, pa.binary()),
+        })
+
     def run(batches):
-        seen = set()
+        chunk, sets, nodes, held, seen = TaskContext.get().partitionId() << 24, [], [], 0, set()
         for b in slices(batches):
-            ids = b.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
-            slot = mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
-            use = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-            if not use.any():
+            for a in text_shingles(b.column("text"), BLANKS, words):
+                if not len(a) or (node := set_hash(a)) in seen:
+                    continue
+                seen.add(node)
+                sets.append(a)
+                nodes.append(node)
+                held += len(a)
+                if held > CHUNK or len(sets) >= 60_000:
+                    yield flush(chunk, sets, nodes)
+                    chunk, sets, nodes, held, seen = chunk + 1, [], [], 0, set()
+        if sets:
+            yield flush(chunk, sets, nodes)
+    return run
+
+
+def _count_shared(batches):
+    """For each chunk the number of its sets' n-grams of one range that another chunk has too. Rows come sorted by part;
+    a range holds a fixed share of the hashes, and of each n-gram one row for each chunk at most."""
+    def count(pieces):
+        flat, cuts = [], [0]
+        for _, _, tokens, owners in pieces:
+            n = len(owners) // 2
+            first = np.frombuffer(tokens[:8], np.uint64)
+            flat.append(np.cumsum(np.frombuffer(tokens[8:], np.uint32 if len(tokens) == 8 + 4 * n else np.uint64), dtype=np.uint64) + first)
+            cuts.append(cuts[-1] + n)
+        flat = np.concatenate(flat)
+        order = np.argsort(flat, kind="stable")
+        same = np.concatenate([[False], flat[order][1:] == flat[order][:-1]])
+        shared = np.zeros(len(flat), bool)
+        shared[order] = same | np.concatenate([same[1:], [False]])
+        for (chunk, docs, _, owners), a, b in zip(pieces, cuts[:-1], cuts[1:]):
+            who = np.frombuffer(owners, np.uint16)
+            yield chunk, docs, np.bincount(who[shared[a:b] & (who != 65535)], minlength=docs).astype(np.uint16 if b - a < 65536 else np.int32).tobytes(), b"", b""
+
+    def out(rows):
+        chunk, docs, counts, names, ns = zip(*rows)
+        return pa.record_batch({"chunk": pa.array(chunk, pa.int64()), "docs": pa.array(docs, pa.int32()), "counts": pa.array(counts, pa.binary()), "nodes": pa.array(names, pa.binary()), "sizes": pa.array(ns, pa.binary())})
+
+    part, pieces = None, []
+    for b in batches:
+        rows = []
+        for r in b.to_pylist():
+            if r["part"] < 0:
+                rows.append((r["chunk"], r["docs"], r["tokens"], r["nodes"], r["sizes"]))
                 continue
-            b = b.filter(pa.array(use))
+            if r["part"] != part and pieces:
+                rows += count(pieces)
+                pieces = []
+            part = r["part"]
+            pieces.append((r["chunk"], r["docs"], r["tokens"], r["owners"]))
+        if rows:
+            yield out(rows)
+    if pieces:
+        yield out(list(count(pieces)))
+
+
+def _sharers(p: int, q: int):
+    """Nodes of sets that share at least p / q of their n-grams. Rows come sorted by chunk."""
+    def pick(total, nodes, sizes):
+        use = q * total >= p * np.frombuffer(sizes, np.int64)
+        return pa.record_batch({"node": pa.array(np.frombuffer(nodes, np.uint64)[use].view(np.int64))})
+
+    def run(batches):
+        chunk, total, nodes, sizes = None, None, b"", b""
+        for b in batches:
+            for r in b.to_pylist():
+                if r["chunk"] != chunk:
+                    if chunk is not None:
+                        yield pick(total, nodes, sizes)
+                    chunk, total = r["chunk"], np.zeros(r["docs"], np.int64)
+                n = len(r["counts"])
+                total += np.frombuffer(r["counts"], np.uint16 if n == 2 * r["docs"] else np.int32)
+                if r["nodes"]:
+                    nodes, sizes = r["nodes"], r["sizes"]
+        if chunk is not None:
+            yield pick(total, nodes, sizes)
+    return run
+
+
+def _passing(batches, bits: np.ndarray | None):
+    """The rows whose doc_id passes a filter; all without one."""
+    for b in batches:
+        if bits is None:
+            yield b
+            continue
+        ids = b.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
+        slot = mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+        yield b.filter(pa.array((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1))
+
+
+def _token_rows(words: int, bits: np.ndarray):
+    """(node, tokens) of texts, each once a task."""
+    def run(batches):
+        seen = set()
+        for b in slices(_passing(batches, bits)):
             found = {}
-            for d, a in zip(b.column("doc_id").to_pylist(), text_shingles(b.column("text"), BLANKS, words)):
-                if len(a) and (key := (d, int(set_hash(a).view(np.int64)))) not in seen:
-                    seen.add(key)
-                    found[key] = a.tobytes()
-            yield pa.record_batch({
-                "doc_id": pa.array([d for d, _ in found], pa.int64()),
-                "node": pa.array([node for _, node in found], pa.int64()),
-                "tokens": pa.array(list(found.values()), pa.binary()),
-            })
+            for a in text_shingles(b.column("text"), BLANKS, words):
+                if len(a) and (node := int(set_hash(a).view(np.int64))) not in seen:
+                    seen.add(node)
+                    found[node] = a.tobytes()
+            yield pa.record_batch({"node": pa.array(list(found), pa.int64()), "tokens": pa.array(list(found.values()), pa.binary())})
     return run
 
 
@@ -295,25 +418,21 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     ship(spark)
     p, q = percent, 100
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = save(texts.mapInArrow(_set_rows(words), "doc_id long, n long, node long"), "sets")
-    tied = texts.mapInArrow(_key_rows(words, p, q), "key long, node long, first long, scheme int")
-    ties = save(
-        tied.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
-        .mapInArrow(_ties, "node long, first long, scheme int").distinct(),
-        "ties",
-    )
+    rows = save(texts.mapInArrow(lean(_set_rows(words)), "doc_id long, n long, node long"), "sets")
+    reps = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    bits = None
+    if q + p < 2 * LONG * (q - p):
+        bits = _filter(reps.join(_near_sets(texts, words, p, q).distinct(), "node", "left_semi"))
+    ties = _tied(texts, words, p, q, bits)
+    tidy(spark)
     # A family lives in one scheme: nodes are named by both.
     family = components(ties.select(F.xxhash64("node", "scheme").alias("u"), F.xxhash64("first", "scheme").alias("v")), "u", "v")
     named = ties.select("node", "scheme").unionByName(ties.select(F.col("first").alias("node"), "scheme")).distinct()
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     member = save(
         named.withColumn("u", F.xxhash64("node", "scheme")).join(family.withColumnRenamed("node", "u"), "u")
         .select("node", F.col("component").alias("family")).join(reps, "node"),
         "members",
     )
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)  # at most so many rows come back
-    for word, value in member.select("doc_id").distinct().mapInArrow(_slots("doc_id"), "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).collect():
-        bits[word] = np.uint64(value & (1 << 64) - 1)
     size = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("ngrams"))
     blocks = size.where("docs > 1").select("family", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("ngrams") / BLOCK_NGRAMS)).alias("s"))
     dealt = (
@@ -322,12 +441,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
         .select("node", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    tokens = texts.mapInArrow(_token_rows(words, bits), "doc_id long, node long, tokens binary").join(member.select("doc_id", "node").distinct(), ["doc_id", "node"])
+    tokens = texts.mapInArrow(lean(_token_rows(words, _filter(member))), "node long, tokens binary")
     links = save(
-        dealt.join(tokens.select("node", "tokens"), "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-        .mapInArrow(_block_links(p, q), "a long, b long"),
+        dealt.join(tokens, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(lean(_block_links(p, q)), "a long, b long"),
         "links",
-    )
+    )
+    tidy(spark)
     found = components(links, "a", "b").withColumnRenamed("component", "c")
     least = reps.join(found, "node", "left").groupBy(F.coalesce("c", "node").alias("c")).agg(F.min("doc_id").alias("component_id"))
     label = reps.select("node").join(found, "node", "left").select("node", F.coalesce("c", "node").alias("c")).join(least, "c").select("node", "component_id")
@@ -344,10 +463,42 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Rows without a doc_id all stay.
     """
-    groups = ngram_jaccard_join(docs, words, percent)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+    groups = save(ngram_jaccard_join(docs, words, percent), "groups")
+    gone = save(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    tidy(docs.sparkSession)
+    stay = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    twice = save(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    if twice.isEmpty():
+        return stay
+    own = stay["doc_id"].cast("long") == twice["_twice"]
+    return stay.join(twice, own, "left_anti").unionByName(stay.join(twice, own, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _near_sets(texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """(node): sets that share p / q of their n-grams at least with others, whichever these are."""
+    spark = texts.sparkSession
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(lean(_range_rows(words, parts)), PIECES).repartition(parts, "part", F.when(F.col("part") < 0, F.col("chunk"))).sortWithinPartitions("part")
+    counts = dealt.mapInArrow(lean(_count_shared), "chunk long, docs int, counts binary, nodes binary, sizes binary")
+    near = save(counts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(_sharers(p, q)), "node long"), "near")
+    del dealt, counts
+    tidy(spark)
+    return near
+
+
+def _tied(texts: DataFrame, words: int, p: int, q: int, bits: np.ndarray | None) -> DataFrame:
+    """(node, first, scheme): nodes that share a fragment key with a first one."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = texts.mapInArrow(lean(_key_rows(words, p, q, bits)), "key long, node long, first long, scheme int").repartition(n, "key").sortWithinPartitions("key", "node")
+    return save(keys.mapInArrow(lean(_ties), "node long, first long, scheme int").distinct(), "ties")
+
+
+def _filter(docs: DataFrame) -> np.ndarray:
+    """Bits that the doc_ids of docs set; as many rows as words of the filter come to the driver at most."""
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for word, value in docs.select("doc_id").distinct().mapInArrow(lean(_slots("doc_id")), "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).collect():
+        bits[word] = np.uint64(value & (1 << 64) - 1)
+    return bits
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
