@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ship, table
-from lodestrata.llm.words import ALNUM, column_bytes, shingle_hashes, slices, word_hashes
+from lodestrata.llm.words import ALNUM, column_bytes, lean, shingle_hashes, slices, word_hashes
 
 WINDOW = 10
 #: Words of a shingle; windows of fewer have one shingle of all their words.
@@ -145,7 +145,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, clean: bool = False) -> Dat
             at = np.flatnonzero(t)
             yield pa.record_batch({"block": pa.array(np.full(len(at), i, np.int32)), "row": pa.array(at), "uses": pa.array(t[at])})
 
-    used = texts.select("text").mapInArrow(count_uses, "block int, row long, uses long").groupBy("block", "row").agg(F.sum("uses").alias("uses"))
+    used = texts.select("text").mapInArrow(lean(count_uses), "block int, row long, uses long").groupBy("block", "row").agg(F.sum("uses").alias("uses"))
     if blocks:
         used = used.persist() if len(blocks) > 1 else used
         for i, (old, n) in enumerate(list(blocks)):
@@ -179,7 +179,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, clean: bool = False) -> Dat
                 "items_sha256": pa.array([sha256(",".join(sorted(x)).encode()).hexdigest() for x in ids]), "contaminated": pa.array(n_hit > 0),
             })
 
-    return texts.mapInArrow(hits, docs.schema if clean else "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return texts.mapInArrow(lean(hits), docs.schema if clean else "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import components, release, save, ship, table
-from lodestrata.llm.words import mix
+from lodestrata.llm.words import lean, mix
 
 #: Width of a quantum, recall at the threshold that the number of tables is made for, and far pairs of a vector in a table.
 WIDTH, RECALL, FAR = 2.0, 0.95, 0.1
@@ -158,7 +158,7 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> Dat
     ship(spark)
     rows = save(
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        .mapInArrow(_class_rows, "vec_id long, key binary, vector binary").withColumn("key", F.when(F.col("vec_id").isNotNull(), F.col("key"))),
+        .mapInArrow(lean(_class_rows), "vec_id long, key binary, vector binary").withColumn("key", F.when(F.col("vec_id").isNotNull(), F.col("key"))),
         "vectors",
     )
     classes = save(
@@ -185,8 +185,8 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> Dat
                 "bucket": pa.array(names.ravel().astype(np.int64)),
             })
 
-    signed = save(classes.select("id", "vector").mapInArrow(named, "id long, names binary"), "names")
-    index = signed.mapInArrow(buckets, "id long, t int, bucket long")
+    signed = save(classes.select("id", "vector").mapInArrow(lean(named), "id long, names binary"), "names")
+    index = signed.mapInArrow(lean(buckets), "id long, t int, bucket long")
     full = index.groupBy("t", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     dealt = (
         index.join(full, ["t", "bucket"]).withColumn("s", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), "s"))
@@ -195,7 +195,7 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> Dat
     )
     found = save(
         dealt.join(classes.select("id", "copies", "vector").join(signed, "id"), "id")
-        .repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "id").mapInArrow(_compare(threshold), "a long, b long, n long"),
+        .repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "id").mapInArrow(lean(_compare(threshold)), "a long, b long, n long"),
         "found",
     )
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ship, table
-from lodestrata.llm.words import slices
+from lodestrata.llm.words import lean, slices
 
 #: Lines of a window, and characters in a window at which text surges.
 WINDOW, SURGE = 3, 80
@@ -216,7 +216,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
             })
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ship, table
 from lodestrata.llm.tokens import encoder, with_end
-from lodestrata.llm.words import slices
+from lodestrata.llm.words import SLICE, lean, slices
 
 LENGTH = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches):
         packer = _Packer(TaskContext.get().partitionId() << 40, with_ids)
-        for b in slices(batches):
+        for b in slices(batches, 2 * SLICE):
             ids, off = with_end(*encoder(path).ids(b.column("text")))
             for doc, a, e in zip(b.column("doc_id").to_pylist(), off[:-1].tolist(), off[1:].tolist()):
                 packer.add(doc, ids[a:e])
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         yield from packer.flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, COLUMNS + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(lean(run), COLUMNS + (", ids array<int>" if with_ids else ""))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window as W
 
 from lodestrata.llm.common import save, ship, table
 from lodestrata.llm.tokens import encoder, with_end
-from lodestrata.llm.words import ODD, slices
+from lodestrata.llm.words import ODD, lean, slices
 
 #: Ids of a block (one document may have more), rounds of replacement, pairs replaced a round, and least uses of a pair.
 BLOCK, ROUNDS, PAIRS, USES = 1_000_000, 3, 1000, 24
@@ -175,7 +175,7 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return save(rows.mapInArrow(_write(path), FORMAT), "tokens")
+    return save(rows.mapInArrow(lean(_write(path)), FORMAT), "tokens")
 
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     starts = blocks.select("shard", "block", "n_ids").join(F.broadcast(base), "shard")  # one row a shard
     starts = starts.select("shard", "block", (F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("before"))
     rows = blocks.join(starts, ["shard", "block"]).select("before", "doc_ids", "doc_tokens", "rules", "symbols")
-    return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ship, table
-from lodestrata.llm.words import slices
+from lodestrata.llm.words import lean, slices
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 #: Fixed patterns of the base kinds, each with the group that is measured and its least length.
@@ -118,7 +118,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             })
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts.mapInArrow(lean(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -139,7 +139,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             i = b.schema.get_field_index("text")
             yield b.set_column(i, b.schema.field(i), pa.array([redacted(t) for t in b.column(i).to_pylist()], b.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import save, ship, table
-from lodestrata.llm.words import BLANKS, BYTES, LOWER, SLICE, column_bytes, mix, slices, word_hashes
+from lodestrata.llm.words import BLANKS, BYTES, LOWER, SLICE, column_bytes, lean, mix, slices, word_hashes
 
 #: Labelled rows that the model is fitted on at most (those of the smallest hashes), and features that it has at most.
 SAMPLE, FEATURES = 20_000, 256
@@ -236,7 +236,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         yield pa.record_batch({"cell": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
     counts = np.zeros(N**4, np.int64)  # as many rows as the model has cells at most
-    for cell, n in texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+    for cell, n in texts.select("text").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
         counts[cell] = n
     model = spark.sparkContext.broadcast(language_model(counts))
 
@@ -265,7 +265,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         p = (F.col("toxic") + F.col("clean")) / F.lit(float(n1 + n0))
         distance = (F.col("toxic") / F.lit(float(n1)) - F.col("clean") / F.lit(float(n0))) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
         best = (
-            known.mapInArrow(words, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+            known.mapInArrow(lean(words), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .where(F.col("toxic") >= SUPPORT).withColumn("distance", distance).where(F.col("distance") >= DISTANCE)
             .orderBy(F.desc("distance"), "feature").limit(FEATURES).collect()
         )
@@ -282,7 +282,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     found[d].append(f)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "found": pa.array(found, pa.list_(pa.int32()))})
 
-    rows = save(texts.mapInArrow(hits, "doc_id long, found array<int>"), "features")
+    rows = save(texts.mapInArrow(lean(hits), "doc_id long, found array<int>"), "features")
     score = F.lit(rate)
     if len(chosen):
         fitted = rows.join(F.broadcast(sample), "doc_id").select("found", "toxic").collect()  # SAMPLE documents at most

@@ -1,0 +1,246 @@
+"""Toxicity, secrets, HTML, embeddings, chat and the pipeline."""
+
+import json
+import random
+import re
+from collections import Counter
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lodestrata.llm import chat, embedding_dedup, html_text, secrets, toxicity
+
+WORDS = "the of and river stone letter window paper garden morning people water travel music number little answer simple country".split()
+BAD = "idiot moron scum worthless pathetic".split()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(WORDS) for _ in range(rng.randrange(20, 60))]
+        toxic = i % 6 == 0
+        for b in rng.sample(BAD, 2) if toxic else ():
+            w.insert(rng.randrange(len(w)), b)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+PLANTED = {2000: "you 1d10t of the river", 2001: "the m0r0n and people", 2002: "water i d i o t garden", 2003: "paper s.c.u.m. morning", 2004: "a worthlesssss answer", 2005: "people are P4THET1C"}
+CLEAN = {3000: "the river and the stone 2024 of v1.2", 3001: "call 555-0134 or mail a.b@example.com", 3002: "a b c d e of music", 3003: "sooo little water!!", 3004: "", 3005: None}
+
+
+def test_toxicity(spark, docs, labelled):
+    rows, labels = labelled
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs(*rows, *PLANTED.items(), *CLEAN.items()), lab).collect()}
+    held = [i for i, _ in rows if got[i].held_out]
+    assert 150 < len(held) < 300
+    assert all(got[i].predicted == dict(labels)[i] for i in held)  # none of these was learned from
+    assert [i for i in PLANTED if not got[i].predicted] == []
+    assert [i for i in CLEAN if got[i].predicted] == []
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+
+
+def test_held_out_labels_arent_read(spark, docs, labelled):
+    rows, labels = labelled
+    a = spark.createDataFrame(labels, "doc_id long, toxic int")
+    b = a.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    score = lambda lab: {r.doc_id: r.score for r in toxicity.score_toxicity(docs(*rows[:300]), lab).collect()}
+    assert score(a) == score(b)
+
+
+def test_toxicity_of_odd_rows(spark, odd, docs):
+    for lab in ([], [(1, 1), (6, 0), (5, None), (None, 1)]):
+        df = spark.createDataFrame(lab, "doc_id long, toxic int")
+        assert toxicity.score_toxicity(odd, df).count() == 11
+        kept = toxicity.drop_toxic(odd, df)
+        assert kept.columns == odd.columns
+    assert toxicity.score_toxicity(docs(), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_decoding_is_the_best_reading():
+    counts = toxicity.count_symbols(pa.array(["the idiot of the river and a moron there"] * 50))
+    model = toxicity.language_model(counts)
+    d = toxicity.Decoder(model)
+    assert d("1d10t") == "idiot"
+    assert d("m0r0n") == "moron"
+    assert d("i d i o t") == "idiot"
+    assert d("idiooot") == "idiot"
+    for word in ("1d0", "th3", "a1"):  # against all readings
+        best = None
+        readings = [("", 0, 0.0)]
+        for options in d.lattice(word):
+            readings = [(t + x, c if s < 0 else c % 784 * 28 + s, v + cost + (0 if s < 0 else d.p[c * 28 + s])) for t, c, v in readings for x, s, cost in options]
+        best = max((v + d.p[c * 28], t) for t, c, v in readings)[1]
+        assert d(word) == best
+
+
+def plain_spans(text):
+    out = []
+    either = "".join
+    key = "|".join(either(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key"))
+    for kind, pattern, group, least in (("assign", rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)):
+        out += [(m.start(), "assign access hex".split().index(kind), m.end(), kind) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return sorted(out)
+
+
+def test_secrets_equal_plain_search(docs):
+    rng = random.Random(4)
+    bits = ["token", "PassWord", "api_key", "APIKEY", "secret", " = ", ": ", '"', "=", "AKIA", "ABCDEF0123456789", "deadbeef", "0123456789abcdef", "x", " ", "\n", "é", "ſecret", "abcdefghijkl", ".", "/", "-"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(40)))) for i in range(600)]
+    for r in secrets.scan_secrets(docs(*rows)).collect():
+        want = plain_spans(dict(rows)[r.doc_id])
+        n = Counter(w[3] for w in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"])
+        assert r.base_sha256 == sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for a, _, b, k in want} <= set(r.spans.split(",") if r.spans else [])
+
+
+def test_weak_parts_need_each_other(docs, odd):
+    bare = "Zx9" + "aB3dEf7hIj" * 3 + "q"
+    rows = {1: f"client_id = acme-7 then {bare} at https://api.example.com/v1", 2: f"only {bare} here", 3: "client_id = acme-7", 4: "see https://api.example.com/v1", 5: "client_id = acme-7" + " pad" * 200 + f" {bare}"}
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs(*rows.items())).collect()}
+    assert [s.split(":")[0] for s in got[1].split(",")] == ["identifier", "secret", "endpoint"]
+    assert {got[i] for i in (2, 3, 4, 5)} == {""}
+    kept = {r.doc_id: r.text for r in secrets.redact_secrets(docs(*rows.items(), (6, None))).collect()}
+    assert bare not in kept[1]
+    assert "[SECRET]" in kept[1]
+    assert kept[2] == rows[2]
+    assert kept[6] is None
+    assert secrets.scan_secrets(odd).where("spans <> ''").count() == 0
+    assert secrets.scan_secrets(docs()).count() == 0
+    assert secrets.redact_secrets(odd).columns == odd.columns
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><div class="cookie-notice">We use cookies.</div>
+<header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy!</div><article><h1>Title &amp; more</h1><p><b>First<br> line.<br><p>Second &lt;p&gt;   with
+ white\tspace.</p><!-- no --><aside>Aside.</aside><form><input value="x">Form</form><p>Short.</p><div class="comments"><p>Reader says.</p></div></article><footer>&copy; x</footer></body></html>"""
+TEXT = "Title & more\nFirst line.\nSecond <p> with white space.\nShort."
+
+
+def test_main_text():
+    assert html_text.main_text(PAGE) == TEXT
+    assert html_text.main_text(PAGE.split("</article>")[0]) == TEXT  # cut off
+    assert html_text.main_text(PAGE.replace("article>", "main>")) == TEXT
+    body = "".join(f"<p>{'Some words of the story go on here. ' * 4}{i}.</p>" for i in range(5))
+    plain = f"<body><ul class=menu><li><a href=x>One</a></li></ul><div><a href=a>x</a> <a href=b>y</a></div><div id=c>{body}</div><div class=sidebar><p>Side</p></div><div class='comment-list'><p>{'Reader. ' * 9}</p></div><div id=footer>Foot</div>"
+    assert html_text.main_text(plain).split("\n") == [f"{('Some words of the story go on here. ' * 4)}{i}." for i in range(5)]
+    for bad in ("", None, "<", "<a", "a < b", "<p", "&am", "<!--", "<script>x", "<" * 5000, "<a " * 2000, "\x00"):
+        assert isinstance(html_text.main_text(bad), str)
+
+
+def test_extraction(spark):
+    df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "u", ""), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit("other"))
+    got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, TEXT, len(TEXT))] * 2 + [(None, "", 0), (2, "", 0)], key=str)
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_embeddings_against_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 32))
+    near = np.repeat(x[:20], 15, 0) + rng.normal(size=(300, 32)) * rng.uniform(0, 0.3, (300, 1))
+    v = np.concatenate([x, near, np.repeat(x[:1], 400, 0)])
+    rows = [(i, e.tolist()) for i, e in enumerate(v)]
+    odd = [(9000, None), (9001, [0.0] * 32), (9002, [float("nan")] * 32), (9003, [None] * 32), (9004, []), (9005, [1.0]), (9006, [2.0]), (None, v[0].tolist()), (9007, [float("inf")] + [0.0] * 31), (9008, v[1].tolist()), (9008, v[1].tolist())]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("key", F.lit("k"))
+    got = {r.vec_id: r for r in embedding_dedup.embedding_near_duplicates(df).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9 - 1e-12
+    np.fill_diagonal(link, False)
+    n = link.sum(1) + 2 * (u @ u[1] >= 0.9)
+    found = np.array([got[i].n_links for i in range(len(v))])
+    assert (found <= n).all()
+    assert found.sum() >= 0.95 * n.sum()
+    for i in range(len(v)):
+        assert got[i].kept == (got[i].component_id == i)
+        assert got[i].component_id <= i
+    assert got[9008].n_links >= 2
+    for i in (9000, 9001, 9002, 9003, 9004, 9007):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert got[9006].component_id == 9005  # the same direction
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
+    assert embedding_dedup.embedding_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_of_tables_is_as_planned():
+    rng = np.random.default_rng(2)
+    m, tables = embedding_dedup.shape(50_000, 0.9)
+    h = embedding_dedup.Hasher(m, tables)
+    a = rng.normal(size=(400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r = rng.normal(size=(400, 64))
+    r -= (r * a).sum(1, keepdims=True) * a
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    met = (h(a) == h(0.9 * a + np.sqrt(1 - 0.81) * r)).any(1)
+    assert met.mean() > 0.9
+
+
+MESSAGES = [
+    (1, 0, "user", "hi \"there\"\n"),
+    (1, 3, "assistant", json.dumps({"content": "ok", "tool_calls": [{"id": "b", "name": "add", "arguments": {"y": 2, "x": 1}, "depends_on": ["a"]}]})),
+    (1, 2, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "find", "arguments": {"q": "é"}}, {"id": "z", "name": "find", "arguments": {"k": 1}}]})),
+    (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": {"n": 1, "m": [1, 2]}})),
+    (1, 4, "tool", json.dumps({"tool_call_id": "b", "content": 3})),
+    (1, 5, "tool", json.dumps({"tool_call_id": "none", "content": "x"})),
+    (2, 0, "assistant", "{not json"),
+    (2, 1, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": {"x": "1", "y": 2}}]})),
+    (2, None, None, None),
+    (None, 0, "user", ""),
+    (1, 0, "user", "hi \"there\"\n"),
+]
+TOOLS = [("find", "q", "string", True), ("find", "k", "integer", False), ("add", "x", "integer", True), ("add", "y", "number", True)]
+
+
+def test_tool_calls(spark):
+    m = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string").withColumn("rank", F.lit(1)).withColumn("json", F.lit("x"))
+    got = chat.format_chat(m, spark.createDataFrame(TOOLS, chat.TOOLS)).collect()
+    assert len(got) == len(MESSAGES)
+    one = sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)
+    assert [r.position for r in one] == list(range(7))
+    assert [r.turn for r in one] == [0, 0, 2, 1, 3, 4, 5]  # the result of a after its call
+    assert [r.depth for r in one] == [0, 0, 0, 1, 2, 3, 0]
+    assert [(r.n_calls, r.n_linked, r.n_invalid) for r in one] == [(0, 0, 0), (0, 0, 0), (2, 1, 1), (0, 1, 0), (1, 1, 0), (0, 1, 0), (0, 0, 0)]
+    assert one[4].json == '{"content":"ok","role":"assistant","tool_calls":[{"arguments":{"x":1,"y":2},"id":"b","name":"add"}]}'
+    assert one[3].json == '{"content":{"m":[1,2],"n":1},"role":"tool","tool_call_id":"a"}'
+    assert all(json.loads(r.json) is not None for r in got)
+    two = {r.turn: r for r in got if r.conv_id == 2}
+    assert two[1].n_invalid == 1
+    assert json.loads(two[0].json)["content"] == "{not json"
+    assert two[None].json == "{}"
+    assert chat.format_chat(m.limit(0)).count() == 0
+    ring = [(1, t, "assistant", json.dumps({"tool_calls": [{"id": a, "name": "f", "arguments": {}, "depends_on": [b]}]})) for t, (a, b) in enumerate(["ab", "ba"])] + [(1, 2 + i, "tool", json.dumps({"tool_call_id": c})) for i, c in enumerate("ab")]
+    r = chat.format_chat(spark.createDataFrame(ring, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(x.position for x in r) == [0, 1, 2, 3]
+
+
+def test_pipeline(spark, tmp_path, docs, labelled):
+    rows, labels = labelled
+    item = " ".join(f"q{i}" for i in range(12))
+    body = " ".join(f"c{i}" for i in range(200))
+    extra = [(5000, body), (5001, body), (5002, body + " more"), (5003, "a " + item.upper() + " b"), (5004, 'x token = "0123456789abcdef0123" y'), (5005, "an idiot and scum of the river")]
+    spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows[:200] + extra], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, str(tmp_path))
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen[name] = {r.doc_id: r.text for r in frame.collect()}
+    assert 5005 not in seen["toxicity"]
+    assert {5000, 5001, 5002, 5003} <= set(seen["toxicity"])
+    assert {5000, 5001, 5002} & set(seen["ngram_jaccard_join"]) == {5000}
+    assert 5003 in seen["ngram_jaccard_join"]
+    assert 5003 not in seen["benchmark_decontamination"]
+    assert seen["secret_scans"][5004] == "x [SECRET] y" or "0123456789abcdef0123" not in seen["secret_scans"][5004]
+    final = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in final} == set(seen["secret_scans"])
+    clean = {i for i, t in labels[:200] if not t}
+    assert clean <= set(seen["toxicity"])
