@@ -159,21 +159,22 @@ def lines_of(html: str) -> list[_Line]:
     return lines
 
 
-def text_range(lengths: list[int], least: int) -> tuple[int, int]:
-    """First line and line after the last of the most text between a surge and a dive."""
+def text_ranges(lengths: list[int], least: int) -> list[tuple[int, int]]:
+    """First line and line after the last of each stretch between a surge and a dive (WINDOW lines without text)."""
     n = len(lengths)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    best, found, i = 0, (0, 0), 0
+    found, i = [], 0
     while i < n:
-        if sums[i] < least:
+        if not sums[i]:
+            while i < n and not lengths[i]:
+                i += 1
+        elif sums[i] < least:
             i += 1
-            continue
-        j = i
-        while j < n and sums[j] > 0:
-            j += 1
-        if sum(lengths[i:j]) > best:
-            best, found = sum(lengths[i:j]), (i, j)
-        i = j + 1
+        else:
+            a = i
+            while i < n and (sums[i] or i + WINDOW > n):
+                i += 1
+            found.append((a, i))
     return found
 
 
@@ -194,8 +195,10 @@ def main_text(html: str | None) -> str:
 
 
 def _between(lines: list[_Line], least: int) -> str:
+    """Lines with text from the first surge to the last dive; where no text surges, all lines with text."""
     weight = [0 if x.drop or x.linked >= LINKED * len(x.text) else len(x.text) for x in lines]
-    a, b = text_range(weight, least)
+    found = text_ranges(weight, least) or text_ranges(weight, 1)
+    a, b = (found[0][0], found[-1][1]) if found else (0, 0)
     return "\n".join(x.text for x, w in zip(lines[a:b], weight[a:b]) if not x.drop and w)
 
 

@@ -136,6 +136,15 @@ def test_main_text():
         assert isinstance(html_text.main_text(bad), str)
 
 
+def test_interrupted_text():
+    a, b, c = "Long words of the first part. " * 9, "Short middle.", "Long words of the last part. " * 5
+    links = "<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li><li><a href=z>Three</a></li></ul>"
+    parts = f"<div>{a}</div>{links}<div>{b}</div>{links}<div>{c}</div>"
+    for page in (f"<body><div>{parts}</div></body>", f"<body><main>{parts}</main></body>"):
+        assert html_text.main_text(page).split("\n") == [a.strip(), b, c.strip()]
+    assert html_text.main_text(f"<body>{links}<div><div>A short page.</div></div></body>") == "A short page."
+
+
 def test_extraction(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "u", ""), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit("other"))
     got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect()]
