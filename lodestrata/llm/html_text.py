@@ -4,7 +4,8 @@ Markup is stripped: each block of a page becomes a line, with the place that it
 inside a menu, an advert and so on) and the share of its text that is link text. The text lengths of lines, without what
 markup shows to be no content, are summed over sliding windows; the text surges where a window's sum rises over a
 threshold and dives where it falls back to nothing, and the lines between are kept. Where a page marks its article, the
-distribution is taken over that element's lines.
+distribution is taken over that element's lines: there any text surges, and a line of links goes only where it is one of
+WINDOW or more in a row.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea select object canvas audio video title".split())
 DROPPED = frozenset("head nav aside form button dialog menu label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"caption", "tbody", "tfoot", "thead", "tr", "title"}
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""")
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
@@ -67,7 +69,8 @@ def lines_of(html: str) -> list[_Line]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                lines.append(_Line(text, linked, drop, article, main))
+                heading = article and any(x[0] in HEADINGS for x in stack)  # a title that is a link is no menu
+                lines.append(_Line(text, 0 if heading else linked, drop, article, main))
             parts.clear()
         linked = 0
 
@@ -190,10 +193,17 @@ def main_text(html: str | None) -> str:
         total = sum(len(x.text) for x in lines if not x.drop)
         if size and (kind == "article" or max(size.values()) >= 0.4 * total):
             best = max(size, key=lambda k: (size[k], -k))
-            return "\n".join(x.text for x in lines if getattr(x, kind) == best and not x.drop) if kind == "article" else _between([x for x in lines if x.main == best], 1)
+            inside = [x for x in lines if getattr(x, kind) == best]
+            return _article([x for x in inside if not x.drop]) if kind == "article" else _between(inside, 1)
     return _between(lines, least)
 
 
+def _article(lines: list[_Line]) -> str:
+    """An article's lines but those between a dive and a surge, which are menus; all lines where no text surges."""
+    weight = [0 if x.linked >= LINKED * len(x.text) else len(x.text) for x in lines]
+    return "\n".join(x.text for a, b in text_ranges(weight, 1) or [(0, len(lines))] for x in lines[a:b])
+
+
 def _between(lines: list[_Line], least: int) -> str:
     """Lines with text from the first surge to the last dive; where no text surges, all lines with text."""
     weight = [0 if x.drop or x.linked >= LINKED * len(x.text) else len(x.text) for x in lines]

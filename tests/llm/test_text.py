@@ -136,6 +136,15 @@ def test_main_text():
         assert isinstance(html_text.main_text(bad), str)
 
 
+def test_article_distribution():
+    menu = "<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li><li><a href=z>Three</a></li></ul>"
+    link = "<p><a href=x>A single link</a></p>"
+    page = f"<article>{menu}<h1><a href=x>Title</a></h1><p>First.</p>{menu}<p>Second.</p>{link}<aside><p>a<p>b<p>c</aside><p>Third.</p>{link}</article>"
+    assert html_text.main_text(page).split("\n") == ["Title", "First.", "Second.", "A single link", "Third.", "A single link"]
+    assert html_text.main_text(f"<article><h1><a href=x>Title</a></h1><p>First.</p></article>") == "Title\nFirst."
+    assert html_text.main_text(f"<article>{menu}</article>") == "One\nTwo\nThree"
+
+
 def test_interrupted_text():
     a, b, c = "Long words of the first part. " * 9, "Short middle.", "Long words of the last part. " * 5
     links = "<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li><li><a href=z>Three</a></li></ul>"
