@@ -24,8 +24,8 @@ from lodestrata.llm.words import BLANKS, BYTES, LOWER, SLICE, column_bytes, lean
 
 #: Labelled rows that the model is fitted on at most (those of the smallest hashes), and features that it has at most.
 SAMPLE, FEATURES = 20_000, 256
-#: Least distance of a feature's rates between the labels, in standard errors, and least toxic documents that have it.
-DISTANCE, SUPPORT = 6.5, 5
+#: Share of chosen features that may be there by chance, and least toxic documents that have a feature.
+CHANCE, SUPPORT = 0.2, 3
 #: Bytes of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
 #: Standard errors below its precision at which a feature is ranked, and documents that its precision counts as.
@@ -188,6 +188,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def beyond_chance(evidence: list[float], tried: int) -> int:
+    """How many features to choose, the first having most evidence, so that CHANCE of them at most are there by chance.
+
+    exp(-evidence) bounds the probability that so many of a feature's documents are toxic by chance; the step-up rule of
+    Benjamini and Hochberg weighs it against the number of features tried, so few labels do where the cues are clear.
+    """
+    return max((k for k, e in enumerate(evidence, 1) if tried * np.exp(-e) <= CHANCE * k), default=0)
+
+
 def fit(found: list[list[int]], toxic: np.ndarray, n: int) -> tuple[list[int], list[float]]:
     """A decision list over n features: (place of each feature, score of each place; the last place is for none).
 
@@ -216,7 +225,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels (doc_id, toxic 0 or 1) is read for rows that aren't held out; of several rows of one doc_id one that says 1
     wins, rows without a label or an id don't count. A null or empty text has no words and is scored too. Without
     labels of both kinds, or without features that tell them apart, all scores are the rate of toxic labels (0 without
-    labels). Rows that repeat are returned each; a row without a doc_id isn't held out. Other columns are ignored.
+    labels), held under the threshold. Rows that repeat are returned each; a row without a doc_id isn't held out. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -262,13 +271,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rate = n1 / max(1, n1 + n0)
     chosen = np.zeros(0, np.uint64)
     if n1 and n0:
-        p = (F.col("toxic") + F.col("clean")) / F.lit(float(n1 + n0))
-        distance = (F.col("toxic") / F.lit(float(n1)) - F.col("clean") / F.lit(float(n0))) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
-        best = (
+        tried = save(
             known.mapInArrow(lean(words), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .where(F.col("toxic") >= SUPPORT).withColumn("distance", distance).where(F.col("distance") >= DISTANCE)
-            .orderBy(F.desc("distance"), "feature").limit(FEATURES).collect()
+            .where(F.col("toxic") + F.col("clean") >= SUPPORT),
+            "tried",
+        )
+        of = F.col("toxic") + F.col("clean")
+        odds = [F.when(c > 0, c * F.log(c / of / r)).otherwise(0.0) for c, r in ((F.col("toxic"), rate), (F.col("clean"), 1 - rate))]
+        best = (
+            tried.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") > of * rate)).withColumn("evidence", odds[0] + odds[1])
+            .orderBy(F.desc("evidence"), "feature").limit(FEATURES).collect()
         )
+        best = best[: beyond_chance([r.evidence for r in best], tried.count())]
         chosen = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
 
     def hits(batches):
@@ -283,7 +297,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": b.column("doc_id"), "found": pa.array(found, pa.list_(pa.int32()))})
 
     rows = save(texts.mapInArrow(lean(hits), "doc_id long, found array<int>"), "features")
-    score = F.lit(rate)
+    score = F.lit(min(rate, 0.99 * THRESHOLD))  # nothing learned, nothing predicted
     if len(chosen):
         fitted = rows.join(F.broadcast(sample), "doc_id").select("found", "toxic").collect()  # SAMPLE documents at most
         place, scores = fit([r.found for r in fitted], np.array([r.toxic for r in fitted], int), len(chosen))

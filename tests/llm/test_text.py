@@ -56,6 +56,19 @@ def test_held_out_labels_arent_read(spark, docs, labelled):
     assert score(a) == score(b)
 
 
+def test_toxicity_with_few_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    got = toxicity.score_toxicity(docs, labels).join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect()
+    toxic, clean = ([r.predicted for r in got if r.toxic == t] for t in (1, 0))
+    assert sum(toxic) >= 6 and not any(clean)
+
+
+def test_nothing_learned_predicts_nothing(spark, docs):
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = toxicity.score_toxicity(docs(*[(i, f"the river of stone {i}") for i in range(60)]), lab).collect()
+    assert not any(r.predicted for r in rows)
+
+
 def test_toxicity_of_odd_rows(spark, odd, docs):
     for lab in ([], [(1, 1), (6, 0), (5, None), (None, 1)]):
         df = spark.createDataFrame(lab, "doc_id long, toxic int")
