@@ -1,3 +1,5 @@
+import re
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -234,3 +236,28 @@ def test_fleet(spark):
     assert fleet.find_surface(s, "user", "function").count() == 1
     d = fleet.surface_diff(s.where("kind = 'http_route'"), "a", "b")
     assert ([r.name for r in d["only_a"].collect()], [r.name for r in d["only_b"].collect()], d["common"].first()[0]) == (["/api/billing"], ["/api/admin"], 1)
+
+
+def test_live_pins_of_all_users(spark):
+    from lodestrata.plans.queries import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").collect()
+    live = lambda e: int(re.search("[0-9]+", e.props)[0]) % 3 == 0 or e.ts + timedelta(days=1) > datetime(2024, 1, 15)
+    want = sorted((e.event_id, e.event_type) for e in events if live(e))
+    assert sorted(map(tuple, QUERIES["p11_live_pins"](spark, "/root/testdata/sf0.01").collect())) == want
+
+
+def test_file_summaries_of_all_documents(spark):
+    from lodestrata.plans.proxies import Source
+    from lodestrata.plans.queries import QUERIES
+
+    rows = Source(spark, "/root/testdata/sf0.001").occurrences.select("doc", "symbol", "is_def").collect()
+    defined, uses = {}, {}
+    for r in rows:
+        uses.setdefault(r.symbol, Counter())[r.doc] += 1
+        if r.is_def:
+            defined.setdefault(r.doc, set()).add(r.symbol)
+    incoming = {d: sum(uses[x].total() - uses[x][d] for x in s) for d, s in defined.items()}
+    want = {d: (len(defined.get(d, ())), sum(r.doc == d and not r.is_def for r in rows), sum(r.doc == d for r in rows), incoming.get(d, 0)) for d in {r.doc for r in rows}}
+    got = QUERIES["a23_file_summaries"](spark, "/root/testdata/sf0.001").collect()
+    assert len(want) > 4 and {r.doc: (r.definitions, r.outgoing, r.total, r.incoming) for r in got} == want and len(got) == len(want)
