@@ -233,9 +233,9 @@ def a14_quality(s):
     "functions", "nodes",
 )
 def t6_top_issues(s):
-    none = graph.find_cycles(s.edges).limit(0)
-    # Functions of one file and line tie; what is shown of them is ordered in full.
-    return metrics.top_issues(s.functions, none, s.nodes).select("section", "kind", "file", "name", "cyclomatic", "path")
+    # Functions of one file and line tie; what is shown of them is ordered in full. A cycle's files stand in path.
+    issues = metrics.top_issues(s.functions, graph.find_cycles(s.edges), s.nodes)
+    return issues.select("section", "kind", "file", "name", "cyclomatic", F.coalesce("path", F.array_join("nodes", ",")).alias("path"))
 
 
 @query(
@@ -334,7 +334,10 @@ def c9_next_action(s):
     mets = metrics.file_metrics(s.functions)
     gaps = testmap.top_gaps(testmap.gaps(s.files, testmap.mappings(s.edges), mets))
     hot = history.hotspots(history.file_stats(s.commits, AS_OF), mets)
-    return next_actions(None, gaps, hot, None, 8).select("category", "target", r6("score").alias("score"))
+    violations = rules.layer_forbid(s.edges, RULES["layers"], RULES["layer_forbid"]).unionByName(rules.complexity_cap(s.functions, RULES["complexity_cap"])).unionByName(rules.dead_code(s.nodes, 3))
+    # What users wrote stands for pinned todos.
+    todos = state.list_notes(s.notes.withColumn("created_at", F.timestamp_seconds("session_id")), kind="user", limit=5)
+    return next_actions(violations.orderBy("rule", "file", "line", "summary"), gaps, hot, todos, 8).select("category", "target", r6("score").alias("score"))
 
 
 @query("SELECT file, lower(ltrim(name, '_')) || x AS test FROM (SELECT DISTINCT file, name FROM functions WHERE cyclomatic = 50), (VALUES ('_happy_path'), ('_handles_empty_input'), ('_returns_error_on_invalid_input')) t(x)", "functions")

@@ -127,3 +127,17 @@ def test_page_says_what_is_left_out(spark):
     p = metrics.page(spark.range(5), 2, "id")
     assert (p["total_count"], p["returned"], p["truncated"]) == (5, 2, True)
     assert datetime is not None
+
+
+def test_queries_pass_cycles_and_violations(spark):
+    from lodestrata.plans import engine
+    from lodestrata.plans.queries import QUERIES
+
+    run = lambda q: QUERIES[q](spark, "/root/testdata/sf0.01").collect()
+    found = sorted(map(tuple, run("q1_cycles")), key=lambda r: (-r[1], r[0].split(",")))[:5]
+    assert found and [r.path for r in run("t6_top_issues") if r.section == 2] == [r[0] for r in found]
+    broken = sorted((r.rule, r.file or "", r.line or 0, r.summary) for q in ("v1_layer_forbid", "v2_complexity_cap", "v4_dead_code") for r in run(q))[:5]
+    assert broken and sorted(r.target for r in run("c9_next_action") if r.category == "rules_violation" and r.score == 0.95) == sorted(b[1] for b in broken)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(engine, "next_actions", lambda v, gaps, hot, todos, n, f=engine.next_actions: f(v, gaps, hot, todos, 99))
+        assert {r.category for r in run("c9_next_action")} == {"rules_violation", "test_gap", "hotspot", "pinned_todo"}
