@@ -2,8 +2,7 @@
 
 A piece of n tokens costs LINEAR * n + QUADRATIC * n * n (projections and attention inside a document). Whole sequences
 are cut from long documents first. The rests are taken in descending order, each to the sequence of the lowest cost
-that has room for it; there are just as many sequences as the tokens fill, so where none of the cheapest has room the
-piece is cut. Every task packs the documents of its own input partition, window by window, and nothing is shuffled: the
+that has room for it; there are just as many sequences as the tokens fill, so where none has room the piece is cut. Every task packs the documents of its own input partition, window by window, and nothing is shuffled: the
 work grows with the input alone, and neither a long document nor a hot source meets others in one task.
 """
 
@@ -27,8 +26,8 @@ LENGTH = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 #: Tokens of rests that a task packs at once.
 WINDOW = 4_000_000
-#: Sequences without room that are passed over before a piece is cut.
-TRIES = 8
+#: What a tree holds of rooms that no sequence has.
+NONE = (float("inf"), -1, -1)
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -37,29 +36,54 @@ def cost(n: int) -> float:
 
 
 def fill(lengths: list[int], rooms: list[int]) -> list[tuple[int, int, int, int]]:
-    """(piece, start in it, length, sequence) in the order of assignment; cuts as needed, leaves what no room is for."""
-    heap = [(0.0, b) for b in range(len(rooms)) if rooms[b]]
-    room, out = list(rooms), []
+    """(piece, start in it, length, sequence) in the order of assignment; cuts as needed, leaves what no room is for.
+
+    Sequences of equal room are a heap by cost, and a tree over rooms holds the least of each range of rooms.
+    """
+    top = max(rooms, default=0)
+    size = 1 << top.bit_length()
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(size)]
+    tree = [NONE] * (2 * size)
+
+    def renew(r: int) -> None:
+        at = size + r
+        tree[at] = (*heaps[r][0], r) if heaps[r] else NONE
+        while at > 1:
+            at >>= 1
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
+
+    for b, r in enumerate(rooms):
+        if r:
+            heaps[r].append((0.0, b))
+    for r in range(1, top + 1):
+        if heaps[r]:
+            renew(r)
+    out = []
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         at, left = 0, lengths[i]
-        while left and heap:
-            passed = []
-            while heap and len(passed) < TRIES and room[heap[0][1]] < left:
-                passed.append(heapq.heappop(heap))
-            if not heap or room[heap[0][1]] < left:  # none has room: the roomiest takes a part
-                passed += [heapq.heappop(heap)] if heap else []
-                passed.sort(key=lambda x: (-room[x[1]], x))
-                c, b = passed.pop(0)
-            else:
-                c, b = heapq.heappop(heap)
-            for x in passed:
-                heapq.heappush(heap, x)
-            n = min(left, room[b])
+        while left:
+            while top and not heaps[top]:
+                top -= 1
+            if not top:
+                return out
+            r = top  # where none has room for all of it the roomiest takes a part
+            if left <= top:
+                best, x, y = NONE, size + left, 2 * size
+                while x < y:
+                    if x & 1:
+                        best = min(best, tree[x])
+                        x += 1
+                    x >>= 1
+                    y >>= 1
+                r = best[2]
+            c, b = heapq.heappop(heaps[r])
+            renew(r)
+            n = min(left, r)
             out.append((i, at, n, b))
             at, left = at + n, left - n
-            room[b] -= n
-            if room[b]:
-                heapq.heappush(heap, (c + cost(n), b))
+            if r > n:
+                heapq.heappush(heaps[r - n], (c + cost(n), b))
+                renew(r - n)
     return out
 
 

@@ -1,5 +1,6 @@
 """Tokens, packing, Re-Pair and shards: exact round trips."""
 
+import random
 from collections import defaultdict
 from zlib import crc32
 
@@ -69,6 +70,18 @@ def test_packing_of_odd_rows(odd, path):
     assert {x.doc_id for x in r} == {None, 1, 2, 3, 4, 5, 6, 7, 8}
 
 
+def test_room_is_found_among_all_sequences():
+    assert packing.fill([400], [100] * 10 + [500]) == [(0, 0, 400, 10)]
+    rng = random.Random(1)
+    for _ in range(50):
+        rooms = [rng.randrange(1, 200) for _ in range(40)]
+        lengths, costs, left = [rng.randrange(1, 150) for _ in range(80)], [0.0] * 40, list(rooms)
+        for i, at, n, b in packing.fill(lengths, rooms):
+            fits = [x for x in range(40) if left[x] >= lengths[i] - at]
+            assert b == (min(fits, key=lambda x: (costs[x], x)) if fits else min(range(40), key=lambda x: (-left[x], costs[x], x)))
+            costs[b], left[b] = costs[b] + packing.cost(n), left[b] - n
+
+
 @given(st.lists(st.integers(1, 1023), max_size=60))
 def test_filling_is_exact(lengths):
     total = sum(lengths)
