@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ship, table
 from lodestrata.llm.tokens import encoder, with_end
-from lodestrata.llm.words import SLICE, lean, slices
+from lodestrata.llm.words import lean, slices
 
 LENGTH = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches):
         packer = _Packer(TaskContext.get().partitionId() << 40, with_ids)
-        for b in slices(batches, 2 * SLICE):
+        for b in slices(batches, 2 << 20):
             ids, off = with_end(*encoder(path).ids(b.column("text")))
             for doc, a, e in zip(b.column("doc_id").to_pylist(), off[:-1].tolist(), off[1:].tolist()):
                 packer.add(doc, ids[a:e])

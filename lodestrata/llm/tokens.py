@@ -1,12 +1,13 @@
 """Token ids of whole Arrow columns by the tokenizers library.
 
 A byte-level BPE encodes each pre-token by itself, so a pre-token needs encoding once only. Pre-tokens are found for a
-whole column by numpy, hashed, and looked up in a table of bounded size; the library encodes those that aren't there.
-Texts with characters beyond the blocks whose classes are settled go to the library whole. The ids are the library's.
+whole column by numpy, hashed, and looked up in a table of bounded size, whose bytes are compared with the
+pre-token's before its ids are taken; the library encodes those that aren't there or that differ. Texts with characters beyond the blocks whose classes are settled go to the library whole. The ids are the library's.
 """
 
 from __future__ import annotations
 
+import os
 from functools import cache
 from itertools import chain
 from unicodedata import category
@@ -14,10 +15,10 @@ from unicodedata import category
 import numpy as np
 import pyarrow as pa
 
-from lodestrata.llm.words import ODD, SLICE, _powers, column_bytes, mix
+from lodestrata.llm.words import ODD, SLICE, column_bytes, mix
 
-#: log2 of the table's slots, and ids that it holds before it starts anew.
-SLOTS, HELD = 20, 6_000_000
+#: log2 of the table's slots, and ids and bytes of text that it holds before it starts anew.
+SLOTS, HELD, WRITTEN = 20, 6_000_000, 20_000_000
 #: Blocks of characters whose classes don't depend on the version of Unicode.
 SETTLED = ((0x0, 0x530), (0x1E00, 0x1F00), (0x2000, 0x2060), (0x20A0, 0x20BE), (0x2190, 0x2300), (0x3000, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
 #: Unicode's White_Space.
@@ -41,6 +42,21 @@ def _values() -> np.ndarray:
     return mix(np.arange(1, 0x110001, dtype=np.uint64) * ODD)
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    q = 0x5851F42D4C957F2B
+    each = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x, dtype=np.uint64)]), dtype=np.uint64)
+    return each(q), each(pow(q, -1, 1 << 64))
+
+
+_arange = cache(lambda n: np.arange(n, dtype=np.int32))
+
+
+def _places(n: int) -> np.ndarray:
+    return _arange(max(SLICE, 1 << (n - 1).bit_length()))[:n]
+
+
 def pretoken_starts(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
     """First characters of the pre-tokens of texts (at off in cps) by the pattern of byte-level BPE:
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
@@ -73,10 +89,18 @@ def pretoken_starts(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def _appended(pool: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    if used + len(more) > len(pool):
+        pool = np.concatenate([pool[:used], np.zeros(max(used // 2, len(more)) + len(more), pool.dtype)])
+    pool[used : used + len(more)] = more
+    return pool, used + len(more)
+
+
 class Encoder:
     """ids(column) for string columns; one for each path and process."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -91,7 +115,9 @@ class Encoder:
         self.hash = np.zeros(1 << SLOTS, np.uint64)
         self.at = np.zeros(1 << SLOTS, np.int64)
         self.size = np.zeros(1 << SLOTS, np.int32)
+        self.text = np.zeros(1 << SLOTS, np.int64)  # where a pre-token's bytes begin
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.raw, self.written = np.zeros(1 << 16, np.uint8), 0
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -99,10 +125,7 @@ class Encoder:
     def _keep(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Appends ids to the pool; where each pre-token's begin."""
         at = self.used + np.cumsum(size) - size
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(flat), np.int32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
+        self.pool, self.used = _appended(self.pool, self.used, flat)
         return at
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,35 +161,46 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
         text = raw.tobytes().decode()
         cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        coff = lead[off]
+        lead = (raw & 0xC0) != 0x80
+        coff = np.concatenate([[0], np.cumsum(lead)])[off]
         odd = np.add.reduceat(np.append(_classes()[cps] == UNSETTLED, False).astype(np.int64), coff[:-1])
         odd[coff[1:] == coff[:-1]] = 0
-        if self.used > HELD:
+        if self.used > HELD or self.written > WRITTEN:
             self.clear()
         start = pretoken_starts(cps, coff)
         end = np.append(start[1:], len(cps))
+        length = end - start
+        byte = np.append(np.flatnonzero(lead)[start], len(raw))
+        width = np.diff(byte)
         up, down = _powers(max(SLICE, 1 << (len(cps) - 1).bit_length()))
-        h = mix(np.add.reduceat(_values()[cps] * up[: len(cps)], start) * down[start] + (end - start).astype(np.uint64)) | np.uint64(1)
+        h = mix(np.add.reduceat(_values()[cps] * up[: len(cps)], start) * down[start] + length.astype(np.uint64)) | np.uint64(1)
         slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-        at, size = self.at[slot], self.size[slot].astype(np.int64)
+        at, size, kept = self.at[slot], self.size[slot].astype(np.int64), self.text[slot]
         miss = np.flatnonzero(self.hash[slot] != h)
         if len(miss):
             _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
             one = miss[one]
             spaced = (cps[start[one]] == 0x20) & (end[one] - start[one] > 1)
             spaced[spaced] = _classes()[cps[start[one[spaced]] + 1]] == LETTER
-            wide = np.concatenate([[0], np.cumsum(1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000))])
-            new_at, new_size = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+            new_at, new_size, n = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), width[one]
+            new_text = self.written + np.cumsum(n) - n
+            self.raw, self.written = _appended(self.raw, self.written, raw[np.repeat(byte[one] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
             for use in (spaced, ~spaced):
                 if use.any():
                     s, e = start[one[use]], end[one[use]]
                     words = [text[x:y] for x, y in zip(s.tolist(), e.tolist())]
-                    flat, new_size[use] = self._joined(words, wide[e] - wide[s]) if use is spaced else self._each(words)
+                    flat, new_size[use] = self._joined(words, n[use]) if use is spaced else self._each(words)
                     new_at[use] = self._keep(flat, new_size[use])
-            self.hash[slot[one]], self.at[slot[one]], self.size[slot[one]] = h[one], new_at, new_size
-            # Of several that want one slot the last was kept; all three fields come from the same one.
-            at[miss], size[miss] = new_at[back], new_size[back]
+            self.hash[slot[one]], self.at[slot[one]], self.size[slot[one]], self.text[slot[one]] = h[one], new_at, new_size, new_text
+            # Of several that want one slot the last was kept; all fields come from the same one.
+            at[miss], size[miss], kept[miss] = new_at[back], new_size[back], new_text[back]
+        same = np.repeat((kept - byte[:-1]).astype(np.int32), width)
+        same += _places(len(raw))
+        other = np.flatnonzero(self.raw.take(same, mode="clip") != raw)
+        if len(other):
+            wrong = np.unique(np.searchsorted(byte, other, "right") - 1)
+            flat, size[wrong] = self._each([text[x:y] for x, y in zip(start[wrong].tolist(), end[wrong].tolist())])
+            at[wrong] = self._keep(flat, size[wrong])
         total = int(size.sum())
         before = np.cumsum(size) - size
         ids = self.pool[np.repeat(at - before, size) + np.arange(total)]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import save, ship, table
-from lodestrata.llm.words import BLANKS, BYTES, LOWER, SLICE, column_bytes, lean, mix, slices, word_hashes
+from lodestrata.llm.words import BLANKS, BYTES, LOWER, column_bytes, lean, mix, slices, word_hashes
 
 #: Labelled rows that the model is fitted on at most (those of the smallest hashes), and features that it has at most.
 SAMPLE, FEATURES = 20_000, 256
@@ -239,7 +239,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def count(batches):
         total = np.zeros(N**4, np.int64)
-        for b in slices(batches, SLICE):
+        for b in slices(batches, 1 << 20):
             total += count_symbols(b.column("text"))
         at = np.flatnonzero(total)
         yield pa.record_batch({"cell": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
@@ -255,7 +255,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return decoder.made
 
     def words(batches):
-        for b in slices(batches, SLICE):
+        for b in slices(batches, 1 << 20):
             h, doc = text_features(b.column("text"), decoder())
             y = b.column("toxic").to_numpy()
             seen = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)
@@ -286,7 +286,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         chosen = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
 
     def hits(batches):
-        for b in slices(batches, SLICE):
+        for b in slices(batches, 1 << 20):
             found: list[list[int]] = [[] for _ in range(b.num_rows)]
             if len(chosen):
                 h, doc = text_features(b.column("text"), decoder())

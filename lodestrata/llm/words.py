@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20  # bytes of text that are hashed at once
+SLICE = 1 << 18  # bytes of text that are hashed at once
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -37,13 +37,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    q = 0x5851F42D4C957F2B
-    inverse = pow(q, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, q, dtype=np.uint64)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse, dtype=np.uint64)]), dtype=np.uint64)
-    return up, down
+def _weights(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * ODD) | np.uint64(1)
+
+
+def place_weights(n: int) -> np.ndarray:
+    """An odd random factor for each of n places. Sums of value times factor tell strings apart whatever their pattern; powers
+    of one base wouldn't, modulo 2^64."""
+    return _weights(max(1 << 12, 1 << (n - 1).bit_length()))
 
 
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
@@ -104,10 +105,10 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, word: np.ndarray, spans: bool
         starts.append(s + a)
         ends.append(e + a)
         if len(s):
-            up, down = _powers(max(SLICE, 1 << int(b - a - 1).bit_length()))
-            value = BYTES[low] * up[: b - a]
-            value[~of[1:-1]] = 0
-            hashes.append(mix(np.add.reduceat(value, s) * down[s] + (e - s).astype(np.uint64)))
+            at, n = np.flatnonzero(of[1:-1]), e - s
+            place = at - np.repeat(s, n)
+            value = BYTES[low[at]] * place_weights(int(n.max()))[place]
+            hashes.append(mix(np.add.reduceat(value, np.cumsum(n) - n) + n.astype(np.uint64) * ODD))
     starts = np.concatenate(starts)
     counts = np.searchsorted(starts, off, "left")
     if spans:

@@ -173,3 +173,9 @@ def test_decontamination_of_odd_rows(spark, odd, docs):
     assert clean.columns == odd.columns
     assert clean.count() == 9
     assert decontamination.decontaminate(docs(), bench).count() == 0
+
+
+def test_patterned_words_have_hashes_of_their_own():
+    words_ = ["".join(c[i.bit_count() % 2] for i in range(n)) for n in (1024, 2048, 4096, 8192) for c in ("ab", "ba")]
+    h, _ = words.word_hashes(*words.column_bytes(pa.array(words_, pa.string())), words.BLANKS)
+    assert len(set(h.tolist())) == len(words_)

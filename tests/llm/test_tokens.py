@@ -153,3 +153,20 @@ def test_shards(docs, odd):
     assert sum(len(s) > 1 for raw, s in group.items() if raw not in (b"the same text", b"")) == 0
     assert sharding.shard(odd).count() == 11
     assert sharding.shard(docs()).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_ids_of_patterned_words(path, library):
+    words = [w for n in (1024, 2048, 4096, 8192) for w in (thue_morse(n), thue_morse(n, "ba"))]
+    check(path, library, words + [" ".join(words)])
+
+
+def test_entries_that_differ_are_not_used(path, library, monkeypatch):
+    monkeypatch.setattr(tokens, "mix", lambda x: x * np.uint64(0) + np.uint64(6))  # all hashes are alike
+    tokens._values.cache_clear()
+    check(path, library, ["one two three", "four five six one", "two two, three 33", ""])
+    monkeypatch.undo()
+    tokens._values.cache_clear()
