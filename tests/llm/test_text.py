@@ -252,6 +252,68 @@ def test_tool_calls(spark):
     assert sorted(x.position for x in r) == [0, 1, 2, 3]
 
 
+def chat_json(spark, *messages, tools=None):
+    df = spark.createDataFrame([(1, i, r, t if isinstance(t, str) else json.dumps(t)) for i, (r, t) in enumerate(messages)], "conv_id long, turn long, role string, text string")
+    return sorted(chat.format_chat(df, tools and spark.createDataFrame(tools, chat.TOOLS)).collect(), key=lambda r: r.turn)
+
+
+def test_content_and_keys_stay(spark):
+    call = {"id": "a", "type": "function", "function": {"name": "add", "arguments": '{"y": 2, "x": 1}', "strict": True}}
+    got = chat_json(
+        spark, ("assistant", {"why": "sum", "answer": 42}), ("tool", {"temperature": 20}), ("assistant", {"tool_calls": [call, "odd", {"id": "b", "name": "say", "arguments": "no json"}], "name": "bot", "none": None}),
+        ("tool", {"tool_call_id": "a", "content": "3", "name": "add", "at": {"z": 1, "b": None}}), ("tool", {"tool_call_id": "a", "content": "again"}), ("user", {"tool_calls": []}),
+        ("assistant", '{"tool_calls": 5}'), ("assistant", {"tool_calls": [], "content": "x" * 300_000}), tools=TOOLS,
+    )
+    want = [
+        {"role": "assistant", "content": json.dumps({"why": "sum", "answer": 42})}, {"role": "tool", "content": json.dumps({"temperature": 20})},
+        {"role": "assistant", "name": "bot", "tool_calls": [{"id": "a", "name": "add", "arguments": {"x": 1, "y": 2}, "strict": True, "type": "function"}, "odd", {"id": "b", "name": "say", "arguments": "no json"}]},
+        {"role": "tool", "tool_call_id": "a", "content": "3", "name": "add", "at": {"z": 1, "b": None}}, {"role": "tool", "tool_call_id": "a", "content": "again"}, {"role": "user", "content": '{"tool_calls": []}'},
+        {"role": "assistant", "content": '{"tool_calls": 5}'}, {"role": "assistant", "content": "x" * 300_000},
+    ]
+    assert [r.json for r in got] == [json.dumps(w, sort_keys=True, separators=(",", ":")) for w in want]
+    assert [(r.n_calls, r.n_linked, r.n_invalid) for r in got] == [(0, 0, 0), (0, 0, 0), (3, 1, 2), (0, 1, 0), (0, 1, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+
+
+def plain_order(messages):
+    """(turn, depth) in order, by plain search: linking, chains and rings."""
+    calls = {}
+    for t, (role, m) in enumerate(messages):
+        for c in m.get("tool_calls", ()) if role == "assistant" else ():
+            calls.setdefault(c["id"], t)
+    answers = [(t, calls[m["tool_call_id"]]) for t, (role, m) in enumerate(messages) if role == "tool" and m["tool_call_id"] in calls]
+    before = {t: set() for t in range(len(messages))}
+    for t, c in answers:
+        before[t].add(c)
+    for t, (role, m) in enumerate(messages):
+        for need in {d for c in m.get("tool_calls", ()) for d in c["depends_on"]}:
+            before[t] |= {a for a, _ in answers if messages[a][1]["tool_call_id"] == need} - {t}
+    level, anchor, changed = {}, {}, True
+    while changed:
+        ready = [t for t in before if t not in level and all(x in level for x in before[t])]
+        for t in ready:
+            anchor[t] = max([t, *(anchor[x] for x in before[t])])
+        level |= {t: max([0, *(level[x] + 1 for x in before[t])]) for t in ready}
+        changed = bool(ready)
+    return [(t, level.get(t, 0)) for t in sorted(before, key=lambda t: (anchor.get(t, t), level.get(t, 0), t))]
+
+
+def test_order_equals_plain_search(spark):
+    rng = random.Random(7)
+    convs, rows = {}, []
+    for conv in range(25):
+        names, messages = [f"c{i}" for i in range(rng.randrange(2, 7))], []
+        for n in names:
+            messages.append(("assistant", {"tool_calls": [{"id": n, "name": "f", "arguments": {}, "depends_on": rng.sample(names, rng.choice([0, 0, 1, 2]))}]}))
+            messages.append(("tool", {"tool_call_id": rng.choice([n, n, n, "none"]), "content": 1}))
+        rng.shuffle(messages)
+        convs[conv] = messages
+        rows += [(conv, t, role, json.dumps(m)) for t, (role, m) in enumerate(messages)]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for conv, messages in convs.items():
+        own = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)
+        assert [(r.turn, r.depth) for r in own] == plain_order(messages)
+
+
 def test_pipeline(spark, tmp_path, docs, labelled):
     rows, labels = labelled
     item = " ".join(f"q{i}" for i in range(12))
