@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped: each block of a page becomes a line, with the place that it had (inside an article or main element,
-inside a menu, an advert and so on) and the share of its text that is link text. The text lengths of lines, without what
-markup shows to be no content, are summed over sliding windows; the text surges where a window's sum rises over a
-threshold and dives where it falls back to nothing, and the lines between are kept. Where a page marks its article, the
-distribution is taken over that element's lines: there any text surges, and a line of links goes only where it is one of
-WINDOW or more in a row.
+inside a menu, an advert and so on) and the share of its text that is link text. Lines that markup shows to be no content
+go. The text lengths of the others (none for a line of links) are summed over sliding windows of WINDOW lines; text
+surges where a window's sum reaches a threshold and dives where a window holds nothing, and the lines between are kept, from
+the first surge to the last dive but for windows that hold nothing. The distribution is taken over the lines of the page's articles, or of its main element if it has no
+article, where any text surges; over all lines otherwise. So a line of links goes where it is one of WINDOW or more in a
+row, or before the first or after the last text of a page without an article.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ NO_CONTENT = re.compile(
     r"contentinfo|dialog|disclaimer|paywall|masthead)(?:$|[\s_\d-])",
     re.I,
 )
+#: Inside an article words that may name a part of it count only as a whole, or with what makes them lists of other pages.
+WEAK = re.compile(r"(?:^|[\s_-])(?:related|search|discussion|widget|skip|header|banner|alert|notification)(?:$|[\s_\d-])", re.I)
+LISTS = re.compile(r"(?:^|\s)(?:related|widget|alert|banner|notification|(?:related|search|widget)[_-]?(?:posts?|articles?|links?|stories|news|content|items|box|bar|form|area))(?:$|\s)", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner|topbar)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main)(?:[_-]?(?:body|content|text))?(?:$|[\s_-])", re.I)
 
@@ -125,7 +129,7 @@ def lines_of(html: str) -> list[_Line]:
         if name in RAW:
             if name == "title":
                 flush()
-            if not rest.rstrip().endswith("/"):
+            if name not in ("svg", "math") or not rest.rstrip().endswith("/"):  # no other element closes itself
                 to = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
                 at = to.end() if to else end
             continue
@@ -146,9 +150,12 @@ def lines_of(html: str) -> list[_Line]:
             flush()
         names = " ".join(x for t in NAMES.findall(rest) for x in t if x) if rest else ""
         root = name in ("html", "body", "article", "main")
-        drop = drop or name in DROPPED or bool(rest and HIDDEN.search(rest)) or name in ("header", "footer") and not article
+        drop = drop or name in DROPPED or bool(rest and HIDDEN.search(rest)) or name == "footer" or name == "header" and not article
         if names and not drop and name not in ("html", "body", "main"):
-            drop = bool(NO_CONTENT.search(names)) or not root and not article and bool(HEADER.search(names))
+            if article:
+                drop = bool(LISTS.search(names) or NO_CONTENT.search(WEAK.sub(" ", names)))
+            else:
+                drop = bool(NO_CONTENT.search(names)) or not root and bool(HEADER.search(names))
         if not drop:
             counted += 1
             if name == "article" and not article:
@@ -183,33 +190,29 @@ def text_ranges(lengths: list[int], least: int) -> list[tuple[int, int]]:
 
 def main_text(html: str | None) -> str:
     """The page's main text: blocks joined by line feeds, empty if there is none."""
-    lines = lines_of(html or "")
-    least = SURGE
-    for kind in ("article", "main"):
-        size: dict[int, int] = {}
-        for x in lines:
-            if (k := getattr(x, kind)) and not x.drop:
-                size[k] = size.get(k, 0) + len(x.text)
-        total = sum(len(x.text) for x in lines if not x.drop)
-        if size and (kind == "article" or max(size.values()) >= 0.4 * total):
-            best = max(size, key=lambda k: (size[k], -k))
-            inside = [x for x in lines if getattr(x, kind) == best]
-            return _article([x for x in inside if not x.drop]) if kind == "article" else _between(inside, 1)
-    return _between(lines, least)
-
-
-def _article(lines: list[_Line]) -> str:
-    """An article's lines but those between a dive and a surge, which are menus; all lines where no text surges."""
+    lines = [x for x in lines_of(html or "") if not x.drop]
+    if any(x.article for x in lines):
+        return _kept([x for x in lines if x.article], 1, whole=True)
+    size: dict[int, int] = {}
+    for x in lines:
+        if x.main:
+            size[x.main] = size.get(x.main, 0) + len(x.text)
+    best = max(size, key=lambda k: (size[k], -k), default=0)
+    if size and size[best] >= 0.4 * sum(len(x.text) for x in lines):
+        return _kept([x for x in lines if x.main == best], 1, whole=False)
+    return _kept(lines, SURGE, whole=False)
+
+
+def _kept(lines: list[_Line], least: int, whole: bool) -> str:
+    """The lines of all stretches; whole: those of links at both ends too, and all lines where no text surges."""
     weight = [0 if x.linked >= LINKED * len(x.text) else len(x.text) for x in lines]
-    return "\n".join(x.text for a, b in text_ranges(weight, 1) or [(0, len(lines))] for x in lines[a:b])
-
-
-def _between(lines: list[_Line], least: int) -> str:
-    """Lines with text from the first surge to the last dive; where no text surges, all lines with text."""
-    weight = [0 if x.drop or x.linked >= LINKED * len(x.text) else len(x.text) for x in lines]
-    found = text_ranges(weight, least) or text_ranges(weight, 1)
-    a, b = (found[0][0], found[-1][1]) if found else (0, 0)
-    return "\n".join(x.text for x, w in zip(lines[a:b], weight[a:b]) if not x.drop and w)
+    surged, found = text_ranges(weight, least), text_ranges(weight, 1)
+    if surged:  # from the first surge to the last dive
+        found = [(max(a, surged[0][0]), b) for a, b in found if b > surged[0][0] and a < surged[-1][1]]
+    if whole:
+        return "\n".join(x.text for a, b in found or [(0, len(lines))] for x in lines[a:b])
+    text = [i for a, b in found for i in range(a, b) if weight[i]]
+    return "\n".join(lines[i].text for a, b in found for i in range(a, b) if text[0] <= i <= text[-1]) if text else ""
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -167,6 +167,45 @@ def test_interrupted_text():
     assert html_text.main_text(f"<body>{links}<div><div>A short page.</div></div></body>") == "A short page."
 
 
+def plain_stretches(weights, least):
+    """The window rule line by line: a line is kept if a stretch that surged and hasn't dived holds it."""
+    n, kept, on = len(weights), [], False
+    window = lambda i: sum(weights[i : i + html_text.WINDOW])
+    for i in range(n):
+        if on and window(i) == 0 and i + html_text.WINDOW <= n:
+            on = False
+        if not on and window(i) >= max(1, least) and not (weights[i] == 0 and i and window(i - 1) == 0):
+            on = True
+        if on:
+            kept.append(i)
+    return kept
+
+
+def test_window_rule():
+    rng = random.Random(3)
+    for _ in range(3000):
+        weights = [rng.choice([0, 0, 0, 5, 30, 200]) for _ in range(rng.randrange(25))]
+        for least in (1, 80):
+            got = [i for a, b in html_text.text_ranges(weights, least) for i in range(a, b)]
+            want = plain_stretches(weights, least)
+            assert {i for i in got if weights[i]} == {i for i in want if weights[i]}
+            assert got == sorted(set(got))
+
+
+def test_pages_of_other_kinds():
+    text = html_text.main_text
+    assert text("<h1>Short note</h1><p>Closed on Monday.</p>") == "Short note\nClosed on Monday."
+    a, b = "Words of the story. " * 20, "More of the story. " * 20
+    ad = "<div class='ad'>Buy this now!</div>"
+    for box in ("<div>{}</div>", "<article>{}</article>", "<main>{}</main>"):
+        assert text(box.format(f"<p>{a}</p>{ad * 3}<p>{b}</p>")).split("\n") == [a.strip(), b.strip()]
+    assert text(f"<article><p>{a}</p></article><p>x</p><article><p>Second one.</p></article>").split("\n") == [a.strip(), "Second one."]
+    assert text("<article><p>One.</p><section class='related-work'><h2>Related work</h2><p>Two.</p></section><div class='search'><p>Three.</p></div><div class='discussion'>Four.</div><div class='related-posts'><p>No</p></div><div class='share-bar'>No</div><footer>No</footer></article>").split("\n") == ["One.", "Related work", "Two.", "Three.", "Four."]
+    assert text("<article><p>One.</p><script src=x/>var a = 1;</script><p>Two.</p><svg width=1 /><p>Three.</p></article>").split("\n") == ["One.", "Two.", "Three."]
+    assert text(f"<div><p>{a}</p><p><a href=x>A link of its own</a></p><p>{b}</p></div>").split("\n") == [a.strip(), "A link of its own", b.strip()]
+    assert text(f"<article><p>{a * 2000}</p></article>") == (a * 2000).strip()
+
+
 def test_extraction(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "u", ""), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit("other"))
     got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect()]
