@@ -5,14 +5,17 @@ character may stand for; Viterbi decoding finds the likeliest reading under a la
 counted over all documents. The text with these readings is scored by a decision list over words and word
 beginnings that tell the labels apart.
 
-Passes: (1) counts of four characters in a row over all documents; (2) words of labelled documents, counted by label;
-(3) the chosen features of all documents, written narrow; the model is fitted on the labelled ones and applied.
+Passes: (1) counts of four characters in a row over all documents; (2) words of labelled documents, counted by label, one
+document of each group of near copies (or a group's words would pass for cues); (3) the chosen features of all documents, written narrow; the model is fitted on the labelled ones and applied.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import save, ship, table
-from lodestrata.llm.words import BLANKS, BYTES, LOWER, column_bytes, lean, mix, slices, word_hashes
+from lodestrata.llm.words import BLANKS, BYTES, LOWER, column_bytes, lean, mix, slices, text_shingles, word_hashes
 
 #: Labelled rows that the model is fitted on at most (those of the smallest hashes), and features that it has at most.
 SAMPLE, FEATURES = 20_000, 256
 #: Share of chosen features that may be there by chance, and least toxic documents that have a feature.
 CHANCE, SUPPORT = 0.2, 3
-#: Bytes of word beginnings that are features beside whole words.
+#: Bytes of word beginnings that are features beside whole words; a feature that a text has twice is one more.
 BEGINNINGS = (4, 5, 6)
+TWICE = np.uint64(0x2545F4914F6CDD1D)
 #: Standard errors below its precision at which a feature is ranked, and documents that its precision counts as.
 DOUBT, DRAW = 1.5, 4.0
 THRESHOLD = 0.3
@@ -76,10 +80,10 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 class Decoder:
     """Viterbi decoding of lattices under a model; remembers readings of so many words."""
 
-    REMEMBERED = 200_000
+    REMEMBERED = 50_000
 
     def __init__(self, model: np.ndarray):
-        self.p = model.tolist()
+        self.p = array("d", model.astype(np.float64).tobytes())
         self.known: dict[str, str] = {}
 
     def __call__(self, word: str) -> str:
@@ -122,6 +126,17 @@ class Decoder:
         return max((score + self.p[ctx * N], text) for ctx, (score, text) in states.items())[1]
 
 
+_made: dict[str, Decoder] = {}
+
+
+def decoder_of(name: str, model) -> Decoder:
+    """The decoder of a broadcast model, made once in each process; only the last is kept."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = Decoder(model.value)
+    return _made[name]
+
+
 def disguised(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
     """(text, span) of all spans that may be disguised words, in lower case."""
     if not len(buf):
@@ -188,6 +203,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def group_keys(column: pa.Array) -> list[list[int]]:
+    """For each text the least hash of its shingles among the even and among the odd ones; near copies share one mostly."""
+    return [[int(half[0]) for half in (a[a % 2 == 0], a[a % 2 == 1]) if len(half)] for a in text_shingles(column, BLANKS, 5)]
+
+
+def one_of_each_group(texts: DataFrame, sample: DataFrame) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of one document for each group of near copies in the sample, with the label that most of them have."""
+    def run(batches):
+        for b in slices(batches):
+            keys = [[k - (1 << 63) for k in x] for x in group_keys(b.column("text"))]
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    rows = texts.join(F.broadcast(sample), "doc_id").mapInArrow(lean(run), "doc_id long, toxic int, keys array<long>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # SAMPLE rows at most
+    first: dict[int, int] = {}
+    votes: dict[int, Counter] = {}
+    for doc, toxic, keys in rows:
+        to = next((first[k] for k in keys if k in first), doc)
+        for k in keys:
+            first.setdefault(k, to)
+        votes.setdefault(to, Counter())[toxic] += 1
+    return [(doc, int(v[1] >= v[0])) for doc, v in votes.items()]
+
+
 def beyond_chance(evidence: list[float], tried: int) -> int:
     """How many features to choose, the first having most evidence, so that CHANCE of them at most are there by chance.
 
@@ -235,7 +273,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
-    sample = spark.createDataFrame(sample.collect(), "doc_id long, toxic int")  # SAMPLE rows at most
+    sample = spark.createDataFrame(one_of_each_group(texts, spark.createDataFrame(sample.collect(), "doc_id long, toxic int")), "doc_id long, toxic int")  # SAMPLE rows at most
 
     def count(batches):
         total = np.zeros(N**4, np.int64)
@@ -249,16 +287,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         counts[cell] = n
     model = spark.sparkContext.broadcast(language_model(counts))
 
-    def decoder() -> Decoder:
-        if getattr(decoder, "made", None) is None:
-            decoder.made = Decoder(model.value)
-        return decoder.made
+    name = uuid4().hex
 
     def words(batches):
         for b in slices(batches, 1 << 20):
-            h, doc = text_features(b.column("text"), decoder())
+            h, doc = text_features(b.column("text"), decoder_of(name, model))
             y = b.column("toxic").to_numpy()
-            seen = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)
+            seen, n = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1, return_counts=True)
+            again = seen[:, n > 1]
+            again[0] ^= TWICE
+            seen = np.concatenate([seen, again], axis=1)
             value, at = np.unique(seen[0], return_inverse=True)
             toxic = y[seen[1].astype(np.int64)]
             yield pa.record_batch({
@@ -289,11 +327,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in slices(batches, 1 << 20):
             found: list[list[int]] = [[] for _ in range(b.num_rows)]
             if len(chosen):
-                h, doc = text_features(b.column("text"), decoder())
-                k = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
-                use = chosen[k] == h
-                for d, f in sorted(set(zip(doc[use].tolist(), k[use].tolist()))):
-                    found[d].append(f)
+                h, doc = text_features(b.column("text"), decoder_of(name, model))
+                for times, sought in ((1, h), (2, h ^ TWICE)):
+                    k = np.minimum(np.searchsorted(chosen, sought), len(chosen) - 1)
+                    use = chosen[k] == sought
+                    for (d, f), n in sorted(Counter(zip(doc[use].tolist(), k[use].tolist())).items()):
+                        if n >= times:
+                            found[d].append(f)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "found": pa.array(found, pa.list_(pa.int32()))})
 
     rows = save(texts.mapInArrow(lean(hits), "doc_id long, found array<int>"), "features")
@@ -301,9 +341,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if len(chosen):
         fitted = rows.join(F.broadcast(sample), "doc_id").select("found", "toxic").collect()  # SAMPLE documents at most
         place, scores = fit([r.found for r in fitted], np.array([r.toxic for r in fitted], int), len(chosen))
-        of = F.array(*[F.lit(p) for p in place])
-        best = F.coalesce(F.array_min(F.transform("found", lambda i: F.element_at(of, i + 1))), F.lit(len(chosen)))
-        score = F.element_at(F.array(*[F.lit(float(x)) for x in scores]), best.cast("int") + 1)
+        of, rated = F.array(*[F.lit(p) for p in place]), F.array(*[F.lit(float(x)) for x in scores])
+        best = F.element_at(rated, F.coalesce(F.array_min(F.transform("found", lambda i: F.element_at(of, i + 1))), F.lit(len(chosen))).cast("int") + 1)
+        # Further features move a score inside its side of the threshold, so texts with more of them rank higher.
+        rest = F.aggregate("found", F.lit(1.0), lambda left, i: left * (1 - F.element_at(rated, F.element_at(of, i + 1) + 1) / 2))
+        score = best + F.when(best >= THRESHOLD, (1 - best) / 2).otherwise((THRESHOLD - best) / 2) * (1 - rest)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.cast("double").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
