@@ -5,8 +5,10 @@ all of its shingles, so for full containment the necessary prefix of a window is
 ordered by their number of uses in all documents (first pass). The second pass joins document shingles with the prefix
 shingles, bounds the window by the shingle's position in it and by the document's length, and verifies the words.
 
-Items are taken in blocks of bounded size, each a broadcast of its own, against all documents; each pass goes over the
-blocks for each slice of documents, so memory doesn't grow with the benchmark and no document is collected.
+Items are taken in blocks of at most BLOCK bytes of text (one item may have more), each a broadcast of its own, and the
+driver makes one at a time. A benchmark of one block stays loaded in the workers. Of more blocks a worker loads one at a
+time against GROUP bytes of documents, so a worker's memory is bounded by a block and a group whatever the benchmark's
+size, and no document is collected or shuffled.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from lodestrata.llm.words import ALNUM, column_bytes, lean, shingle_hashes, slic
 WINDOW = 10
 #: Words of a shingle; windows of fewer have one shingle of all their words.
 SHINGLE = 3
-#: Bytes of item texts in a block.
-BLOCK = 32_000_000
+#: Bytes of item texts in a block, and of documents that are held against one block after another.
+BLOCK, GROUP = 2_000_000, 64_000_000
 #: log2 of the bits of the table that most document shingles fail at once.
 SIEVE = 20
 
@@ -113,6 +115,27 @@ class Block:
         return np.concatenate(found, axis=1)
 
 
+def _groups(batches, blocks: list):
+    """Lists of (batch, word hashes, counts): one slice each for one block, GROUP bytes of slices for more."""
+    group, held = [], 0
+    for b in slices(batches):
+        group.append((b, *word_hashes(*column_bytes(b.column("text")), ALNUM)))
+        held += b.nbytes
+        if len(blocks) <= 1 or held > GROUP:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def _each(blocks: list):
+    """The blocks, one loaded at a time if there are more than one."""
+    for shared, _ in blocks:
+        yield shared.value
+        if len(blocks) > 1 and hasattr(shared, "_value"):
+            del shared._value
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, clean: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs (doc_id long, text string).
 
@@ -136,14 +159,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, clean: bool = False) -> Dat
         blocks.append((spark.sparkContext.broadcast(b), len(b.hash)))
 
     def count_uses(batches):
-        totals = [np.zeros(n, np.int64) for _, n in blocks]
-        for b in slices(batches):
-            h, _ = word_hashes(*column_bytes(b.column("text")), ALNUM)
-            for i, (block, _) in enumerate(blocks):
-                totals[i] += block.value.uses(h)
-        for i, t in enumerate(totals):
-            at = np.flatnonzero(t)
-            yield pa.record_batch({"block": pa.array(np.full(len(at), i, np.int32)), "row": pa.array(at), "uses": pa.array(t[at])})
+        def rows(i, total):
+            at = np.flatnonzero(total)
+            return pa.record_batch({"block": pa.array(np.full(len(at), i, np.int32)), "row": pa.array(at), "uses": pa.array(total[at])})
+
+        one = np.zeros(blocks[0][1], np.int64) if len(blocks) == 1 else None  # summed over the whole task
+        for group in _groups(batches, blocks):
+            for i, block in enumerate(_each(blocks)):
+                total = sum(block.uses(h) for _, h, _ in group)
+                if one is None:
+                    yield rows(i, total)
+                else:
+                    one += total
+        if one is not None:
+            yield rows(0, one)
 
     used = texts.select("text").mapInArrow(lean(count_uses), "block int, row long, uses long").groupBy("block", "row").agg(F.sum("uses").alias("uses"))
     if blocks:
@@ -158,26 +187,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, clean: bool = False) -> Dat
         used.unpersist()
 
     def hits(batches):
-        for b in slices(batches):
-            h, count = word_hashes(*column_bytes(b.column("text")), ALNUM)
-            edge = np.zeros(len(h) + 1, np.int64)
-            ids: list[set] = [set() for _ in range(b.num_rows)]
-            for block, _ in blocks:
-                block = block.value
-                begin, length, item = block.windows(h, count)
-                edge += np.bincount(begin, minlength=len(edge)) - np.bincount(begin + length, minlength=len(edge))
-                doc = np.searchsorted(count, begin, "right") - 1
-                for d, i in set(zip(doc.tolist(), item.tolist())):
-                    ids[d].add(block.ids[i])
-            hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-            n_hit = hit[count[1:]] - hit[count[:-1]]
-            if clean:
-                yield b.filter(pa.array(n_hit == 0))
-                continue
-            yield pa.record_batch({
-                "doc_id": b.column("doc_id"), "n_words": pa.array(np.diff(count)), "n_hit": pa.array(n_hit), "n_items": pa.array([len(x) for x in ids], pa.int64()),
-                "items_sha256": pa.array([sha256(",".join(sorted(x)).encode()).hexdigest() for x in ids]), "contaminated": pa.array(n_hit > 0),
-            })
+        for group in _groups(batches, blocks):
+            edges = [np.zeros(len(h) + 1, np.int64) for _, h, _ in group]
+            found: list[list[set]] = [[set() for _ in range(b.num_rows)] for b, _, _ in group]
+            for block in _each(blocks):
+                for (_, h, count), edge, ids in zip(group, edges, found):
+                    begin, length, item = block.windows(h, count)
+                    edge += np.bincount(begin, minlength=len(edge)) - np.bincount(begin + length, minlength=len(edge))
+                    doc = np.searchsorted(count, begin, "right") - 1
+                    for d, i in set(zip(doc.tolist(), item.tolist())):
+                        ids[d].add(block.ids[i])
+            for (b, _, count), edge, ids in zip(group, edges, found):
+                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+                n_hit = hit[count[1:]] - hit[count[:-1]]
+                if clean:
+                    yield b.filter(pa.array(n_hit == 0))
+                    continue
+                yield pa.record_batch({
+                    "doc_id": b.column("doc_id"), "n_words": pa.array(np.diff(count)), "n_hit": pa.array(n_hit), "n_items": pa.array([len(x) for x in ids], pa.int64()),
+                    "items_sha256": pa.array([sha256(",".join(sorted(x)).encode()).hexdigest() for x in ids]), "contaminated": pa.array(n_hit > 0),
+                })
 
     return texts.mapInArrow(lean(hits), docs.schema if clean else "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
