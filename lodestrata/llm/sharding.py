@@ -17,7 +17,7 @@ SHARDS = 16
 WHOLE = 0.01
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, whole: float = WHOLE) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row of docs (doc_id long, text string).
 
     size: UTF-8 bytes of the text and 1; a null text has no bytes. slot numbers a shard's rows from 0 in the order of
@@ -41,7 +41,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     if groups:
         edges = placed.where(F.col("group").isin(groups)).groupBy("group").agg(F.min("before").alias("a"), F.max(F.col("before") + F.col("size")).alias("b")).collect()
         for a, b in ((r.a, r.b) for r in edges):
-            if b - a <= WHOLE * total / shards:
+            if b - a <= whole * total / shards:
                 cuts = [(a if c - a <= b - c else b) if a < c < b else c for c in cuts]
     # A row over a cut goes to the side that holds its middle.
     number = sum((F.when(2 * F.col("before") + F.col("size") >= F.lit(2 * c).cast("long"), 1).otherwise(0) for c in cuts), F.lit(0))
