@@ -18,7 +18,7 @@ import pyarrow as pa
 from lodestrata.llm.words import ODD, SLICE, column_bytes, mix
 
 #: log2 of the table's slots, and ids and bytes of text that it holds before it starts anew.
-SLOTS, HELD, WRITTEN = 20, 6_000_000, 20_000_000
+SLOTS, HELD, WRITTEN = 21, 6_000_000, 20_000_000
 #: Blocks of characters whose classes don't depend on the version of Unicode.
 SETTLED = ((0x0, 0x530), (0x1E00, 0x1F00), (0x2000, 0x2060), (0x20A0, 0x20BE), (0x2190, 0x2300), (0x3000, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
 #: Unicode's White_Space.

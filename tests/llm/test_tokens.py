@@ -7,6 +7,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -170,3 +171,33 @@ def test_entries_that_differ_are_not_used(path, library, monkeypatch):
     check(path, library, ["one two three", "four five six one", "two two, three 33", ""])
     monkeypatch.undo()
     tokens._values.cache_clear()
+
+
+def plain_shards(rows, shards, whole):
+    """(doc_id, size, shard, slot) by a plain pass over all rows in order."""
+    raw = [((t or "").encode(), d) for d, t in rows]
+    key = lambda r: (np.int64(np.uint64(xxhash.xxh64(r[0], seed=42).intdigest())), r[1] is not None, r[1] or 0)
+    raw.sort(key=key)
+    sizes = [len(t) + 1 for t, _ in raw]
+    before, total = np.concatenate([[0], np.cumsum(sizes)]).tolist(), sum(sizes)
+    cuts = [total * k // shards for k in range(1, shards)]
+    for i, c in enumerate(cuts):
+        at = next(j for j in range(len(raw)) if before[j] <= c < before[j + 1])
+        own = [j for j in range(len(raw)) if raw[j][0] == raw[at][0]]
+        a, b = before[own[0]], before[own[-1] + 1]
+        if a < c < b and b - a <= whole * total / shards:
+            cuts[i] = a if c - a <= b - c else b
+    out, slots = [], defaultdict(int)
+    for j, (_, d) in enumerate(raw):
+        k = sum(2 * before[j] + sizes[j] >= 2 * c for c in cuts)
+        out.append((d, sizes[j], k, slots[k]))
+        slots[k] += 1
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 3, 16])
+def test_shards_equal_a_plain_pass(docs, shards):
+    rng = random.Random(shards)
+    rows = [(i, rng.choice(["x", "é" * 9, "", None]) if i % 3 == 0 else "w" * rng.randrange(300) + str(i % 200)) for i in range(600)]
+    got = [(r.doc_id, r["size"], r.shard, r.slot) for r in sharding.shard(docs(*rows), shards, 0.05).collect()]
+    assert sorted(got) == sorted(plain_shards(rows, shards, 0.05))
