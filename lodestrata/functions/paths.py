@@ -62,15 +62,19 @@ def is_test_file(path: Column) -> Column:
     return F.lower(path).rlike(rf"(?:^|/)(?:{_alternatives(TEST_DIRS)})/|(?:^|/)conftest\.py$|(?:^|/)test_[^/]*\.py$|(?:{_alternatives(TEST_SUFFIXES)})$")
 
 
-#: Files that nothing imports but that aren't dead: roots of crates and packages, tests, benches, examples.
-EXEMPT = (
-    r"^(?:lib|main)\.rs$|/(?:lib|main|mod)\.rs$|/__init__\.py$|/src/bin/|(?:^|/)(?:tests|benches|examples)/"
-    r"|\.(?:test|spec)\.(?:ts|tsx|js|jsx)$|_test\.go$"
-)
+# Files that nothing imports but that aren't dead, by whole paths, ends, parts and first folders.
+EXEMPT_PATHS = ("lib.rs", "main.rs")
+EXEMPT_ENDS = (
+    "/lib.rs", "/main.rs", "/mod.rs", "/__init__.py", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js",
+    ".spec.jsx", "_test.go",
+)
+EXEMPT_PARTS = ("/src/bin/", "/tests/", "/benches/", "/examples/")
+EXEMPT_FOLDERS = ("tests/", "benches/", "examples/")
 
 
 def is_dead_code_exempt(path: Column) -> Column:
-    return F.translate(path, "\\", "/").rlike(EXEMPT)
+    exempt = f"^(?:{_alternatives(EXEMPT_PATHS)})$|(?:{_alternatives(EXEMPT_ENDS)})$|{_alternatives(EXEMPT_PARTS)}|^(?:{_alternatives(EXEMPT_FOLDERS)})"
+    return F.translate(path, "\\", "/").rlike(exempt)
 
 
 def has_inline_tests(lang: Column, content: Column) -> Column:

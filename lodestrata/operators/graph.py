@@ -201,10 +201,12 @@ def module_detail(nodes: DataFrame, edges: DataFrame, module: str, depth: int =
     }
 
 
-def function_of_lines(lines: DataFrame, functions: DataFrame, keys: list[str]) -> DataFrame:
-    """lines (file, line, keys) with in_function: the outermost function around the line."""
-    f = functions.select(F.col("file").alias("_f"), F.col("name").alias("in_function"), "start_line", "end_line")
-    hit = lines.join(f, (lines.file == f._f) & lines.line.between(f.start_line, f.end_line))
+def function_of_lines(lines: DataFrame, functions: DataFrame, keys: list[str], bucket: int = 256) -> DataFrame:
+    """lines (file, line, keys) with in_function: the outermost function around the line. Joined by file and bucket of lines,
+    so a long file doesn't pair all its lines with all its functions."""
+    covered = F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.greatest("start_line", "end_line") / bucket))).alias("_b")
+    f = functions.select(F.col("file").alias("_f"), F.col("name").alias("in_function"), "start_line", "end_line", covered)
+    hit = lines.join(f, (lines.file == f._f) & (F.floor(lines.line / bucket) == f._b) & lines.line.between(f.start_line, f.end_line))
     best = hit.groupBy("file", "line", *keys).agg(F.min_by("in_function", F.struct("start_line", -F.col("end_line"))).alias("in_function"))
     return lines.join(best, ["file", "line", *keys], "left")
 

@@ -52,17 +52,18 @@ def numbered(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, token=tokens) -> DataFrame:
-    """(term, id, field, tf) of names and contents."""
+    """(term, id, field, tf, len) of names and contents; len: the field's number of terms. Sorted by term in each
+    partition, so a stored index is read for the terms of a query alone."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), token(F.col(f)).alias("terms")) for f in ("name", "content")])
-    flat = chunks.select("id", F.explode(fields).alias("x")).select("id", "x.field", F.explode("x.terms").alias("term"))
-    return flat.groupBy("term", "id", "field").agg(F.count("*").alias("tf"))
+    each = chunks.select("id", F.explode(fields).alias("x")).select("id", "x.field", "x.terms")
+    flat = each.select("id", "field", F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
+    return flat.groupBy("term", "id", "field", "len").agg(F.count("*").alias("tf")).select("term", "id", "field", "tf", "len").sortWithinPartitions("term")
 
 
 def bm25(index: DataFrame, terms: list[str], n_chunks: int, k: int = CANDIDATES, boosts: dict[str, float] | None = None) -> DataFrame:
     """(id, score) of the k best chunks: any term counts, names count twice; ties by id."""
     boosts = boosts or {"name": NAME_BOOST, "content": 1.0}
-    length = index.groupBy("field", "id").agg(F.sum("tf").alias("len"))
-    mean = length.groupBy("field").agg((F.sum("len") / F.lit(float(max(1, n_chunks)))).alias("avg"))
+    mean = index.groupBy("field").agg((F.sum("tf") / F.lit(float(max(1, n_chunks)))).alias("avg"))
     hits = index.where(F.col("term").isin(sorted(set(terms))))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     boost = F.lit(0.0)
@@ -70,7 +71,7 @@ def bm25(index: DataFrame, terms: list[str], n_chunks: int, k: int = CANDIDATES,
         boost = F.when(F.col("field") == f, b).otherwise(boost)
     idf = F.ln(1 + (n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = hits.join(F.broadcast(df), ["field", "term"]).join(length, ["field", "id"]).join(F.broadcast(mean), "field")  # df: a row for each query term, mean: for each field
+    scored = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(mean), "field")  # df: a row for each query term, mean: for each field
     return scored.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 

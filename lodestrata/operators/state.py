@@ -25,13 +25,22 @@ def as_of(snapshots: DataFrame, ts: Column) -> DataFrame:
     return best.where("s IS NOT NULL").select("s.*").select(*snapshots.columns)
 
 
-def as_of_join(probes: DataFrame, history: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """probes (key, ts) with the last value of history (key, ts, value) at or before each: one sort by key and time."""
+def as_of_join(probes: DataFrame, history: DataFrame, key: str, ts: str, value: str, unit: str = "day") -> DataFrame:
+    """probes with the last value that isn't null of history (key, ts, value) at or before each. A key's time is cut into
+    units (as date_trunc names them): rows are sorted by key and unit, so no task has a key's whole history, and a unit
+    begins with the last value of those before it, from one row for each key and unit."""
     from pyspark.sql.window import Window as W
 
-    both = probes.select(key, ts, F.lit(1).alias("_p"), F.lit(None).cast(history.schema[value].dataType).alias(value)).unionByName(history.select(key, ts, F.lit(0).alias("_p"), value))
-    w = W.partitionBy(key).orderBy(ts, "_p").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_p = 1").drop("_p")
+    rest = [c for c in probes.columns if c not in (key, ts)]
+    kind = history.schema[value].dataType
+    past = history.where(F.col(value).isNotNull()).select(key, ts, F.lit(0).alias("_p"), F.col(value).alias("_v"), *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in rest])
+    both = probes.select(key, ts, F.lit(1).alias("_p"), F.lit(None).cast(kind).alias("_v"), *rest).unionByName(past).withColumn("_u", F.date_trunc(unit, ts))
+    unit_end = both.groupBy(key, "_u").agg(F.max_by("_v", F.when(F.col("_p") == 0, F.col(ts))).alias("_e"))
+    before = unit_end.select(F.col(key).alias("_k"), F.col("_u").alias("_b"), F.last("_e", ignorenulls=True).over(W.partitionBy(key).orderBy("_u").rowsBetween(W.unboundedPreceding, -1)).alias("_c"))
+    inside = F.last("_v", ignorenulls=True).over(W.partitionBy(key, "_u").orderBy(ts, "_p").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = both.withColumn("_v", inside).where("_p = 1")
+    out = placed.join(before, placed[key].eqNullSafe(F.col("_k")) & placed["_u"].eqNullSafe(F.col("_b")), "left")
+    return out.select(key, ts, *rest, F.coalesce("_v", "_c").alias(value))
 
 
 def drift(baseline: DataFrame, latest: DataFrame) -> dict[str, DataFrame]:

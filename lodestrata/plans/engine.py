@@ -300,18 +300,22 @@ class Engine:
         replace_table(search.embed(self._table("chunks", schema)), f"{self.store}/vectors")
         return self._table("chunks", schema).count()
 
+    def sentinel(self) -> datetime | None:
+        """The newest change of a file of the tree."""
+        return self.tree.agg(F.max("modified")).first()[0]
+
     def index_status(self) -> dict:
         c = self._table("chunks", "id long, file string, lang string")
-        return {"chunks": c.count(), "languages": [r.lang for r in c.select("lang").distinct().orderBy("lang").collect()], "state": "ready" if exists(self.spark, f"{self.store}/postings") else "empty"}
+        return {"newest": self.sentinel(), "chunks": c.count(), "languages": [r.lang for r in c.select("lang").distinct().orderBy("lang").collect()], "state": "ready" if exists(self.spark, f"{self.store}/postings") else "empty"}
 
     def search_code(self, query: str, limit: int = 20, lang: str | None = None, kind: str | None = None) -> DataFrame:
         q = self.spark.createDataFrame([(0, "", "", query)], "id long, file string, name string, content string")
         vector = search.embed(q).first().embedding
-        return search.search(self._chunks(), self._table("postings", "term string, id long, field string, tf long"), query, self._table("vectors", RELATIONS["vectors"]), vector, limit, lang, kind)
+        return search.search(self._chunks(), self._table("postings", RELATIONS["postings"]), query, self._table("vectors", RELATIONS["vectors"]), vector, limit, lang, kind)
 
     def similar(self, file: str, limit: int = 10) -> DataFrame:
         row = self.tree.where(F.col("path") == file).select("content").first()
-        return search.similar(self._chunks(), self._table("postings", "term string, id long, field string, tf long"), file, row.content if row else "", limit)
+        return search.similar(self._chunks(), self._table("postings", RELATIONS["postings"]), file, row.content if row else "", limit)
 
     def context_list(self) -> DataFrame:
         return configs.artifacts(self.spark, configs.read_text(self.spark, f"{self.store}/artifacts.json"))
@@ -456,11 +460,26 @@ class Engine:
     def _outputs(self) -> dict[str, str]:
         return {t: p for t in tools.READERS if exists(self.spark, p := f"{self.store}/diagnostics/{t}.json")}
 
+    @cached_property
+    def all_diagnostics(self) -> DataFrame:
+        """Findings of all tools: the stored ones if they are as new as the tree and the tools' outputs, else read again and
+        stored with the time of the newest."""
+        outputs = self._outputs()
+        found = [self.spark.read.format("binaryFile").load(p).select(F.col("modificationTime").alias("m")) for p in outputs.values()]
+        newest = reduce(DataFrame.unionByName, [self.tree.select(F.col("modified").alias("m")), *found]).agg(F.max("m")).first()[0]
+        path = f"{self.store}/diagnostics.cache"
+        stored = read_or_empty(self.spark, path, RELATIONS["diagnostics"] + ", newest timestamp, tools array<string>")
+        mark = stored.select("newest", "tools").first()
+        if not mark or mark.newest != newest or mark.tools != sorted(outputs):
+            rows = tools.read_all(self.spark, outputs)
+            replace_table(rows.withColumn("newest", F.lit(newest)).withColumn("tools", F.array(*map(F.lit, sorted(outputs))).cast("array<string>")), path)
+        return stored.drop("newest", "tools") if mark and mark.newest == newest and mark.tools == sorted(outputs) else read_or_empty(self.spark, path, RELATIONS["diagnostics"])
+
     def diagnostics(self, tool: str | None = None, severity: str | None = None, file: str | None = None, limit: int = 200) -> DataFrame:
-        return tools.filtered(tools.read_all(self.spark, self._outputs()), tool, severity, file, limit)
+        return tools.filtered(self.all_diagnostics, tool, severity, file, limit)
 
     def diagnostics_status(self) -> DataFrame:
-        return tools.tool_status(tools.read_all(self.spark, self._outputs()), self._outputs())
+        return tools.tool_status(self.all_diagnostics, self._outputs())
 
     def components(self) -> DataFrame:
         return tools.components(self.spark, f"{self.store}/components.json")

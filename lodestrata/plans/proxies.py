@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.storage import saved
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -23,6 +28,15 @@ def lang(k: str) -> str:
     return f"CASE {k} % 7 WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' WHEN 3 THEN 'python' WHEN 4 THEN 'go' WHEN 5 THEN 'json' ELSE 'markdown' END"
 
 
+def folder(k: str) -> str:
+    return f"concat(CASE WHEN {k} % 13 = 0 THEN 'tests/' WHEN {k} % 13 = 1 THEN 'web/src/' ELSE 'part/' END, CAST({k} % 10 AS STRING), '/')"
+
+
+def stem(k: str) -> str:
+    """A file's name as scripts import it: without the ending of a script."""
+    return f"CASE WHEN {k} % 7 IN (1, 2) THEN regexp_replace(regexp_replace({path(k)}, '^.*/', ''), '[.][^.]*$', '') ELSE regexp_replace({path(k)}, '^.*/', '') END"
+
+
 #: Each relation's SQL over the tables and the relations before it.
 RELATIONS = {
     "commits": f"SELECT DISTINCT CAST(l_orderkey AS STRING) AS commit, {path('l_partkey')} AS path, concat('supp', CAST(l_suppkey % 10 AS STRING)) AS author, l_shipdate AS ts FROM lineitem",
@@ -32,15 +46,32 @@ RELATIONS = {
         "CAST(round(l_discount * 100) AS INT) * 5 AS cognitive FROM lineitem"
     ),
     "files": f"SELECT {path('p_partkey')} AS path, {lang('p_partkey')} AS language, p_size AS loc, CAST(p_partkey % 997 AS BIGINT) AS bytes FROM part",
+    # Parts of one size that an order holds one after the other.
     "pairs": (
-        "SELECT DISTINCT a.l_partkey AS f, b.l_partkey AS t, min(a.l_linenumber) AS line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber "
-        "WHERE a.l_partkey < 100 AND b.l_partkey < 100 AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey"
+        "SELECT a.l_partkey AS f, b.l_partkey AS t, min(a.l_linenumber) AS line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber "
+        "JOIN part x ON x.p_partkey = a.l_partkey JOIN part y ON y.p_partkey = b.l_partkey WHERE x.p_size = y.p_size AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey"
     ),
     "edges": f"SELECT {path('f')} AS \"from\", {path('t')} AS \"to\", line FROM pairs",
     "nodes": (
         f"SELECT {path('p_partkey')} AS id, {lang('p_partkey')} AS language, p_size AS loc, p_partkey % 29 = 5 AS is_entry_point, "
         "coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM part "
-        "LEFT JOIN (SELECT t, count(*) AS n FROM pairs GROUP BY t) i ON i.t = p_partkey LEFT JOIN (SELECT f, count(*) AS n FROM pairs GROUP BY f) o ON o.f = p_partkey WHERE p_partkey < 100"
+        "LEFT JOIN (SELECT t, count(*) AS n FROM pairs GROUP BY t) i ON i.t = p_partkey LEFT JOIN (SELECT f, count(*) AS n FROM pairs GROUP BY f) o ON o.f = p_partkey"
+    ),
+    # Import statements of the files of a tree: what each names, its line, and whether it means that file.
+    "imports": (
+        f"SELECT f, t, {path('f')} AS path, CASE WHEN f % 7 IN (1, 2) THEN CASE WHEN t % 13 = 1 AND (f + t) % 2 = 0 THEN concat('~/', CAST(t % 10 AS STRING), '/', {stem('t')}) "
+        f"ELSE concat(CASE WHEN f % 13 = 1 THEN '../../../' ELSE '../../' END, {folder('t')}, {stem('t')}) END "
+        f"WHEN f % 7 = 3 THEN replace(regexp_replace({path('t')}, '[.][^./]*$', ''), '/', '.') WHEN f % 7 = 0 THEN concat('crate::', CAST(t % 10 AS STRING), '::p', CAST(t AS STRING)) "
+        f"ELSE concat('mod/', regexp_replace({path('t')}, '[.][^./]*$', '')) END AS spec, CAST(1 + row_number() OVER (PARTITION BY f ORDER BY t) AS INT) AS line, "
+        "CASE WHEN f % 7 IN (1, 2) THEN true WHEN f % 7 = 3 THEN t % 7 = 3 WHEN f % 7 = 0 THEN f % 13 = 1 AND t % 13 = 1 AND t % 7 = 0 ELSE t % 7 = 4 END AS hit FROM pairs WHERE f % 7 < 5"
+    ),
+    # The files of that tree: a comment, the imports, a mark, and a function with so many branches. Python files with
+    # imports don't parse, since folders are numbers: they have no functions, but their lines are read all the same.
+    "units": (
+        f"SELECT p_partkey AS k, {path('p_partkey')} AS path, {lang('p_partkey')} AS language, CAST(p_partkey % 4 AS INT) AS branches, CAST(coalesce(n, 0) AS INT) AS n, p_partkey % 7 < 5 AS code, p_partkey % 7 < 5 AND (p_partkey % 7 <> 3 OR n IS NULL) AS parses, "
+        "p_partkey % 7 < 5 AND p_partkey % 5 = 0 AS mark, p_partkey % 7 = 0 AND p_partkey % 3 = 0 AS test, "
+        "CAST(2 + coalesce(n, 0) + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 AND p_partkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS first, "
+        "CAST(2 + (p_partkey % 4) * CASE WHEN p_partkey % 7 = 3 THEN 2 ELSE 3 END AS INT) AS size FROM part LEFT JOIN (SELECT f, count(*) AS n FROM imports GROUP BY f) i ON i.f = p_partkey"
     ),
     "chunk_files": "SELECT concat('doc/', CAST(doc_id AS STRING), '.md') AS path, lang AS language, text AS content FROM documents",
     "days": "SELECT datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, * FROM orders",
@@ -58,7 +89,9 @@ RELATIONS = {
     ),
     "daily": "SELECT date_trunc('day', ts) AS day, user_id % 20 AS user_key, count(*) AS n, sum(value) AS total, max(value) AS top FROM events GROUP BY date_trunc('day', ts), user_id % 20",
 }
-NEEDS = {"edges": ("pairs",), "nodes": ("pairs",), "occurrences": ("days",)}
+NEEDS = {"edges": ("pairs",), "nodes": ("pairs",), "imports": ("pairs",), "units": ("pairs", "imports"), "occurrences": ("days",)}
+#: Relations that are written once for a query, since several others read them.
+WRITTEN = ("pairs", "imports")
 
 
 def _order(names: tuple[str, ...]) -> list[str]:
@@ -95,7 +128,38 @@ class Source:
         frames = {t: getattr(self, t) for t in (*TABLES, *RELATIONS) if t != name and _reads(text, t)}
         for t in frames:
             text = _placeholder(text, t)
-        return self.spark.sql(text, **frames)
+        out = self.spark.sql(text, **frames)
+        if name in WRITTEN:
+            out = saved(out, name)
+        setattr(self, name, out)
+        return out
+
+    @cached_property
+    def code(self) -> DataFrame:
+        """(path, language, content) of a source tree over imports and units."""
+        by = lambda *options: F.element_at(F.array(*options), (F.col("k") % 7 + 1).cast("int"))
+        lit = F.lit
+        text = (
+            F.when((F.col("f") % 7).isin(1, 2), F.when(F.col("t") % 3 == 0, F.format_string("import x from '%s';", "spec")).when(F.col("t") % 3 == 1, F.format_string("const x = require('%s');", "spec")).otherwise(F.format_string("export * from '%s';", "spec")))
+            .when(F.col("f") % 7 == 3, F.when(F.col("t") % 2 == 0, F.format_string("from %s import x", "spec")).otherwise(F.format_string("import %s", "spec")))
+            .when(F.col("f") % 7 == 0, F.format_string("use %s;", "spec")).otherwise(F.format_string('import "%s"', "spec"))
+        )
+        each = self.imports.groupBy(F.col("f").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", text.alias("text")))), lambda x: x["text"]).alias("imports"))
+        name, none = F.concat(lit("f"), F.col("k").cast("string")), F.array().cast("array<string>")
+        head = by(
+            F.concat(F.when(F.col("k") % 2 == 0, "pub ").otherwise(""), lit("fn "), name, lit("(a: i32, b: i32) {")), F.concat(lit("export function "), name, lit("(a: number, b: number) {")),
+            F.concat(lit("function "), name, lit("(a, b) {")), F.concat(lit("def "), name, lit("(a, b):")), F.concat(lit("func "), name, lit("(a int, b int) {")), lit(""), lit(""),
+        )
+        lines = lambda *x: F.array(*map(lit, x))
+        script = lines("    if (a > 0) {", "        b();", "    }")
+        one = by(lines("    if a > 0 {", "        b();", "    }"), script, script, lines("    if a > 0:", "        b()"), lines("    if a > 0 {", "        b()", "    }"), none, none)
+        sign = F.when(F.col("k") % 7 == 3, "# ").otherwise("// ")
+        body = F.concat(
+            F.array(F.concat(sign, lit("file "), F.col("k").cast("string"))), F.coalesce("imports", none), F.when(F.col("mark"), F.array(F.concat(sign, lit("TODO: check "), name))).otherwise(none),
+            F.when(F.col("test"), lines("#[test]")).otherwise(none), F.array(head), F.flatten(F.array_repeat(one, F.col("branches"))), F.array(F.when(F.col("k") % 7 == 3, "    return a").otherwise("}")),
+        )
+        content = F.when(F.col("code"), F.concat(F.array_join(body, "\n"), lit("\n"))).when(F.col("k") % 7 == 5, F.format_string('{"k": %d}\n', "k")).otherwise(F.format_string("text of %d\n", "k"))
+        return saved(self.units.join(each, "k", "left").select("path", "language", content.alias("content")), "code")
 
 
 def _reads(text: str, name: str) -> bool:

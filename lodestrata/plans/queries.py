@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestrata.functions import paths, scores
 from lodestrata.functions.text import simple_tokens
 from lodestrata.operators import fleet, graph, history, metrics, rules, search, state, symbols, testmap
-from lodestrata.plans.proxies import Source, lang, path, sql
+from lodestrata.plans.proxies import lang, path
+from lodestrata.plans.registry import ORACLE, QUERIES, query  # noqa: F401
+from lodestrata.sources.files import surface_counts
 from lodestrata.storage import saved
 from lodestrata.streaming import watch
 
 AS_OF = datetime(2001, 11, 4)
 SINCE = "TIMESTAMP '2001-08-06 00:00:00'"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None, *needs: str, name: str | None = None):
-    def add(f):
-        key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(Source(spark, sf_dir))
-        if oracle:
-            ORACLE[key] = sql(oracle, *needs)
-        return f
-    return add
 
 
 def r6(c):
@@ -158,10 +147,10 @@ def q1_strong_components(s):
     return comp.withColumn("size", F.count("*").over(W.partitionBy("component"))).where("size > 1").select("id", "size")
 
 
-DEPTH = "walk AS (SELECT p_partkey AS e, p_partkey AS id, 0 AS d FROM part WHERE p_partkey < 100 AND p_partkey % 29 = 5 UNION SELECT e, t, d + 1 FROM walk JOIN pairs ON id = f WHERE d < 30), near AS (SELECT e, id, min(d) AS d FROM walk GROUP BY 1, 2)"
+DEPTH = "walk AS (SELECT p_partkey AS e, p_partkey AS id, 0 AS d FROM part WHERE p_partkey % 29 = 5 UNION SELECT e, t, d + 1 FROM walk JOIN pairs ON id = f WHERE d < 30), near AS (SELECT e, id, min(d) AS d FROM walk GROUP BY 1, 2)"
 
 
-@query(f"RECURSIVE +{DEPTH} SELECT {path('p_partkey')} AS id, coalesce(max(d), 0) AS depth_from_entry FROM part LEFT JOIN near ON id = p_partkey WHERE p_partkey < 100 GROUP BY p_partkey", "pairs")
+@query(f"RECURSIVE +{DEPTH} SELECT {path('p_partkey')} AS id, coalesce(max(d), 0) AS depth_from_entry FROM part LEFT JOIN near ON id = p_partkey GROUP BY p_partkey", "pairs")
 def q2_entry_depth(s):
     return graph.entry_depths(s.nodes, s.edges).select("id", "depth_from_entry")
 
@@ -228,9 +217,11 @@ def a14_quality(s):
 
 
 @query(
-    "SELECT 1 AS section, 'hot_function' AS kind, file, name, cyclomatic, NULL AS path FROM (SELECT * FROM functions WHERE cyclomatic > 10 ORDER BY cyclomatic DESC, cognitive DESC, file, start_line LIMIT 10) "
+    f"RECURSIVE +{CLOSURE}, {CYCLES}, named AS (SELECT root, {path('a')} AS id FROM cyc), g AS (SELECT list(id ORDER BY id) AS ids, count(*) AS size FROM named GROUP BY root HAVING count(*) > 1) "
+    "SELECT 2 AS section, 'cycle' AS kind, NULL AS file, NULL AS name, NULL AS cyclomatic, array_to_string(ids, ',') AS path FROM (SELECT * FROM g ORDER BY size DESC, ids LIMIT 5) "
+    "UNION ALL SELECT 1, 'hot_function', file, name, cyclomatic, NULL FROM (SELECT * FROM functions WHERE cyclomatic > 10 ORDER BY cyclomatic DESC, cognitive DESC, file, start_line LIMIT 10) "
     f"UNION ALL SELECT 3, 'dead_file', NULL, NULL, NULL, id FROM (SELECT id FROM nodes WHERE language IN {PARSED} AND in_degree = 0 AND NOT is_entry_point AND NOT {EXEMPT.format(c='id')} ORDER BY id LIMIT 5)",
-    "functions", "nodes",
+    "functions", "nodes", "pairs",
 )
 def t6_top_issues(s):
     # Functions of one file and line tie; what is shown of them is ordered in full. A cycle's files stand in path.
@@ -322,11 +313,23 @@ def j8_diff_overlay(s):
     return history.overlay(changed, hot, hot.select(F.col("path").alias("source")), hot.select(F.col("path").alias("file")))["hotspots"].select("path", "churn")
 
 
+LAYER = "CASE WHEN {c} LIKE 'part/%/p%' THEN 'core' WHEN {c} LIKE 'tests/%' THEN 'tests' WHEN {c} LIKE 'web/%' THEN 'ui' END"
+VIOLATIONS = (
+    f"placed AS (SELECT \"from\" AS f, \"to\" AS t, line, {LAYER.format(c=chr(34) + 'from' + chr(34))} AS a, {LAYER.format(c=chr(34) + 'to' + chr(34))} AS b FROM edges), "
+    f"dead AS (SELECT count(*) AS n FROM nodes WHERE language IN {PARSED} AND in_degree = 0 AND NOT is_entry_point), "
+    "violations AS (SELECT 'layer_forbid' AS rule, '`' || f || '` → `' || t || '` (' || a || ' → ' || b || ')' AS summary, f AS file, line FROM placed WHERE (a = 'core' AND b = 'ui') OR (a = 'ui' AND b = 'tests') "
+    "UNION ALL SELECT 'complexity_cap', '`' || file || '::' || name || '` — ' || concat_ws(', ', CASE WHEN cyclomatic > 48 THEN 'cc ' || cyclomatic || ' > 48' END, CASE WHEN cognitive > 45 THEN 'cog ' || cognitive || ' > 45' END), file, start_line "
+    "FROM functions WHERE file LIKE 'part/1/%' AND (cyclomatic > 48 OR cognitive > 45) UNION ALL SELECT 'dead_code', n || ' dead files (cap 3)', NULL, NULL FROM dead WHERE n > 3)"
+)
+
+
 @query(
     f"+ {HOT}, {TESTMAP}, g AS (SELECT f.path AS source, coalesce(total_cyclomatic, 0) AS cc, loc FROM files f LEFT JOIN metrics m ON m.path = f.path WHERE NOT {IS_TEST.format(c='f.path')} AND f.path NOT IN (SELECT source FROM tm) ORDER BY cc DESC, loc DESC, source LIMIT 5), "
-    "h AS (SELECT path, churn FROM hot ORDER BY score DESC, churn DESC, path LIMIT 3), a AS (SELECT 'test_gap' AS category, source AS target, least(0.9, 0.4 + least(0.5, cc / 200.0)) AS score, 2 AS k FROM g UNION ALL SELECT 'hotspot', path, least(0.85, 0.3 + least(0.4, churn / 100.0)), 3 FROM h) "
-    "SELECT category, target, round(score, 6) AS score FROM a",
-    "commits", "functions", "edges", "files",
+    f"h AS (SELECT path, churn FROM hot ORDER BY score DESC, churn DESC, path LIMIT 3), {VIOLATIONS}, v AS (SELECT * FROM violations ORDER BY rule, file NULLS FIRST, line NULLS FIRST, summary LIMIT 5), "
+    "t AS (SELECT id FROM notes WHERE kind = 'user' ORDER BY session_id DESC, id LIMIT 5), a AS (SELECT 'rules_violation' AS category, coalesce(file, '') AS target, 0.95 AS score, 1 AS k FROM v "
+    "UNION ALL SELECT 'test_gap', source, least(0.9, 0.4 + least(0.5, cc / 200.0)), 2 FROM g UNION ALL SELECT 'hotspot', path, least(0.85, 0.3 + least(0.4, churn / 100.0)), 3 FROM h UNION ALL SELECT 'pinned_todo', CAST(id AS VARCHAR), 0.5, 4 FROM t) "
+    "SELECT category, target, round(score, 6) AS score FROM a ORDER BY a.score DESC, k, target LIMIT 8",
+    "commits", "functions", "nodes", "edges", "files", "notes",
 )
 def c9_next_action(s):
     from lodestrata.plans.engine import next_actions
@@ -376,7 +379,11 @@ def a22_top_symbols(s):
     return symbols.top_symbols(s.occurrences)
 
 
-@query("SELECT doc, count(DISTINCT CASE WHEN is_def THEN symbol END) AS definitions, count(*) FILTER (NOT is_def) AS outgoing, count(*) AS total, (SELECT count(*) FROM occurrences x WHERE x.doc <> o.doc AND x.symbol IN (SELECT symbol FROM occurrences d WHERE d.is_def AND d.doc = o.doc)) AS incoming FROM occurrences o WHERE doc IN ('1', '2', '3', '7') GROUP BY doc", "occurrences")
+@query(
+    "+ d AS (SELECT DISTINCT doc, symbol FROM occurrences WHERE is_def), i AS (SELECT d.doc, count(*) AS incoming FROM d JOIN occurrences x ON x.symbol = d.symbol AND x.doc <> d.doc GROUP BY d.doc), "
+    "h AS (SELECT doc, count(DISTINCT CASE WHEN is_def THEN symbol END) AS definitions, count(*) FILTER (NOT is_def) AS outgoing, count(*) AS total FROM occurrences GROUP BY doc) SELECT h.*, coalesce(incoming, 0) AS incoming FROM h LEFT JOIN i USING (doc)",
+    "occurrences",
+)
 def a23_file_summaries(s):
     return symbols.file_summaries(s.occurrences)
 
@@ -500,7 +507,7 @@ def p12_notes(s):
     return state.list_notes(notes, "file", "user", None, 30).select("id", "scope")
 
 
-@query("SELECT event_id AS id, event_type AS scope FROM events WHERE (CAST(regexp_extract(props, '[0-9]+') AS INT) % 3 = 0 OR ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-15 00:00:00') AND user_id < 100")
+@query("SELECT event_id AS id, event_type AS scope FROM events WHERE (CAST(regexp_extract(props, '[0-9]+') AS INT) % 3 = 0 OR ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-15 00:00:00')")
 def p11_live_pins(s):
     e = s.events
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
@@ -524,8 +531,7 @@ def j15_hot_function_drift(s):
 def j16_as_of_join(s):
     probes = s.orders.select(F.col("o_orderkey"), (F.col("o_custkey") % 100).alias("k"), F.expr("timestampadd(SECOND, o_orderkey * 100, TIMESTAMP_NTZ '2024-01-01 00:00:00')").alias("ts"))
     past = s.events.groupBy((F.col("user_id") % 100).alias("k"), "ts").agg(F.max("event_id").alias("value"))
-    found = state.as_of_join(probes, past, "k", "ts", "value")
-    return probes.join(found.distinct(), ["k", "ts"]).select(F.col("o_orderkey").alias("id"), "value")
+    return state.as_of_join(probes, past, "k", "ts", "value").select(F.col("o_orderkey").alias("id"), "value")
 
 
 @query("SELECT doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'removed' END AS change FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0 OR doc_id % 9 = 0")
@@ -557,7 +563,7 @@ def u1_surface_common(s):
 
 @query("SELECT kind, NULL AS app, count(*) AS n FROM surface GROUP BY kind UNION ALL SELECT NULL, app, count(*) FROM surface GROUP BY app", "surface")
 def a15_surface_counts(s):
-    return s.surface.groupingSets([["kind"], ["app"]], "kind", "app").agg(F.count("*").alias("n"))
+    return surface_counts(s.surface.withColumnRenamed("app", "language")).withColumnRenamed("language", "app")
 
 
 @query(f"+ {METRICS} SELECT 'app' || (total_cyclomatic % 5) AS app, path AS file, total_cyclomatic, longest_function_loc AS loc FROM metrics WHERE function_count % 4 <> 0 ORDER BY total_cyclomatic DESC, loc DESC, app, file LIMIT 25", "functions")

@@ -15,6 +15,7 @@ RELATIONS = {
     "named_commands": "name string, command string, source string, purpose string",
     "markers": "file string, line int, kind string, text string",
     "chunks": "id long, file string, lang string, kind string, name string, start_line int, end_line int, content string",
+    "postings": "term string, id long, field string, tf long, len long",
     "vectors": "chunk_id long, embedding array<float>",
     "occurrences": (
         "doc string, occ int, symbol string, is_def boolean, start_line int, start_char int, end_line int, end_char int, "

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -434,9 +434,14 @@ def _rust_items(t: Text, a: int, b: int, out: list) -> None:
 
 
 def _exports(t: Text, out: list) -> None:
+    outer: list[tuple[int, int]] = []  # braces that no other holds
+    for x, y in sorted(t.close.items()):
+        if t.code[x] == "{" and (not outer or x > outer[-1][1]):
+            outer.append((x, y))
     for m in EXPORT.finditer(t.code):
         at = m.end() - 6
-        if any(x < at < y for x, y in t.close.items() if t.code[x] == "{"):
+        i = bisect_left(outer, (at,)) - 1
+        if i >= 0 and at < outer[i][1]:
             continue
         rest, line = t.code[m.end() :], t.line(at)
         if re.match(r"\s*(?:type\s+)?(?:\*|\{)", rest):

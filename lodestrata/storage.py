@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What is added to the name of a table that is being replaced.
+BEFORE = ".before"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir; one of our own only where it names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,8 +30,10 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether a file or table is there. A table whose replacement broke off between its two renames is put back first."""
+    h = spark._jvm.org.apache.hadoop.fs.Path
+    fs = h(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(h(path)) or fs.exists(h(f"{path}{BEFORE}")) and fs.rename(h(f"{path}{BEFORE}"), h(path))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,14 +41,19 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a new version of a table that df may read: to a side folder first, then in its place."""
+    """Writes a new version of a table that df may read to a side folder, puts the old one aside and the new one in its
+    place. At each moment one whole version is there: exists() finds the old one if a driver is lost in between."""
     spark = df.sparkSession
     new = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(new)
     h = spark._jvm.org.apache.hadoop.fs.Path
     fs = h(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(h(path), True)
+    old = h(f"{path}{BEFORE}")
+    if exists(spark, path):
+        fs.delete(old, True)
+        fs.rename(h(path), old)
     fs.rename(h(new), h(path))
+    fs.delete(old, True)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
