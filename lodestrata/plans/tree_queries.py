@@ -3,16 +3,19 @@ diagnostics, storage and the composed answers. Each has SQL that gives the same
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import paths, scores
+from lodestrata.functions.text import tokens
 from lodestrata.operators import fleet, graph, history, metrics, resolve, rules, search, state, symbols
 from lodestrata.plans.proxies import path
-from lodestrata.plans.queries import AS_OF, COS, HOT, PLACED, RULES, IS_TEST, TESTMAP, CLOSURE, CYCLES, PARSED, r6
+from lodestrata.plans.queries import AS_OF, COS, HOT, PLACED, IS_TEST, TESTMAP, CLOSURE, CYCLES, MODULE, PARSED, r6
 from lodestrata.plans.registry import query
 from lodestrata.sources import configs, files, imports, tools
-from lodestrata.storage import last_of_key, remove, saved, upsert
+from lodestrata.storage import last_of_key, remove, replace_partition, replace_table, saved, shared_dir, upsert
 from lodestrata.streaming import watch
 
 FROM, TO = '"from"', '"to"'
@@ -85,7 +88,9 @@ def y4_item_counts(s):
 
 def _graph(s) -> dict:
     tree = s.code.select("path", "language", F.lit(1).alias("loc"))
-    return resolve.build_graph(tree, imports.import_edges(s.code), aliases=[("~/*", ["web/src/*"])], crates={}, modules={"mod": ""})
+    aliases = configs.ts_aliases('{"compilerOptions": {"paths": {"~/*": ["./web/src/*"], /* none */ "x/*": ["node_modules/x/*"]}}}  // a comment')
+    crates = configs.rust_crates({"web/Cargo.toml": '[package]\nname = "web-app"\n', "bad/Cargo.toml": "["})
+    return resolve.build_graph(tree, imports.import_edges(s.code), aliases=aliases, crates=crates, modules=configs.go_modules({"go.mod": "// it\nmodule mod\n"}))
 
 
 @query(f"SELECT path AS {FROM}, {path('t')} AS {TO}, line FROM imports WHERE hit", "imports")
@@ -302,7 +307,7 @@ def j20_symbol_of_function(s):
 
 @query("SELECT DISTINCT unnest(CASE WHEN path LIKE 'web/%' THEN ['@frontend', '@design'] WHEN path LIKE 'tests/%' THEN ['@qa'] ELSE ['@all'] END) AS owner FROM files WHERE loc > 48", "files")
 def j9_owner_set(s):
-    own = s.spark.createDataFrame([(0, "*", ["@all"]), (1, "/web/", ["@frontend", "@design"]), (2, "/tests/", ["@qa"])], "ordinal int, pattern string, owners array<string>")
+    own = configs.owner_rules(s.spark, "# owners\n* @all\n/web/ @frontend @design  # the browser\n!no @x\nalone\n/tests/ @qa\n")
     changed = s.files.where("loc > 48")
     none = s.files.limit(0)
     return history.overlay(changed, none, none.withColumnRenamed("path", "source"), none.withColumnRenamed("path", "file"), own)["owners"]
@@ -327,6 +332,35 @@ def a29_smallest_cycle(s):
     return graph.find_cycles(s.edges).orderBy("size", "nodes").limit(1).select(F.array_join("nodes", ",").alias("nodes"), "size")
 
 
+TOML = """
+[layers]
+ui = ["web/**"]
+core = ["part/*/p*"]
+tests = ["tests/**"]
+
+[[layer_forbid]]
+from = "core"
+to = "ui"
+
+[[layer_forbid]]
+from = "ui"
+to = "tests"
+reason = "no tests in the browser"
+
+[[complexity_cap]]
+glob = "part/1/**"
+max_cyclomatic = 48
+max_cognitive = 45
+
+[[surface_forbid]]
+glob = "*.rs"
+pattern = "ring$"
+
+[dead_code]
+max_files = 3
+"""
+
+
 @query(
     "SELECT 'complexity_cap' AS rule, count(*) AS n FROM functions WHERE file LIKE 'part/1/%' AND (cyclomatic > 48 OR cognitive > 45) HAVING count(*) > 0 "
     f"UNION ALL SELECT 'dead_code', 1 FROM (SELECT count(*) AS n FROM nodes WHERE language IN {PARSED} AND in_degree = 0 AND NOT is_entry_point) WHERE n > 3 "
@@ -335,7 +369,7 @@ def a29_smallest_cycle(s):
     "functions", "nodes", "edges", "surface",
 )
 def v5_evaluate(s):
-    config = RULES | {"surface_forbid": [{"glob": "*.rs", "pattern": "ring$"}]}
+    config = configs.load_toml(TOML)
     return rules.counts(rules.evaluate(config, s.edges, s.functions, s.nodes, s.surface))
 
 
@@ -386,3 +420,122 @@ PURPOSES = "CASE p_size % 7 WHEN 0 THEN 'dev' WHEN 1 THEN 'run' WHEN 2 THEN 'bui
 def u7_suggested(s):
     found = s.part.selectExpr("concat(p_name, ' ', lpad(CAST(p_partkey AS STRING), 12, '0')) AS name", "concat('run ', CAST(p_partkey AS STRING)) AS command", f"{SOURCES} AS source", f"{PURPOSES} AS purpose")
     return configs.suggested(found)
+
+
+# --- tokens, configurations, stores and streams
+
+@query("SELECT p_partkey AS id, unnest(['getpart' || p_partkey || '_xy', 'get', 'part', '' || p_partkey, 'xy', 'next']) AS term FROM part")
+def x4_code_tokens(s):
+    text = F.concat(F.lit("getPart"), F.col("p_partkey").cast("string"), F.lit("_xy (next)"))
+    return s.part.select(F.col("p_partkey").alias("id"), F.explode(tokens(text)).alias("term"))
+
+
+COMMANDS = (
+    "SELECT 'check' || p_partkey AS name, 'npm run check' || p_partkey AS command, 'package.json' AS source, 'run' AS purpose, p_partkey % 4 AS kind FROM part WHERE p_partkey % 4 = 0 "
+    "UNION ALL SELECT 'build' || p_partkey, 'just build' || p_partkey, 'just', 'build', 1 FROM part WHERE p_partkey % 4 = 1 UNION ALL SELECT 'test' || p_partkey, 'make test' || p_partkey, 'make', 'test', 2 FROM part WHERE p_partkey % 4 = 2 "
+    "UNION ALL SELECT 'serve' || p_partkey, 'serve' || p_partkey, 'python', 'dev', 3 FROM part WHERE p_partkey % 4 = 3"
+)
+
+
+@query(f"SELECT name, command, source, purpose FROM ({COMMANDS})")
+def s19_commands(s):
+    k = F.col("p_partkey").cast("string")
+    by = lambda *options: F.element_at(F.array(*options), (F.col("p_partkey") % 4 + 1).cast("int"))
+    text = by(
+        F.concat(F.lit('{"scripts": {"check'), k, F.lit('": "x"}}')), F.concat(F.lit("set x := 1\nbuild"), k, F.lit(" a:\n  echo\n")), F.concat(F.lit("X := 1\ntest"), k, F.lit(": dep\n\techo\n")),
+        F.concat(F.lit('[project.scripts]\nserve'), k, F.lit(' = "a:b"\n')),
+    )
+    file = by(*map(F.lit, ("package.json", "justfile", "Makefile", "pyproject.toml")))
+    return configs.commands(s.part.select(F.concat(F.lit("d"), k, F.lit("/"), file).alias("path"), text.alias("content"))).select("name", "command", "source", "purpose")
+
+
+@query("SELECT 'doc/' || doc_id || '.md' AS path, length(text) AS n FROM documents WHERE CAST(doc_id AS VARCHAR) LIKE '2%' OR doc_id = 7")
+def s21_artifact_files(s):
+    return configs.resolve_artifact(s.chunk_files, ["doc/2*.md", "doc/7.md"]).select("path", F.length("content").alias("n"))
+
+
+def _place(s, name: str) -> str:
+    return f"{shared_dir(s.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'info' ELSE 'hint' END AS severity, 'u' || user_id || '.rs' AS file, count(*) AS n, min(event_id) AS first FROM events WHERE event_id % 5 <> 0 GROUP BY 1, 2")
+def s17_clippy_report(s):
+    spot = lambda main, line: f"named_struct('file_name', concat('u', CAST(user_id AS STRING), '.rs'), 'line_start', {line}, 'line_end', 1, 'column_start', 1, 'column_end', 2, 'is_primary', {main})"
+    rows = s.events.selectExpr(
+        "CASE WHEN event_id % 5 = 0 THEN 'build-finished' ELSE 'compiler-message' END AS reason",
+        f"named_struct('level', CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'note' ELSE 'help' END, 'message', 'm', 'code', named_struct('code', 'c'), 'spans', array({spot('false', 0)}, {spot('true', 'CAST(event_id AS INT)')})) AS message",
+    )
+    at = _place(s, "clippy")
+    rows.write.json(at)
+    return tools.clippy(s.spark, at).groupBy("severity", "file").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+
+
+@query("SELECT CAST(p_partkey % 5 AS INT) AS app, p_partkey AS k, CASE WHEN p_partkey % 5 IN (1, 3) THEN 'new' ELSE 'old' END AS value FROM part WHERE p_partkey % 5 NOT IN (1, 3) OR p_size < 20")
+def k7_replace_by_app(s):
+    at = _place(s, "apps")
+    rows = s.part.select((F.col("p_partkey") % 5).cast("int").alias("app"), F.col("p_partkey").alias("k"), F.lit("old").alias("value"), "p_size")
+    replace_partition(rows.drop("p_size"), at, "app")
+    replace_partition(rows.where("app IN (1, 3) AND p_size < 20").withColumn("value", F.lit("new")).drop("p_size"), at, "app")
+    return s.spark.read.schema("app int, k long, value string").parquet(at).select("app", "k", "value")
+
+
+@query("SELECT p_partkey AS k, p_size + 1 AS v FROM part WHERE p_size > 25")
+def k8_replaced_table(s):
+    at = _place(s, "table")
+    replace_table(s.part.selectExpr("p_partkey AS k", "p_size AS v"), at)
+    replace_table(s.spark.read.parquet(at).where("v > 25").selectExpr("k", "v + 1 AS v"), at)
+    return s.spark.read.parquet(at)
+
+
+@query(
+    "+ b AS (SELECT min(day) AS x, max(day) AS y FROM daily), o AS (SELECT user_key, n, total FROM daily, b WHERE day = x), p AS (SELECT user_key, n, total FROM daily, b WHERE day = y) "
+    "SELECT round((SELECT sum(total) FROM p) - (SELECT sum(total) FROM o), 4) AS score_delta, (SELECT count(*) FROM o FULL JOIN p ON o.user_key = p.user_key WHERE o.n IS NULL OR p.n IS NULL OR p.n > o.n) AS changes",
+    "daily",
+)
+def c11_drift(s):
+    ends = s.daily.agg(F.min("day").alias("x"), F.max("day").alias("y"))
+    shots = s.daily.groupBy("day").agg(F.sum("total").alias("score"), F.collect_list(F.struct(F.lit("f").alias("file"), F.col("user_key").cast("string").alias("name"), F.col("n").cast("int").alias("cyclomatic"))).alias("hot_functions"))
+    shots = shots.select(F.unix_date(F.to_date("day")).cast("long").alias("id"), F.col("day").alias("ts"), "score", *[F.lit(0.0).alias(a) for a in ("complexity", "acyclicity", "dead_code", "coupling")], "hot_functions")
+    first, last = ends.first()
+    d = state.drift(state.as_of(shots, F.lit(first)), state.as_of(shots, F.lit(last)))
+    return d["scores"].crossJoin(d["functions"].agg(F.count("*").alias("changes"))).select(F.round("score_delta", 4).alias("score_delta"), "changes")  # one row each
+
+
+@query(
+    f"+ k AS (SELECT {MODULE.format(c='id')} AS module, count(*) AS n FROM nodes GROUP BY 1), m AS (SELECT module, n, 'm' || (row_number() OVER (ORDER BY module) - 1) AS id FROM k), "
+    f"e AS (SELECT {MODULE.format(c=FROM)} AS a, {MODULE.format(c=TO)} AS b FROM edges), w AS (SELECT a, b, count(*) AS n FROM e WHERE a <> b GROUP BY 1, 2) "
+    "SELECT 'graph LR' AS line UNION ALL SELECT '  ' || id || '[\"' || module || ' (' || n || ')\"]' FROM m UNION ALL SELECT '  ' || x.id || CASE WHEN w.n = 1 THEN ' --> ' ELSE ' -->|' || w.n || '| ' END || y.id FROM w JOIN m x ON x.module = a JOIN m y ON y.module = b",
+    "nodes", "edges",
+)
+def c16_architecture(s):
+    from lodestrata.plans.engine import mermaid
+
+    nodes, edges = graph.module_graph(s.nodes, s.edges)
+    rows = nodes.orderBy("module").collect()  # modules are few
+    name = {r.module: r.id for r in rows}
+    text = mermaid([(r.id, f"{r.module} ({r.file_count})") for r in rows], [(name[e.source], name[e.target], e.weight) for e in edges.orderBy("source", "target").collect()])
+    return s.spark.createDataFrame([(x,) for x in text.splitlines()], "line string")
+
+
+@query(
+    "WITH e AS (SELECT 'u' || (user_id % 50) AS project, event_type AS path, substr(props, 1, 7) AS hash, min(event_id) AS k FROM events GROUP BY user_id % 50, event_type, substr(props, 1, 7), ts), l AS (SELECT *, lag(hash) OVER (PARTITION BY project, path ORDER BY k) AS old FROM e) "
+    "SELECT project, path, CASE WHEN old IS NULL THEN 'added' ELSE 'changed' END AS change, count(*) AS n FROM l WHERE old IS NULL OR old <> hash GROUP BY 1, 2, 3"
+)
+def z3_stream_of_changes(s):
+    """The stateful stream over a folder of events, until all that is there is read."""
+    e = s.events.groupBy((F.col("user_id") % 50).alias("u"), "event_type", F.substring("props", 1, 7).alias("hash"), "ts").agg(F.min("event_id").alias("k"))
+    rows = e.select(F.concat(F.lit("u"), F.col("u").cast("string")).alias("project"), F.col("event_type").alias("path"), "hash", F.timestamp_seconds("k").alias("ts"))
+    at = _place(s, "events")
+    rows.write.parquet(f"{at}/in")
+    stream = s.spark.readStream.schema(watch.EVENTS).parquet(f"{at}/in")
+    sink = watch.changes(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    sink.awaitTermination()
+    out = s.spark.read.schema("project string, path string, change string, hash string, ts timestamp").parquet(f"{at}/out")
+    return out.groupBy("project", "path", "change").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT language FROM units WHERE code OR language IN ('json', 'markdown')", "units")
+def z5_languages_of_a_batch(s):
+    seen: list[str] = []
+    watch.languages_batch(seen.extend)(s.code.select("path"), 0)
+    return s.spark.createDataFrame([(x,) for x in seen], "language string")
