@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import components, release, save, ship, table
-from lodestrata.llm.words import lean, mix
+from lodestrata.llm.words import lean, mix, slices
 
 #: Width of a quantum, recall at the threshold that the number of tables is made for, and far pairs of a vector in a table.
 WIDTH, RECALL, FAR = 2.0, 0.95, 0.1
@@ -59,24 +59,29 @@ class Hasher:
 def _class_rows(batches):
     """(vec_id, key, vector as float64 bytes); key null where the vector links with nothing."""
     for b in batches:
-        keys, vectors = [], []
-        for v in b.column("embedding").to_pylist():
-            x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
-            good = x.size and np.isfinite(x).all() and x.any()
-            raw = (x + 0.0).tobytes() if good else None
-            keys.append(blake2b(raw, digest_size=16).digest() if good else None)
-            vectors.append(raw)
+        lists = b.column("embedding")
+        off = lists.offsets.to_numpy()
+        flat = lists.values.cast(pa.float64()).to_numpy(zero_copy_only=False) + 0.0  # nulls are nan, -0 is 0
+        bad, full = (np.concatenate([[0], np.cumsum(x)]) for x in (~np.isfinite(flat), flat != 0))
+        good = lists.is_valid().to_numpy(zero_copy_only=False) & (bad[off[1:]] == bad[off[:-1]]) & (full[off[1:]] > full[off[:-1]])
+        vectors = [flat[x:y].tobytes() if g else None for x, y, g in zip(off[:-1].tolist(), off[1:].tolist(), good.tolist())]
+        keys = [blake2b(v, digest_size=16).digest() if v else None for v in vectors]
         yield pa.record_batch({"vec_id": b.column("vec_id"), "key": pa.array(keys, pa.binary()), "vector": pa.array(vectors, pa.binary())})
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.array([np.frombuffer(r, np.float64) for r in raw])
+def _matrix(raw: pa.Array, kind) -> np.ndarray:
+    """A binary column whose values are of one length, as rows."""
+    off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind).reshape(len(raw), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _by_length(raw: list[bytes]):
-    size = np.array([len(r) for r in raw])
+def _by_length(raw: pa.Array):
+    size = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1])
     for n in np.unique(size):
         yield np.flatnonzero(size == n)
 
@@ -96,51 +101,61 @@ def links(x: np.ndarray, names: np.ndarray, at: int, mine: np.ndarray, threshold
     return near
 
 
+def _groups(rows: pa.Table, threshold: float):
+    """Compares the groups of rows, which are sorted by (key, i, j): (counts, edges) as arrays of (id, n) and (id, id)."""
+    counts, edges = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+    for part in _by_length(rows.column("vector")):
+        own = rows.take(pa.array(part))
+        key, i, j, mine, ids, copies = (own.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "copies"))
+        x, names = _unit(_matrix(own.column("vector"), np.float64)), _matrix(own.column("names"), np.uint32)
+        table = key >> 32
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        size = np.diff(np.append(start, len(key)))
+        a = start[size == 2]  # most groups, all at once
+        a = a[(i[a] == j[a]) | (mine[a] != mine[a + 1])]
+        a = a[np.einsum("ij,ij->i", x[a], x[a + 1]) >= threshold]
+        a = a[~((names[a] == names[a + 1]) & (np.arange(names.shape[1]) < table[a, None])).any(1)]
+        counts += [np.stack([ids[a], copies[a + 1]]), np.stack([ids[a + 1], copies[a]])]
+        edges.append(np.stack([ids[a], ids[a + 1]]))
+        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            g = slice(s, s + n)
+            near = links(x[g], names[g], int(table[s]), mine[g] == i[s] if i[s] != j[s] else np.zeros(n, bool), threshold)
+            count = near @ copies[g]
+            some = np.flatnonzero(count)
+            counts.append(np.stack([ids[g][some], count[some]]))
+            label = np.arange(n)
+            for k in some.tolist():
+                for other in np.unique(label[near[k]]).tolist():
+                    if other != label[k]:
+                        edges.append(np.array([[ids[s + k]], [ids[s + int(np.flatnonzero(near[k] & (label == other))[0])]]]))
+                        label[label == other] = label[k]
+    return np.concatenate(counts, axis=1), np.concatenate(edges, axis=1)
+
+
 def _compare(threshold: float):
-    """Rows come sorted by (table, bucket, i, j): compares each such group."""
-    def group(key, rows):
-        t, _, i, j = key
-        out, edges = [], []
-        for part in _by_length([r["vector"] for r in rows]):
-            own = [rows[k] for k in part.tolist()]
-            if len(own) < 2:
-                continue
-            names = np.array([np.frombuffer(r["names"], np.uint32) for r in own])
-            mine = np.array([r["own"] == i for r in own]) if i != j else np.zeros(len(own), bool)
-            near = links(_unit([r["vector"] for r in own]), names, t, mine, threshold)
-            copies = np.array([r["copies"] for r in own])
-            ids = [r["id"] for r in own]
-            count = near @ copies
-            out += [(ids[k], int(count[k])) for k in np.flatnonzero(count).tolist()]
-            label = np.arange(len(own))
-            for k in range(len(own)):
-                for g in np.unique(label[near[k]]).tolist():
-                    if g != label[k]:
-                        edges.append((ids[k], ids[int(np.flatnonzero(near[k] & (label == g))[0])]))
-                        label[label == g] = label[k]
-        return out, edges
-
-    def batch(found):
-        counts, edges = [x for f in found for x in f[0]], [x for f in found for x in f[1]]
+    """Rows come sorted by (key, i, j): compares each such group, of two blocks at most."""
+    def found(rows: pa.Table):
+        counts, edges = _groups(rows.combine_chunks().to_batches()[0], threshold)
+        none = pa.nulls
         return pa.record_batch({
-            "a": pa.array([a for a, _ in counts + edges], pa.int64()), "b": pa.array([None] * len(counts) + [b for _, b in edges], pa.int64()),
-            "n": pa.array([n for _, n in counts] + [None] * len(edges), pa.int64()),
+            "a": pa.array(np.concatenate([counts[0], edges[0]])), "b": pa.concat_arrays([none(counts.shape[1], pa.int64()), pa.array(edges[1])]),
+            "n": pa.concat_arrays([pa.array(counts[1]), none(edges.shape[1], pa.int64())]),
         })
 
     def run(batches):
-        key, rows = None, []
+        held = None
         for b in batches:
-            found = []
-            for r in b.to_pylist():
-                k = (r["t"], r["bucket"], r["i"], r["j"])
-                if k != key:
-                    if rows:
-                        found.append(group(key, rows))
-                    key, rows = k, []
-                rows.append(r)
-            yield batch(found)
-        if rows:
-            yield batch([group(key, rows)])
+            for k in range(0, b.num_rows, 4096):
+                t = pa.Table.from_batches([b.slice(k, 4096)])
+                held = t if held is None else pa.concat_tables([held, t])
+                key, i, j = (held.column(c).to_numpy() for c in ("key", "i", "j"))
+                last = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+                whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+                if whole:
+                    yield found(held.slice(0, whole))
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield found(held)
     return run
 
 
@@ -169,33 +184,31 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> Dat
 
     def named(batches):
         for b in batches:
-            raw = b.column("vector").to_pylist()
+            raw = b.column("vector")
             names = np.zeros((len(raw), tables), np.uint32)
             for part in _by_length(raw):
                 for k in range(0, len(part), 500):
                     some = part[k : k + 500]
-                    names[some] = hasher(_unit([raw[i] for i in some.tolist()]))
+                    names[some] = hasher(_unit(_matrix(raw.take(pa.array(some)), np.float64)))
             yield pa.record_batch({"id": b.column("id"), "names": pa.array([n.tobytes() for n in names], pa.binary())})
 
     def buckets(batches):
-        for b in batches:
-            names = np.array([np.frombuffer(n, np.uint32) for n in b.column("names").to_pylist()]).reshape(b.num_rows, tables)
-            yield pa.record_batch({
-                "id": pa.array(np.repeat(b.column("id").to_numpy(), tables)), "t": pa.array(np.tile(np.arange(tables, dtype=np.int32), b.num_rows)),
-                "bucket": pa.array(names.ravel().astype(np.int64)),
-            })
+        for b in slices(batches, 1 << 20):
+            names = _matrix(b.column("names"), np.uint32)
+            keys = names.astype(np.int64) + (np.arange(tables, dtype=np.int64) << 32)
+            yield pa.record_batch({"id": pa.array(np.repeat(b.column("id").to_numpy(), tables)), "key": pa.array(keys.ravel())})
 
     signed = save(classes.select("id", "vector").mapInArrow(lean(named), "id long, names binary"), "names")
-    index = signed.mapInArrow(lean(buckets), "id long, t int, bucket long")
-    full = index.groupBy("t", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    index = signed.mapInArrow(lean(buckets), "id long, key long")  # key: the table, then the bucket
+    full = index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     dealt = (
-        index.join(full, ["t", "bucket"]).withColumn("s", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), "s"))
+        index.join(full, "key").withColumn("s", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), "s"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-        .select("id", "t", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select("id", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
     found = save(
         dealt.join(classes.select("id", "copies", "vector").join(signed, "id"), "id")
-        .repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "id").mapInArrow(lean(_compare(threshold)), "a long, b long, n long"),
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(lean(_compare(threshold)), "a long, b long, n long"),
         "found",
     )
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
