@@ -9,7 +9,10 @@ Stages: (A) each text to (size, hash of its set): equal sets are one node from h
 are short, only sets that share enough of their n-grams with any other set go on: n-grams are dealt out by ranges of the
 order, uses are counted in each range separately and summed per set. Then fragment keys, dealt out by key; nodes of one key are tied to the first of them (a star, not pairs). Each task first ties the nodes that it sees
 itself, so a key that a third of all rows share reaches the shuffle once a task. (C) families, cut in blocks of bounded
-size; a task compares two blocks and returns a spanning forest of the links that it found.
+size; a task compares a block, with a few pivots of its family beside it, and returns a spanning forest of the links that
+it found. What the pivots connect in a family needs no more comparison; only the sets outside its largest component are
+held against all its blocks. So a family of near copies costs in proportion to its size. Memory is bounded by a block in
+(C) and by a range of the order in (B), of which there are four for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -33,14 +36,16 @@ from lodestrata.llm.words import BLANKS, lean, mix, slices, text_shingles
 RATIO = 1.3
 #: Documents and n-grams of a block at most (one document may have more).
 BLOCK_DOCS, BLOCK_NGRAMS = 2048, 1_000_000
+#: Sets of a family of several blocks that stand beside each of them, on average.
+PIVOTS = 16
 #: Vertical fragments that a family's n-grams are cut into when overlaps are counted.
 FRAGMENTS = 4
 #: N-grams that a fragment holds at least on average where candidates need no other proof than one fragment.
 LONG = 8
 #: N-grams that a task holds before it deals them out; uses are counted by so many bits of their hashes.
 CHUNK, BITS = 1_000_000, 48
-#: log2 of the bits of the filter that picks the texts of candidates.
-FILTER_BITS = 22
+#: Bits for each candidate of the filter that picks their texts, and log2 of the most and least that it has.
+FILTER, FILTER_MOST, FILTER_LEAST = 16, 27, 16
 BOUNDS = [1]
 while BOUNDS[-1] < 1 << 40:
     BOUNDS.append(max(BOUNDS[-1] + 1, int(BOUNDS[-1] * RATIO)))
@@ -280,7 +285,7 @@ def _passing(batches, bits: np.ndarray | None):
             yield b
             continue
         ids = b.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
-        slot = mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+        slot = mix(ids.view(np.uint64)) >> np.uint64(58 - (len(bits) - 1).bit_length())
         yield b.filter(pa.array((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1))
 
 
@@ -298,11 +303,11 @@ def _token_rows(words: int, bits: np.ndarray):
     return run
 
 
-def _slots(column: str):
+def _slots(column: str, bits: int):
     """The filter's words and bits, as numpy's."""
     def run(batches):
         for b in batches:
-            slot = mix(b.column(column).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+            slot = mix(b.column(column).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)
             word, at = np.unique(slot >> np.uint64(6), return_inverse=True)
             value = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(value, at, np.uint64(1) << (slot & np.uint64(63)))
@@ -385,7 +390,7 @@ def spanning_links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, in
 
 
 def _block_links(p: int, q: int):
-    """Rows come sorted by (family, i, j): compares all sets of each such group, at most two blocks."""
+    """Rows come sorted by (family, i, j): compares all sets of each such group, at most two blocks or one and pivots."""
     def links(rows):
         found = spanning_links([np.frombuffer(t, np.uint64) for _, t in rows], p, q)
         return [(rows[i][0], rows[j][0]) for i, j in found]
@@ -405,6 +410,13 @@ def _block_links(p: int, q: int):
     return run
 
 
+def _compared(dealt: DataFrame, texts: DataFrame, member: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """(a, b): links that span those of each group (family, i, j) of dealt (node, family, i, j)."""
+    tokens = texts.mapInArrow(lean(_token_rows(words, _filter(member))), "node long, tokens binary")
+    rows = dealt.join(tokens, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    return rows.mapInArrow(lean(_block_links(p, q)), "a long, b long")
+
+
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id long, text string).
 
@@ -434,20 +446,26 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         "members",
     )
     size = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("ngrams"))
-    blocks = size.where("docs > 1").select("family", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("ngrams") / BLOCK_NGRAMS)).alias("s"))
-    dealt = (
-        member.join(blocks, "family")
-        .withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), "s"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-        .select("node", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    tokens = texts.mapInArrow(lean(_token_rows(words, _filter(member))), "node long, tokens binary")
-    links = save(
-        dealt.join(tokens, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(lean(_block_links(p, q)), "a long, b long"),
-        "links",
-    )
+    blocks = size.where("docs > 1").select("family", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("ngrams") / BLOCK_NGRAMS)).alias("s"))
+    placed = member.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), "s"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    pivot = (F.col("s") > 1) & (F.pmod(F.xxhash64(F.lit(11), "node"), F.greatest(F.lit(1), F.floor(F.col("docs") / PIVOTS))) == 0)
+    first = placed.select("node", "family", F.explode(F.when(pivot, upto("s")).otherwise(F.array("own"))).alias("i")).withColumn("j", F.col("i"))
+    links = save(_compared(first, texts, member, words, p, q), "links")
     tidy(spark)
     found = components(links, "a", "b").withColumnRenamed("component", "c")
+    if not blocks.where("s > 1").isEmpty():
+        label = placed.where("s > 1").join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        main = label.groupBy("family", "c").agg(F.count("*").alias("docs")).groupBy("family").agg(F.max_by("c", F.struct("docs", "c")).alias("main"))
+        rest = save(label.join(main, "family").where("c <> main").select("node", "family", "n", "s"), "rest")
+        if not rest.isEmpty():
+            parts = rest.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_NGRAMS)).alias("r"))
+            held = rest.join(parts, "family").select("node", "family", F.pmod(F.xxhash64(F.lit(13), "node"), "r").alias("i"), F.explode(upto("s")).alias("j"))
+            against = placed.join(parts, "family").select("node", "family", F.explode(upto("r")).alias("i"), F.col("own").alias("j"))
+            more = save(_compared(held.unionByName(against).distinct(), texts, member.join(parts, "family", "left_semi"), words, p, q), "links")
+            found = components(found.select(F.col("node").alias("a"), F.col("c").alias("b")).unionByName(more), "a", "b").withColumnRenamed("component", "c")
+            release(more)
+        release(rest)
     least = reps.join(found, "node", "left").groupBy(F.coalesce("c", "node").alias("c")).agg(F.min("doc_id").alias("component_id"))
     label = reps.select("node").join(found, "node", "left").select("node", F.coalesce("c", "node").alias("c")).join(least, "c").select("node", "component_id")
     release(ties, member, links)
@@ -494,11 +512,14 @@ def _tied(texts: DataFrame, words: int, p: int, q: int, bits: np.ndarray | None)
 
 
 def _filter(docs: DataFrame) -> np.ndarray:
-    """Bits that the doc_ids of docs set; as many rows as words of the filter come to the driver at most."""
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for word, value in docs.select("doc_id").distinct().mapInArrow(lean(_slots("doc_id")), "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).collect():
-        bits[word] = np.uint64(value & (1 << 64) - 1)
-    return bits
+    """Bits that the doc_ids of docs set, for picking rows before an exact join; as many rows as words of the filter come
+    to the driver at most."""
+    ids = docs.select("doc_id").distinct()
+    bits = min(FILTER_MOST, max(FILTER_LEAST, (FILTER * ids.count()).bit_length()))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for word, value in ids.mapInArrow(lean(_slots("doc_id", bits)), "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).collect():
+        out[word] = np.uint64(value & (1 << 64) - 1)
+    return out
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

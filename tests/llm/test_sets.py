@@ -179,3 +179,18 @@ def test_patterned_words_have_hashes_of_their_own():
     words_ = ["".join(c[i.bit_count() % 2] for i in range(n)) for n in (1024, 2048, 4096, 8192) for c in ("ab", "ba")]
     h, _ = words.word_hashes(*words.column_bytes(pa.array(words_, pa.string())), words.BLANKS)
     assert len(set(h.tolist())) == len(words_)
+
+
+def test_families_of_several_blocks(docs, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for size, copies in ((40, 60), (90, 30)):
+        base = [f"c{size}_{i}" for i in range(size)]
+        rows += family(rng, base, copies, max(2, size // 8))
+    rows = list(enumerate(rows))
+    for blocks, pivots in ((8, 2), (5, 1)):
+        monkeypatch.setattr(ngram_jaccard, "BLOCK_DOCS", blocks)
+        monkeypatch.setattr(ngram_jaccard, "PIVOTS", pivots)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(docs(*rows), 3, 80).collect()}
+        assert got == brute(rows, 3, 80)
+    assert 1 < len({c for _, c in got.values()}) < len(rows)
