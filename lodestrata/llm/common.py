@@ -27,11 +27,20 @@ def work_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows that a task hands to Python at once while a step is written: whole texts, so fewer than Spark's default.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns a frame that reads it: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, min(ROWS, int(before)) if int(before) > 0 else ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

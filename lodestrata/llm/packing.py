@@ -155,7 +155,7 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         yield from packer.flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), COLUMNS + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(lean(run, path), COLUMNS + (", ids array<int>" if with_ids else ""))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,7 +232,7 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return save(rows.mapInArrow(lean(_write(path)), FORMAT), "tokens")
+    return save(rows.mapInArrow(lean(_write(path), path), FORMAT), "tokens")
 
 
 def read_tokens(blocks: DataFrame) -> DataFrame:

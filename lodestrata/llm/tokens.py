@@ -15,7 +15,7 @@ from unicodedata import category
 import numpy as np
 import pyarrow as pa
 
-from lodestrata.llm.words import ODD, SLICE, column_bytes, mix
+from lodestrata.llm.words import ODD, SLICE, column_bytes, mix, resident
 
 #: log2 of the table's slots, and ids and bytes of text that it holds before it starts anew.
 SLOTS, HELD, WRITTEN = 21, 6_000_000, 20_000_000
@@ -97,7 +97,7 @@ def _appended(pool: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray
 
 
 class Encoder:
-    """ids(column) for string columns; one for each path and process."""
+    """ids(column) for string columns."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -216,9 +216,8 @@ class Encoder:
         return ids, count
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return resident(path, lambda: Encoder(path))
 
 
 def with_end(ids: np.ndarray, off: np.ndarray, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import save, ship, table
-from lodestrata.llm.words import BLANKS, BYTES, LOWER, column_bytes, lean, mix, slices, text_shingles, word_hashes
+from lodestrata.llm.words import BLANKS, BYTES, LOWER, column_bytes, lean, mix, resident, slices, text_shingles, word_hashes
 
 #: Labelled rows that the model is fitted on at most (those of the smallest hashes), and features that it has at most.
 SAMPLE, FEATURES = 20_000, 256
@@ -126,15 +126,9 @@ class Decoder:
         return max((score + self.p[ctx * N], text) for ctx, (score, text) in states.items())[1]
 
 
-_made: dict[str, Decoder] = {}
-
-
 def decoder_of(name: str, model) -> Decoder:
-    """The decoder of a broadcast model, made once in each process; only the last is kept."""
-    if name not in _made:
-        _made.clear()
-        _made[name] = Decoder(model.value)
-    return _made[name]
+    """The decoder of a broadcast model, made once in each process."""
+    return resident(name, lambda: Decoder(model.value))
 
 
 def disguised(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
@@ -310,7 +304,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = np.zeros(0, np.uint64)
     if n1 and n0:
         tried = save(
-            known.mapInArrow(lean(words), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+            known.mapInArrow(lean(words, name), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .where(F.col("toxic") + F.col("clean") >= SUPPORT),
             "tried",
         )
@@ -336,7 +330,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                             found[d].append(f)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "found": pa.array(found, pa.list_(pa.int32()))})
 
-    rows = save(texts.mapInArrow(lean(hits), "doc_id long, found array<int>"), "features")
+    rows = save(texts.mapInArrow(lean(hits, name), "doc_id long, found array<int>"), "features")
     score = F.lit(min(rate, 0.99 * THRESHOLD))  # nothing learned, nothing predicted
     if len(chosen):
         fitted = rows.join(F.broadcast(sample), "doc_id").select("found", "toxic").collect()  # SAMPLE documents at most

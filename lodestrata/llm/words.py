@@ -166,9 +166,24 @@ def slices(batches, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, step)
 
 
-def lean(run):
-    """run for mapInArrow, giving freed memory back to the system at its end: workers are kept for further stages."""
+_resident: dict[str, object] = {}
+
+
+def resident(name: str, make):
+    """What make returns, kept in this process until something else is: workers live on through stages, so one large table
+    at a time."""
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = make()
+    return _resident[name]
+
+
+def lean(run, keeps: str | None = None):
+    """run for mapInArrow, giving freed memory back to the system: workers are kept for further stages. Of what other
+    stages left in the process only keeps stays."""
     def go(batches):
+        for name in [n for n in _resident if n != keeps]:
+            del _resident[name]
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         try:
