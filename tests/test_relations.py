@@ -1,3 +1,5 @@
+import os
+import random
 import re
 from collections import Counter
 from datetime import datetime, timedelta
@@ -5,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata import storage
 from lodestrata.functions import paths, scores
-from lodestrata.operators import fleet, history, resolve, rules, search, state, symbols, testmap
+from lodestrata.operators import fleet, graph, history, resolve, rules, search, state, symbols, testmap
 from lodestrata.schemas import RELATIONS
 
 NOW = datetime(2024, 6, 1)
@@ -261,3 +264,43 @@ def test_file_summaries_of_all_documents(spark):
     want = {d: (len(defined.get(d, ())), sum(r.doc == d and not r.is_def for r in rows), sum(r.doc == d for r in rows), incoming.get(d, 0)) for d in {r.doc for r in rows}}
     got = QUERIES["a23_file_summaries"](spark, "/root/testdata/sf0.001").collect()
     assert len(want) > 4 and {r.doc: (r.definitions, r.outgoing, r.total, r.incoming) for r in got} == want and len(got) == len(want)
+
+
+def test_as_of_join_equals_plain_search(spark):
+    rng = random.Random(5)
+    at = lambda m: NOW + timedelta(minutes=m)
+    key = lambda: rng.choice(["a", "a", "a", "b", None])
+    past = [(key(), at(m), rng.choice([None, m, m])) for m in rng.sample(range(10_000), 300)]
+    probes = [(i, key(), at(rng.randrange(-100, 10_100))) for i in range(400)]
+    h = spark.createDataFrame(past, "k string, ts timestamp_ntz, v int")
+    p = spark.createDataFrame(probes, "id int, k string, ts timestamp_ntz")
+    want = {}
+    for i, k, t in probes:
+        found = [(x, v) for kk, x, v in past if kk == k and x <= t and v is not None]
+        want[i] = max(found)[1] if found else None
+    for unit in ("hour", "day", "year"):
+        assert {r.id: r.v for r in state.as_of_join(p, h, "k", "ts", "v", unit).collect()} == want
+    assert {r.v for r in state.as_of_join(p, h.limit(0), "k", "ts", "v").collect()} == {None}
+
+
+def test_replaced_table_survives_a_lost_driver(spark, tmp_path):
+    at = f"{tmp_path}/t"
+    storage.replace_table(spark.range(3), at)
+    storage.replace_table(spark.read.parquet(at).where("id > 0"), at)
+    assert sorted(r.id for r in spark.read.parquet(at).collect()) == [1, 2]
+    os.rename(at, at + storage.BEFORE)  # lost between the two renames
+    assert storage.read_or_empty(spark, at, "id long").count() == 2
+    assert os.listdir(tmp_path) == ["t"]
+
+
+def test_lines_and_functions_far_apart(spark):
+    f = spark.createDataFrame([("a", "long", 10, 1000), ("a", "inner", 600, 620), ("b", "x", 1, 2)], "file string, name string, start_line int, end_line int")
+    lines = spark.createDataFrame([("a", 610, "t"), ("a", 9, "t"), ("a", 1000, "t"), ("b", 300, "t")], "file string, line int, to string")
+    got = {(r.file, r.line): r.in_function for r in graph.function_of_lines(lines, f, ["to"]).collect()}
+    assert got == {("a", 610): "long", ("a", 9): None, ("a", 1000): "long", ("b", 300): None}
+
+
+def test_index_holds_lengths(spark):
+    c = spark.createDataFrame([(1, "ab", "x y x"), (2, "", "y")], "id long, name string, content string")
+    got = {(r.term, r.id, r.field): (r.tf, r.len) for r in search.postings(c).collect()}
+    assert got == {("ab", 1, "name"): (1, 1), ("x", 1, "content"): (2, 3), ("y", 1, "content"): (1, 3), ("y", 2, "content"): (1, 1)}

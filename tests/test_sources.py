@@ -216,3 +216,8 @@ def test_reindexing_batches(spark, tmp_path):
     seen = []
     watch.languages_batch(seen.append)(batch(("a.rs", "added"), ("b.py", "added")), 0)
     assert seen == [["python", "rust"]]
+
+
+def test_exports_inside_braces_are_none():
+    text = "namespace n {\n  export const a = 1;\n  { export function b() {} }\n}\nexport const c = { d: { e: 1 } };\nexport class F { g() {} }\n" + "{ x(); }\n" * 2000 + "export function h() {}\n"
+    assert [(i[0], i[1]) for i in parse.surface("typescript", text)] == [("constant", "c"), ("type", "F"), ("function", "h")]
