@@ -79,16 +79,23 @@ def find_cycles(edges: DataFrame, local: int | None = None) -> DataFrame:
                 yield pd.DataFrame({"nodes": groups, "size": [len(g) for g in groups]})
 
         return loops.unionByName(pairs.coalesce(1).mapInPandas(run, f"nodes array<{kind}>, size long"))
-    comp = strong_components(pairs)
+    comp = strong_components(pairs, local)
     many = comp.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("nodes"))
     return loops.unionByName(many.select("nodes", F.size("nodes").cast("long").alias("size")).where("size > 1"))
 
 
-def strong_components(pairs: DataFrame) -> DataFrame:
-    """(id, component) for pairs (a, b) of any number: trimming, colouring by the largest node that reaches each, and a
-    walk back from each colour's root, until no edge is left."""
+def strong_components(pairs: DataFrame, local: int | None = None) -> DataFrame:
+    """(id, component) of nodes on rings, for pairs (a, b) of any number: trimming, colouring by the largest node that
+    reaches each, and a walk back from each colour's root, until at most `local` edges (LOCAL) are left, which one task
+    finishes. A component is named by one of its nodes."""
     left = saved(pairs, "scc")
-    out = None
+    out, kind = None, pairs.schema["a"].dataType.simpleString()
+
+    def finish(frames):
+        groups = _strong([x for f in frames for x in zip(f["a"], f["b"])])
+        if groups:
+            yield pd.DataFrame([(x, g[-1]) for g in groups for x in g], columns=["id", "component"])
+
     while True:
         while True:  # a node without a way in or out is alone
             kept = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
@@ -99,6 +106,9 @@ def strong_components(pairs: DataFrame) -> DataFrame:
                 break
         if left.isEmpty():
             break
+        if _small(left, local):
+            done = left.coalesce(1).mapInPandas(finish, f"id {kind}, component {kind}")
+            return done if out is None else out.unionByName(done)
         colour = saved(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("c", F.col("id")), "scc")
         while True:
             up = left.join(colour.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.max("c").alias("m"))
@@ -121,7 +131,6 @@ def strong_components(pairs: DataFrame) -> DataFrame:
         gone = found.select("id")
         left = saved(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "scc")
     if out is None:
-        kind = pairs.schema["a"].dataType.simpleString()
         return pairs.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     return out
 

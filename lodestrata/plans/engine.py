@@ -18,7 +18,7 @@ from lodestrata.functions.text import code_tokens
 from lodestrata.operators import fleet, graph, history, metrics, resolve, rules, search, state, symbols, testmap
 from lodestrata.schemas import RELATIONS
 from lodestrata.sources import configs, files as file_source, git, imports, scip, tools
-from lodestrata.storage import exists, read_or_empty, replace_partition, replace_table, saved
+from lodestrata.storage import discard, exists, read_or_empty, replace_partition, replace_table, saved
 
 SUFFIXES = ("_happy_path", "_handles_empty_input", "_returns_error_on_invalid_input")
 MIN_BUDGET, BUDGET, RESERVE = 500, 4000, 200
@@ -61,6 +61,13 @@ class Engine:
         self.as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
         self.store = (store or f"{self.root}/.lodestrata").rstrip("/")
 
+    def close(self) -> None:
+        """Deletes what the answers so far have written in the shared folder; their frames can't be read any more."""
+        for name, kind in vars(type(self)).items():
+            if isinstance(kind, cached_property):
+                vars(self).pop(name, None)
+        discard(self.spark)
+
     # relations
 
     @cached_property
@@ -478,6 +485,12 @@ class Engine:
     def diagnostics(self, tool: str | None = None, severity: str | None = None, file: str | None = None, limit: int = 200) -> DataFrame:
         return tools.filtered(self.all_diagnostics, tool, severity, file, limit)
 
+    def run_diagnostics(self, only: list[str] | None = None) -> DataFrame:
+        """Runs the tools that are installed; root must be a folder of this machine."""
+        done = tools.run_tools(self.spark, self.root, self.store, only)
+        vars(self).pop("all_diagnostics", None)
+        return done
+
     def diagnostics_status(self) -> DataFrame:
         return tools.tool_status(self.all_diagnostics, self._outputs())
 

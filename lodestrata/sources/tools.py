@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,51 @@ def tokei(spark: SparkSession, path: str) -> DataFrame:
 READERS = {"semgrep": semgrep, "ruff": ruff, "eslint": eslint, "clippy": clippy, "dependency-cruiser": dependency_cruiser, "cargo-modules": cargo_modules}
 
 
+# How each tool is called in a tree.
+COMMANDS = {
+    "semgrep": "semgrep scan --config auto --json --no-git-ignore --quiet --metrics=off --timeout 60 .",
+    "ruff": "ruff check --output-format=json --no-cache .",
+    "eslint": "npx --no-install eslint --format json .",
+    "clippy": "cargo clippy --workspace --message-format=json --quiet --all-targets --no-deps",
+    "dependency-cruiser": "npx --no-install depcruise --output-type json src",
+    "cargo-modules": "cargo modules orphans",
+}
+
+
+def _called(command: str, root: str, timeout: int) -> tuple[bytes, str | None]:
+    """(output, error): tools that find something end with an error code, so only a lack of output is an error."""
+    try:
+        done = subprocess.run(command.split(), cwd=root, capture_output=True, timeout=timeout, check=False)
+    except (OSError, subprocess.SubprocessError) as e:
+        return b"", f"{type(e).__name__}: {e}"[:300]
+    return done.stdout, None if done.stdout.strip() or not done.returncode else done.stderr.decode(errors="replace").strip()[:300] or f"exit code {done.returncode}"
+
+
+def run_tools(spark: SparkSession, root: str, store: str, only: list[str] | None = None, timeout: int = 600) -> DataFrame:
+    """Runs the tools that are installed on this machine over a local tree and keeps their reports below store, where
+    read_all() finds them; a tool that isn't installed is passed over. Returns the relation tool_status."""
+    from lodestrata.schemas import RELATIONS
+
+    rows, kept = [], {}
+    for tool, command in COMMANDS.items():
+        if only and tool not in only:
+            continue
+        if not shutil.which(command.split()[0]):
+            rows.append((tool, False, False, None, 0, None))
+            continue
+        version = _called(f"{command.split()[0]} --version", root, 20)[0].decode(errors="replace").strip().split("\n")[0] or None
+        output, error = _called(command, root, timeout)
+        if error is None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/diagnostics/{tool}.json")
+            out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+            out.write(bytearray(output))
+            out.close()
+            kept[tool] = f"{store}/diagnostics/{tool}.json"
+        rows.append((tool, True, error is None, version, 0, error))
+    found = {r.tool: r.n for r in read_all(spark, kept).groupBy("tool").agg(F.count("*").alias("n")).collect()}
+    return spark.createDataFrame([(*r[:4], found.get(r[0], 0), r[5]) for r in rows], RELATIONS["tool_status"])
+
+
 def read_all(spark: SparkSession, outputs: dict[str, str]) -> DataFrame:
     """All diagnostics of the outputs that there are, by tool."""
     from lodestrata.schemas import RELATIONS

@@ -22,13 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Steps that this driver has written and not deleted yet.
+STEPS: list[str] = []
+
+
 def saved(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written and read again: what follows doesn't depend on executors that may be lost."""
+    """df written and read again: what follows doesn't depend on executors that may be lost. discard() deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STEPS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Deletes the steps that were written so far, once no frame that is still wanted reads them."""
+    h = spark._jvm.org.apache.hadoop.fs.Path
+    while STEPS:
+        path = h(STEPS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or table is there. A table whose replacement broke off between its two renames is put back first."""
     h = spark._jvm.org.apache.hadoop.fs.Path

@@ -304,3 +304,14 @@ def test_index_holds_lengths(spark):
     c = spark.createDataFrame([(1, "ab", "x y x"), (2, "", "y")], "id long, name string, content string")
     got = {(r.term, r.id, r.field): (r.tf, r.len) for r in search.postings(c).collect()}
     assert got == {("ab", 1, "name"): (1, 1), ("x", 1, "content"): (2, 3), ("y", 1, "content"): (1, 3), ("y", 2, "content"): (1, 1)}
+
+
+def test_steps_are_discarded(spark, tmp_path):
+    before = list(storage.STEPS)
+    a = storage.saved(spark.range(3), "x")
+    assert a.count() == 3
+    (path,) = set(storage.STEPS) - set(before)
+    storage.STEPS[:] = [path]
+    storage.discard(spark)
+    assert not os.path.exists(path)
+    storage.STEPS[:] = before

@@ -1,4 +1,5 @@
 import json
+import os
 import subprocess
 
 import pytest
@@ -221,3 +222,27 @@ def test_reindexing_batches(spark, tmp_path):
 def test_exports_inside_braces_are_none():
     text = "namespace n {\n  export const a = 1;\n  { export function b() {} }\n}\nexport const c = { d: { e: 1 } };\nexport class F { g() {} }\n" + "{ x(); }\n" * 2000 + "export function h() {}\n"
     assert [(i[0], i[1]) for i in parse.surface("typescript", text)] == [("constant", "c"), ("type", "F"), ("function", "h")]
+
+
+def test_tools_are_run_or_passed_over(spark, tmp_path, monkeypatch):
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.py").write_text("import os\n")
+    report = json.dumps([{"code": "F401", "message": "unused", "filename": "a.py", "url": "u", "location": {"row": 1, "column": 8}, "end_location": {"row": 1, "column": 10}}])
+    for name, text in (("ruff", f"#!/bin/sh\n[ $1 = --version ] && echo ruff 1 && exit\necho '{report}'\nexit 1\n"), ("semgrep", "#!/bin/sh\n[ $1 = --version ] && echo 2 && exit\necho broken >&2\nexit 2\n")):
+        (tmp_path / "bin" / name).write_text(text)
+        (tmp_path / "bin" / name).chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}/bin:/bin:/usr/bin")
+    monkeypatch.setattr(tools, "COMMANDS", {k: v for k, v in tools.COMMANDS.items() if k in ("ruff", "semgrep", "clippy")})
+    e = Engine(spark, str(tmp_path / "tree"), store=str(tmp_path / "store"))
+    got = {r.tool: r for r in e.run_diagnostics().collect()}
+    assert (got["ruff"].available, got["ruff"].ran, got["ruff"].version, got["ruff"].findings) == (True, True, "ruff 1", 1)
+    assert (got["semgrep"].available, got["semgrep"].ran, got["semgrep"].error) == (True, False, "broken")
+    assert (got["clippy"].available, got["clippy"].ran) == (False, False)
+    assert [(r.tool, r.rule, r.file, r.line) for r in e.diagnostics().collect()] == [("ruff", "F401", "a.py", 1)]
+    assert [(r.tool, r.rule) for r in Engine(spark, str(tmp_path / "tree"), store=str(tmp_path / "store")).diagnostics().collect()] == [("ruff", "F401")]  # from the store
+    later = json.loads(report)[0] | {"code": "E1"}
+    (tmp_path / "store" / "diagnostics" / ".ruff.json.crc").unlink(missing_ok=True)
+    (tmp_path / "store" / "diagnostics" / "ruff.json").write_text(json.dumps([later]))
+    os.utime(tmp_path / "store" / "diagnostics" / "ruff.json", (2_000_000_000, 2_000_000_000))
+    assert [r.rule for r in Engine(spark, str(tmp_path / "tree"), store=str(tmp_path / "store")).diagnostics().collect()] == ["E1"]  # newer than the store
