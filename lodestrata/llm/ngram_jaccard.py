@@ -12,7 +12,7 @@ itself, so a key that a third of all rows share reaches the shuffle once a task.
 size; a task compares a block, with a few pivots of its family beside it, and returns a spanning forest of the links that
 it found. What the pivots connect in a family needs no more comparison; only the sets outside its largest component are
 held against all its blocks. So a family of near copies costs in proportion to its size. Memory is bounded by a block in
-(C) and by a range of the order in (B), of which there are four for each shuffle partition.
+(C) and by a range of the order in (B), of which there is one for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -431,7 +431,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     p, q = percent, 100
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = save(texts.mapInArrow(lean(_set_rows(words)), "doc_id long, n long, node long"), "sets")
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    reps = save(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "reps")
     bits = None
     if q + p < 2 * LONG * (q - p):
         bits = _filter(reps.join(_near_sets(texts, words, p, q).distinct(), "node", "left_semi"))
@@ -495,7 +495,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 def _near_sets(texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """(node): sets that share p / q of their n-grams at least with others, whichever these are."""
     spark = texts.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.mapInArrow(lean(_range_rows(words, parts)), PIECES).repartition(parts, "part", F.when(F.col("part") < 0, F.col("chunk"))).sortWithinPartitions("part")
     counts = dealt.mapInArrow(lean(_count_shared), "chunk long, docs int, counts binary, nodes binary, sizes binary")
     near = save(counts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(_sharers(p, q)), "node long"), "near")
@@ -514,11 +514,12 @@ def _tied(texts: DataFrame, words: int, p: int, q: int, bits: np.ndarray | None)
 def _filter(docs: DataFrame) -> np.ndarray:
     """Bits that the doc_ids of docs set, for picking rows before an exact join; as many rows as words of the filter come
     to the driver at most."""
-    ids = docs.select("doc_id").distinct()
+    ids = save(docs.select("doc_id").distinct(), "ids")
     bits = min(FILTER_MOST, max(FILTER_LEAST, (FILTER * ids.count()).bit_length()))
     out = np.zeros(1 << (bits - 6), np.uint64)
     for word, value in ids.mapInArrow(lean(_slots("doc_id", bits)), "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).collect():
         out[word] = np.uint64(value & (1 << 64) - 1)
+    release(ids)
     return out
 
 
