@@ -278,14 +278,17 @@ def _sharers(p: int, q: int):
     return run
 
 
+def _slot():
+    return F.xxhash64("doc_id").alias("slot")
+
+
 def _passing(batches, bits: np.ndarray | None):
-    """The rows whose doc_id passes a filter; all without one."""
+    """The rows whose slot (a hash of doc_id) passes a filter; all without one."""
     for b in batches:
         if bits is None:
             yield b
             continue
-        ids = b.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
-        slot = mix(ids.view(np.uint64)) >> np.uint64(58 - (len(bits) - 1).bit_length())
+        slot = b.column("slot").to_numpy().view(np.uint64) >> np.uint64(58 - (len(bits) - 1).bit_length())
         yield b.filter(pa.array((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1))
 
 
@@ -303,18 +306,6 @@ def _token_rows(words: int, bits: np.ndarray):
     return run
 
 
-def _slots(column: str, bits: int):
-    """The filter's words and bits, as numpy's."""
-    def run(batches):
-        for b in batches:
-            slot = mix(b.column(column).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)
-            word, at = np.unique(slot >> np.uint64(6), return_inverse=True)
-            value = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(value, at, np.uint64(1) << (slot & np.uint64(63)))
-            yield pa.record_batch({"word": pa.array(word.view(np.int64)), "value": pa.array(value.view(np.int64))})
-    return run
-
-
 def spanning_links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
     """Links (pairs of positions) that span the components of all pairs with q * intersection >= p * union.
 
@@ -412,7 +403,7 @@ def _block_links(p: int, q: int):
 
 def _compared(dealt: DataFrame, texts: DataFrame, member: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """(a, b): links that span those of each group (family, i, j) of dealt (node, family, i, j)."""
-    tokens = texts.mapInArrow(lean(_token_rows(words, _filter(member))), "node long, tokens binary")
+    tokens = texts.select("*", _slot()).mapInArrow(lean(_token_rows(words, _filter(member))), "node long, tokens binary")
     rows = dealt.join(tokens, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
     return rows.mapInArrow(lean(_block_links(p, q)), "a long, b long")
 
@@ -507,17 +498,19 @@ def _near_sets(texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
 def _tied(texts: DataFrame, words: int, p: int, q: int, bits: np.ndarray | None) -> DataFrame:
     """(node, first, scheme): nodes that share a fragment key with a first one."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = texts.mapInArrow(lean(_key_rows(words, p, q, bits)), "key long, node long, first long, scheme int").repartition(n, "key").sortWithinPartitions("key", "node")
+    keys = texts.select("*", _slot()).mapInArrow(lean(_key_rows(words, p, q, bits)), "key long, node long, first long, scheme int").repartition(n, "key").sortWithinPartitions("key", "node")
     return save(keys.mapInArrow(lean(_ties), "node long, first long, scheme int").distinct(), "ties")
 
 
 def _filter(docs: DataFrame) -> np.ndarray:
     """Bits that the doc_ids of docs set, for picking rows before an exact join; as many rows as words of the filter come
     to the driver at most."""
-    ids = save(docs.select("doc_id").distinct(), "ids")
+    ids = save(docs.select(_slot()).distinct(), "ids")
     bits = min(FILTER_MOST, max(FILTER_LEAST, (FILTER * ids.count()).bit_length()))
     out = np.zeros(1 << (bits - 6), np.uint64)
-    for word, value in ids.mapInArrow(lean(_slots("doc_id", bits)), "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).collect():
+    slot = F.shiftrightunsigned("slot", 64 - bits)
+    words = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot.bitwiseAND(F.lit(63).cast("long"))).cast("int"))).alias("value"))
+    for word, value in words.collect():
         out[word] = np.uint64(value & (1 << 64) - 1)
     release(ids)
     return out
