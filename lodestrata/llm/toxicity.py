@@ -254,7 +254,7 @@ def fit(found: list[list[int]], toxic: np.ndarray, n: int) -> tuple[list[int], l
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs (doc_id long, text string).
 
-    labels (doc_id, toxic 0 or 1) is read for rows that aren't held out; of several rows of one doc_id one that says 1
+    labels (doc_id, toxic 0 or 1; any other number is 1) is read for rows that aren't held out; of several rows of one doc_id one that says 1
     wins, rows without a label or an id don't count. A null or empty text has no words and is scored too. Without
     labels of both kinds, or without features that tell them apart, all scores are the rate of toxic labels (0 without
     labels), held under the threshold. Rows that repeat are returned each; a row without a doc_id isn't held out. Other columns are ignored.
@@ -264,7 +264,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
     sample = spark.createDataFrame(one_of_each_group(texts, spark.createDataFrame(sample.collect(), "doc_id long, toxic int")), "doc_id long, toxic int")  # SAMPLE rows at most

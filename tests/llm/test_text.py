@@ -70,7 +70,7 @@ def test_nothing_learned_predicts_nothing(spark, docs):
 
 
 def test_toxicity_of_odd_rows(spark, odd, docs):
-    for lab in ([], [(1, 1), (6, 0), (5, None), (None, 1)]):
+    for lab in ([], [(1, 1), (6, 0), (5, None), (None, 1)], [(1, 2), (1, 0), (6, -1), (5, 0), (7, 0)]):
         df = spark.createDataFrame(lab, "doc_id long, toxic int")
         assert toxicity.score_toxicity(odd, df).count() == 11
         kept = toxicity.drop_toxic(odd, df)
@@ -400,7 +400,7 @@ def test_pipeline(spark, tmp_path, docs, labelled):
     assert {5000, 5001, 5002} & set(seen["ngram_jaccard_join"]) == {5000}
     assert 5003 in seen["ngram_jaccard_join"]
     assert 5003 not in seen["benchmark_decontamination"]
-    assert seen["secret_scans"][5004] == "x [SECRET] y" or "0123456789abcdef0123" not in seen["secret_scans"][5004]
+    assert seen["secret_scans"][5004] == 'x [SECRET]" y'
     final = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert {r.doc_id for r in final} == set(seen["secret_scans"])
     clean = {i for i, t in labels[:200] if not t}
