@@ -9,9 +9,10 @@ Stages: (A) each text to (size, hash of its set): equal sets are one node from h
 are short, only sets that share enough of their n-grams with any other set go on: n-grams are dealt out by ranges of the
 order, uses are counted in each range separately and summed per set. Then fragment keys, dealt out by key; nodes of one key are tied to the first of them (a star, not pairs). Each task first ties the nodes that it sees
 itself, so a key that a third of all rows share reaches the shuffle once a task. (C) families, cut in blocks of bounded
-size; a task compares a block, with a few pivots of its family beside it, and returns a spanning forest of the links that
-it found. What the pivots connect in a family needs no more comparison; only the sets outside its largest component are
-held against all its blocks. So a family of near copies costs in proportion to its size. Memory is bounded by a block in
+size; a task compares two blocks and returns a spanning forest of the links that it found. In a family of more than MANY
+blocks it compares one block, with a few pivots of the family beside it: what the pivots connect needs no more comparison,
+and only the sets outside the family's largest component are then held against all its blocks. So a large family of near
+copies costs in proportion to its size. Memory is bounded by a block in
 (C) and by a range of the order in (B), of which there is one for each shuffle partition.
 """
 
@@ -36,8 +37,8 @@ from lodestrata.llm.words import BLANKS, lean, mix, slices, text_shingles
 RATIO = 1.3
 #: Documents and n-grams of a block at most (one document may have more).
 BLOCK_DOCS, BLOCK_NGRAMS = 2048, 1_000_000
-#: Sets of a family of several blocks that stand beside each of them, on average.
-PIVOTS = 16
+#: Blocks of a family that are all held against each other, and sets that stand beside each block of a larger one, on average.
+MANY, PIVOTS = 16, 16
 #: Vertical fragments that a family's n-grams are cut into when overlaps are counted.
 FRAGMENTS = 4
 #: N-grams that a fragment holds at least on average where candidates need no other proof than one fragment.
@@ -440,13 +441,16 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     blocks = size.where("docs > 1").select("family", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("ngrams") / BLOCK_NGRAMS)).alias("s"))
     placed = member.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), "s"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    pivot = (F.col("s") > 1) & (F.pmod(F.xxhash64(F.lit(11), "node"), F.greatest(F.lit(1), F.floor(F.col("docs") / PIVOTS))) == 0)
-    first = placed.select("node", "family", F.explode(F.when(pivot, upto("s")).otherwise(F.array("own"))).alias("i")).withColumn("j", F.col("i"))
+    large = F.col("s") > MANY
+    pivot = F.pmod(F.xxhash64(F.lit(11), "node"), F.greatest(F.lit(1), F.floor(F.col("docs") / PIVOTS))) == 0
+    first = placed.withColumn("other", F.explode(F.when(large & ~pivot, F.array("own")).otherwise(upto("s")))).select(
+        "node", "family", F.when(large, F.col("other")).otherwise(F.least("own", "other")).alias("i"), F.when(large, F.col("other")).otherwise(F.greatest("own", "other")).alias("j")
+    )
     links = save(_compared(first, texts, member, words, p, q), "links")
     tidy(spark)
     found = components(links, "a", "b").withColumnRenamed("component", "c")
-    if not blocks.where("s > 1").isEmpty():
-        label = placed.where("s > 1").join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    if not blocks.where(large).isEmpty():
+        label = placed.where(large).join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
         main = label.groupBy("family", "c").agg(F.count("*").alias("docs")).groupBy("family").agg(F.max_by("c", F.struct("docs", "c")).alias("main"))
         rest = save(label.join(main, "family").where("c <> main").select("node", "family", "n", "s"), "rest")
         if not rest.isEmpty():
