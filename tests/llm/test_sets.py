@@ -188,10 +188,8 @@ def test_families_of_several_blocks(docs, monkeypatch):
         base = [f"c{size}_{i}" for i in range(size)]
         rows += family(rng, base, copies, max(2, size // 8))
     rows = list(enumerate(rows))
-    for blocks, pivots, many in ((8, 2, 1), (5, 1, 9)):
-        monkeypatch.setattr(ngram_jaccard, "MANY", many)
+    for blocks in (8, 30):
         monkeypatch.setattr(ngram_jaccard, "BLOCK_DOCS", blocks)
-        monkeypatch.setattr(ngram_jaccard, "PIVOTS", pivots)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(docs(*rows), 3, 80).collect()}
         assert got == brute(rows, 3, 80)
     assert 1 < len({c for _, c in got.values()}) < len(rows)
