@@ -35,5 +35,31 @@ p AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(rang
 q AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
+""",
+    "op13_quality_rules": r"""
+WITH
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+o AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(ws) AS word FROM w WHERE lang IS NOT NULL) WHERE strlen(word) <= 6 AND NOT contains(word, ',') GROUP BY 1, 2),
+k AS (SELECT lang, list(word ORDER BY place) AS common FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM o) WHERE place <= 16 GROUP BY 1),
+c1 AS (SELECT r, t, regexp_replace(t, '\p{Ll}', '', 'g') AS a FROM d), c2 AS (SELECT *, regexp_replace(a, '\p{Lu}', '', 'g') AS b FROM c1),
+c3 AS (SELECT *, regexp_replace(b, '\p{N}', '', 'g') AS c FROM c2), c4 AS (SELECT *, regexp_replace(c, '[\x20\x09-\x0D]', '', 'g') AS e FROM c3),
+c5 AS (SELECT *, regexp_replace(e, '[.,;:?''\x22()-]', '', 'g') AS f FROM c4),
+ch AS (SELECT r, [length(t) - length(a), length(a) - length(b), length(b) - length(c), length(c) - length(e), length(e) - length(f), length(f)] AS cs FROM c5),
+hits AS (SELECT r, common, ws, list_transform(list_filter(ws, lambda x: list_contains(common, x)), lambda x: list_position(common, x)) AS h FROM w JOIN k USING (lang)),
+wd AS (SELECT r, list_transform(range(1, 17), lambda i: len(list_filter(h, lambda x: x = i))) || [len(ws) - len(h)] AS us FROM hits),
+m AS (SELECT w.*, len(ws) AS n, cs, us FROM w JOIN ch USING (r) LEFT JOIN wd USING (r)),
+x AS (SELECT r, lang, n, 'c' AS kind, unnest(range(1, 7)) AS i, unnest(cs) / list_sum(cs) AS p FROM m WHERE n >= 30
+      UNION ALL SELECT r, lang, n, 'w', unnest(range(1, 18)), unnest(us) / list_sum(us) FROM m WHERE n >= 30 AND us IS NOT NULL),
+ref AS (SELECT lang, kind, i, avg(p) AS q FROM x WHERE lang IN (SELECT lang FROM m WHERE n >= 30 AND us IS NOT NULL GROUP BY lang HAVING count(*) >= 50) GROUP BY 1, 2, 3),
+js AS (SELECT r, any_value(x.n) AS n, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS dist
+       FROM x JOIN ref USING (lang, kind, i) GROUP BY r, kind),
+far AS (SELECT DISTINCT r FROM js WHERE dist > CASE kind WHEN 'c' THEN 0.2 + 1.0 / sqrt(n) ELSE 0.18 + 2.0 / sqrt(n) END),
+g AS (SELECT r, i, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+rep AS (SELECT r, count(DISTINCT j) AS k FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+ln AS (SELECT r, count(*) - count(DISTINCT l) AS k FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+base AS (SELECT m.r, doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(t) - cs[4] AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(ln.k, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.k, 0) AS BIGINT) AS n_repeat_words FROM m LEFT JOIN ln USING (r) LEFT JOIN rep USING (r))
+SELECT * EXCLUDE (r), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR r IN (SELECT r FROM far)) AS kept FROM base
 """,
 }
