@@ -61,5 +61,40 @@ ln AS (SELECT r, count(*) - count(DISTINCT l) AS k FROM (SELECT r, unnest(string
 base AS (SELECT m.r, doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(t) - cs[4] AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(ln.k, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.k, 0) AS BIGINT) AS n_repeat_words FROM m LEFT JOIN ln USING (r) LEFT JOIN rep USING (r))
 SELECT * EXCLUDE (r), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR r IN (SELECT r FROM far)) AS kept FROM base
+""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE
+f AS (SELECT *, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS c0,
+        CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END AS c1,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+        coalesce(strlen(text) || ':' || text, '-') AS b,
+        xor(list_reduce(flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+          lambda i: list_transform(range(0, 8), lambda k: (ascii(CAST(doc_id AS VARCHAR)[i]) >> k) & 1))),
+          lambda c, x: xor(c >> 1, (xor(c, x) & 1) * 3988292384), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS crc FROM documents),
+l AS (SELECT doc_id, lang, sha256(a || c0 || b) AS leaf, CASE WHEN crc % 7 = 0 THEN sha256(a || c1 || b) END AS tampered FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree FROM l),
+up AS (
+  SELECT tree, 0 AS level, i, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM p
+  UNION ALL
+  SELECT tree, level + 1, i // 2, sha256(node || coalesce(next, '')), (n + 1) // 2
+  FROM (SELECT *, lead(node) OVER (PARTITION BY tree ORDER BY i) AS next FROM up WHERE n > 1) WHERE i % 2 = 0),
+top AS (SELECT tree, node FROM up WHERE n = 1),
+hi AS (
+  SELECT 0 AS level, tree - 1 AS i, node, count(*) OVER () AS n FROM top
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(node || coalesce(next, '')), (n + 1) // 2
+  FROM (SELECT *, lead(node) OVER (ORDER BY i) AS next FROM hi WHERE n > 1) WHERE i % 2 = 0),
+s AS (
+  SELECT p.tree, p.i, u.level, CASE WHEN v.node IS NULL THEN '-' WHEN v.i < u.i THEN 'L' || v.node ELSE 'R' || v.node END AS e
+  FROM p JOIN up u ON u.tree = p.tree AND u.i = p.i >> u.level AND u.n > 1 LEFT JOIN up v ON v.tree = u.tree AND v.level = u.level AND v.i = xor(u.i, 1)
+  UNION ALL
+  SELECT p.tree, p.i, 1000 + u.level, CASE WHEN v.node IS NULL THEN '-' WHEN v.i < u.i THEN 'L' || v.node ELSE 'R' || v.node END
+  FROM p JOIN hi u ON u.i = (p.tree - 1) >> u.level AND u.n > 1 LEFT JOIN hi v ON v.level = u.level AND v.i = xor(u.i, 1)),
+q AS (SELECT tree, i, list(e ORDER BY level) AS es FROM s GROUP BY 1, 2),
+r AS (SELECT node AS root FROM hi WHERE n = 1),
+z AS (SELECT doc_id, leaf, top.node AS subroot, root, sha256(coalesce(array_to_string(list_transform(es, lambda x: x[2:]), ''), '')) AS proof_sha256,
+        list_reduce(coalesce(es, []), lambda h, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || h) WHEN 'R' THEN sha256(h || x[2:]) ELSE sha256(h) END, coalesce(tampered, leaf)) AS folded_root
+      FROM p JOIN top USING (tree) CROSS JOIN r LEFT JOIN q USING (tree, i))
+SELECT *, folded_root = root AS verified FROM z
 """,
 }
