@@ -66,9 +66,9 @@ RELATIONS = {
         "CASE WHEN f % 7 IN (1, 2) THEN true WHEN f % 7 = 3 THEN t % 7 = 3 WHEN f % 7 = 0 THEN f % 13 = 1 AND t % 13 = 1 AND t % 7 = 0 ELSE t % 7 = 4 END AS hit FROM pairs WHERE f % 7 < 5"
     ),
     # The files of that tree: a comment, the imports, a mark, and a function with so many branches. Python files with
-    # imports don't parse, since folders are numbers: they have no functions, but their lines are read all the same.
+    # imports have errors, since folders are numbers; their functions are found all the same.
     "units": (
-        f"SELECT p_partkey AS k, {path('p_partkey')} AS path, {lang('p_partkey')} AS language, CAST(p_partkey % 4 AS INT) AS branches, CAST(coalesce(n, 0) AS INT) AS n, p_partkey % 7 < 5 AS code, p_partkey % 7 < 5 AND (p_partkey % 7 <> 3 OR n IS NULL) AS parses, "
+        f"SELECT p_partkey AS k, {path('p_partkey')} AS path, {lang('p_partkey')} AS language, CAST(p_partkey % 4 AS INT) AS branches, CAST(coalesce(n, 0) AS INT) AS n, p_partkey % 7 < 5 AS code, p_partkey % 7 < 5 AS parses, "
         "p_partkey % 7 < 5 AND p_partkey % 5 = 0 AS mark, p_partkey % 7 = 0 AND p_partkey % 3 = 0 AS test, "
         "CAST(2 + coalesce(n, 0) + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 AND p_partkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS first, "
         "CAST(2 + (p_partkey % 4) * CASE WHEN p_partkey % 7 = 3 THEN 2 ELSE 3 END AS INT) AS size FROM part LEFT JOIN (SELECT f, count(*) AS n FROM imports GROUP BY f) i ON i.f = p_partkey"
@@ -151,8 +151,12 @@ class Source:
             F.concat(lit("function "), name, lit("(a, b) {")), F.concat(lit("def "), name, lit("(a, b):")), F.concat(lit("func "), name, lit("(a int, b int) {")), lit(""), lit(""),
         )
         lines = lambda *x: F.array(*map(lit, x))
-        script = lines("    if (a > 0) {", "        b();", "    }")
-        one = by(lines("    if a > 0 {", "        b();", "    }"), script, script, lines("    if a > 0:", "        b()"), lines("    if a > 0 {", "        b()", "    }"), none, none)
+        # One branch each in three lines: plain, in templates inside of one another, after a type, and among tags.
+        plain, template = lines("    if (a > 0) {", "        b();", "    }"), lines("    b(`a ${b ? `x{${a}` : ''} c", "        {{ ${a}; if (a) // }", "    `);")
+        kind = lines("    type X<T> = T extends string ? `${T}` : never;", "    const re = /[/'\"{]/;", "    if (re.test(a) ) b();")
+        tags = lines("    b(<p title=\"{\">Don't {a", "        && <b>it's {'{'}{/* { */}</b>} stop {'if'}", "    </p>);")
+        script = lambda *other: F.element_at(F.array(plain, template, *other), (F.col("k") % 3 + 1).cast("int"))
+        one = by(lines("    if a > 0 {", "        b();", "    }"), script(kind), script(tags), lines("    if a > 0:", "        b()"), lines("    if a > 0 {", "        b()", "    }"), none, none)
         sign = F.when(F.col("k") % 7 == 3, "# ").otherwise("// ")
         body = F.concat(
             F.array(F.concat(sign, lit("file "), F.col("k").cast("string"))), F.coalesce("imports", none), F.when(F.col("mark"), F.array(F.concat(sign, lit("TODO: check "), name))).otherwise(none),

@@ -91,7 +91,7 @@ def snippet_at(files: DataFrame, path: str, line: int, radius: int = 25) -> Data
 
 def _rows(frames, extract, columns):
     for f in frames:
-        out = [(p, lang, *r) for p, lang, c in zip(f["path"], f["language"], f["content"]) for r in extract(lang, c or "")]
+        out = [(p, lang, *r) for p, lang, c in zip(f["path"], f["language"], f["content"]) for r in extract(lang, c or "", p)]
         if out:
             yield pd.DataFrame(out, columns=columns)
 

@@ -1,7 +1,8 @@
 """Functions, complexity, parameters and public items of source texts.
 
-Python goes through its own syntax trees; the brace languages through a scanner: comments and strings are blanked, braces
-matched, and the extent of every construct found. Differences to a full grammar: code inside macros counts like any other.
+Python goes through its own syntax trees, block by block where a file has errors; the brace languages through a scanner:
+comments and strings are blanked, braces matched, and the extent of every construct found. Differences to a full grammar:
+code inside macros counts like any other.
 """
 
 from __future__ import annotations
@@ -12,36 +13,45 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 
+from lodestrata.sources import script
+
 Row = tuple  # (name, start_line, end_line, loc, params, cyclomatic, cognitive, body_hash)
 BRACES = ("rust", "typescript", "javascript", "go")
 MASKS = {
     "rust": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|b?r(#*)\".*?\"\1|b?\"(?:\\.|[^\"\\])*\"|b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'", re.S),
     "go": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.[^'\n]*|[^'\\\n])'", re.S),
-    "js": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|(?<=[(,=:\[!&|?{};\n])[ ]*/(?![*/ ])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*", re.S),
 }
 # Fixed values of the metrics: keywords that branch (each adds 1 to cyclomatic complexity and 1 with the nesting to the
 # cognitive), those that nest, and operators that add 1 to both.
 BRANCHES = {"rust": ("if", "while", "loop", "for"), "go": ("if", "for"), "js": ("if", "while", "do", "for", "catch")}
 WIDE = {"rust": ("match",), "go": ("switch", "select"), "js": ("switch",)}
 NESTS = {"rust": ("if", "while", "loop", "for", "match"), "go": ("if", "for", "switch", "select"), "js": ("if", "while", "do", "for", "switch", "try")}
-LOGIC = {"rust": r"&&|\|\|", "go": r"&&|\|\|", "js": r"&&|\|\||\?\?(?!=)"}
+LOGIC = {"rust": r"&&|\|\|", "go": r"&&|\|\|", "js": r"(?:&&|\|\||\?\?)(?!=)"}
 NO_METHODS = frozenset("if for while switch catch function return with await new typeof else do super import constructor_".split())
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
-def mask(source: str, lang: str) -> str:
-    """The source with comments and strings blanked, at the same places."""
-    return MASKS["js" if lang in ("typescript", "javascript") else lang].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+def mask(source: str, lang: str, tags: bool = False) -> str:
+    """The source with comments blanked, and strings but for their quotes, at the same places."""
+    if lang == "js":
+        return script.blank(source, tags)
+
+    def cover(m: re.Match) -> str:
+        text = re.sub(r"[^\n]", " ", m[0])
+        return text if m[0][0] == "/" else f'"{text[1:-1]}"'
+    return MASKS[lang].sub(cover, source)
 
 
 class Text:
     """A masked source with its line starts and matching brackets."""
 
-    def __init__(self, source: str, lang: str):
+    def __init__(self, source: str, lang: str, path: str = ""):
         self.source, self.lang = source, "js" if lang in ("typescript", "javascript") else lang
-        self.code = mask(source, lang)
+        self.code = mask(source, self.lang, lang == "javascript" or not path.endswith((".ts", ".mts", ".cts")))
+        self.ends: dict[int, int] = {}  # of constructs that are known
         self.lines = [0, *(m.end() for m in re.finditer("\n", source))]
         self.close: dict[int, int] = {}
+        self.open: dict[int, int] = {}
         stack: list[int] = []
         for m in re.finditer(r"[()\[\]{}]", self.code):
             c = m[0]
@@ -51,6 +61,7 @@ class Text:
                 while stack and PAIRS[self.code[stack[-1]]] != c:
                     stack.pop()
                 if stack:
+                    self.open[m.start()] = stack[-1]
                     self.close[stack.pop()] = m.start()
 
     def line(self, at: int) -> int:
@@ -91,7 +102,12 @@ class Text:
         return self.code[at] if at >= 0 else ""
 
     def extent(self, word: str, at: int) -> int:
-        """Where the construct that a keyword begins ends."""
+        """Where the construct that a keyword begins ends. Constructs that it holds should be asked for first."""
+        if at not in self.ends:
+            self.ends[at] = self._extent(word, at)
+        return self.ends[at]
+
+    def _extent(self, word: str, at: int) -> int:
         after = at + len(word)
         if word == "do" or word in ("loop", "try"):
             b = self.skip(after)
@@ -142,6 +158,39 @@ class Text:
 OPERAND = re.compile(r"[\w)\]}\"'?]")
 
 
+def in_type(t: Text, at: int) -> bool:
+    """Whether a question mark belongs to a type: `extends` stands before it in the same expression."""
+    b = at
+    while b > 0:
+        c = t.code[b - 1]
+        if c in ")]}":
+            b = t.open.get(b - 1, b - 1)
+        elif c in "([{;,?:" or c == "=" and t.code[b : b + 1] != ">":
+            break
+        else:
+            b -= 1
+    return re.search(r"\bextends\b", t.code[b:at]) is not None
+
+
+class Ranges:
+    """Intervals [a, b): which places lie inside of any, and inside of how many after their beginning."""
+
+    def __init__(self, ranges: list[tuple[int, int]]):
+        self.starts, self.ends, self.outer = sorted(a for a, _ in ranges), sorted(b for _, b in ranges), []
+        for a, b in sorted(ranges):
+            if self.outer and a < self.outer[-1][1]:
+                self.outer[-1][1] = max(b, self.outer[-1][1])
+            else:
+                self.outer.append([a, b])
+
+    def hold(self, at: int) -> bool:
+        i = bisect_right(self.outer, at, key=lambda r: r[0]) - 1
+        return i >= 0 and at < self.outer[i][1]
+
+    def depth(self, at: int) -> int:
+        return bisect_left(self.starts, at) - bisect_right(self.ends, at)
+
+
 def inner_functions(t: Text, a: int, b: int) -> list[tuple[int, int]]:
     """Ranges of functions, closures and function literals inside a body."""
     out, code = [], t.code
@@ -178,14 +227,14 @@ def inner_functions(t: Text, a: int, b: int) -> list[tuple[int, int]]:
 def complexity(t: Text, a: int, b: int) -> tuple[int, int]:
     """(cyclomatic, cognitive) of a body, functions inside left out."""
     code, lang = t.code, t.lang
-    skip = inner_functions(t, a + 1, b)
-    hidden = lambda p: any(x <= p < y for x, y in skip)
+    hidden = Ranges(inner_functions(t, a + 1, b)).hold
     nests: list[tuple[int, int]] = []
     marks: list[tuple[int, bool, bool]] = []  # place, adds to cyclomatic, adds to cognitive with its nesting
-    done: set[int] = set()
-    for m in re.compile(r"\b(" + "|".join({*BRANCHES[lang], *WIDE[lang], *NESTS[lang]}) + r")\b").finditer(code, a, b):
+    ends_of_do: set[int] = set()
+    words = re.compile(r"\b(" + "|".join({*BRANCHES[lang], *WIDE[lang], *NESTS[lang]}) + r")\b").finditer(code, a, b)
+    for m in reversed(list(words)):  # so that the end of what stands inside is known
         w, p = m[1], m.start()
-        if hidden(p) or p in done or t.before(p) == "." or lang == "rust" and w == "for" and re.match(r"for\s*<", code[p : p + 8]):
+        if hidden(p) or t.before(p) == "." or lang == "rust" and w == "for" and re.match(r"for\s*<", code[p : p + 8]):
             continue
         if w == "for" and lang == "rust" and not re.compile(r"for\b[^{;]*?\bin\b").match(code, p):
             continue
@@ -193,7 +242,7 @@ def complexity(t: Text, a: int, b: int) -> tuple[int, int]:
             continue
         end = t.extent(w, p)
         if w == "do" and (x := code.rfind("while", p, end)) > 0:
-            done.add(x)
+            ends_of_do.add(x)
         if w in NESTS[lang]:
             nests.append((p, end))
         if w in BRANCHES[lang]:
@@ -207,13 +256,14 @@ def complexity(t: Text, a: int, b: int) -> tuple[int, int]:
         marks += [(m.start(), True, False) for m in re.compile(r"\bcase\b").finditer(code, a, b)]
     else:
         marks += [(m.start(), True, False) for m in re.compile(r"\bcase\b|\bdefault\s*:").finditer(code, a, b)]
-        marks += [(m.start(), True, True) for m in re.compile(r"(?<!\?)\?(?![.?:)=,;])").finditer(code, a, b)]
+        marks += [(m.start(), True, True) for m in re.compile(r"(?<!\?)\?(?!\.\D|[?:)=,;])").finditer(code, a, b) if not in_type(t, m.start())]
+    nests = Ranges([(x, y) for x, y in nests if x not in ends_of_do])
     cc, cog = 1, 0
     for p, one, two in marks:
-        if hidden(p):
+        if hidden(p) or p in ends_of_do:
             continue
         cc += one
-        cog += two and 1 + sum(x < p < y for x, y in nests)
+        cog += two and 1 + nests.depth(p)
     for m in re.compile(LOGIC[lang]).finditer(code, a, b):
         if not hidden(m.start()) and OPERAND.match(t.before(m.start()) or " "):
             cc += 1
@@ -271,7 +321,7 @@ def functions(lang: str, source: str, path: str = "") -> list[Row]:
         return _python(source)
     if lang not in BRACES:
         return []
-    t = Text(source, lang)
+    t = Text(source, lang, path)
     code, found = t.code, []
     if lang == "rust":
         for m in re.finditer(r"((?:\b(?:pub(?:\s*\([^)]*\))?|async|unsafe|const|default|extern(?:\s+\"[^\"]*\")?)\s+)*)\bfn\s+(\w+)", code):
@@ -308,11 +358,73 @@ def _hash(text: str) -> str:
     return sha256(text.encode()).hexdigest()[:16]
 
 
+#: Comments and strings of Python, also ones that don't end.
+QUOTED = re.compile(r"#[^\n]*|(\"\"\"|''').*?(?:\1|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?", re.S)
+HEAD = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)", re.M)
+#: Statements of a broken function that may be passed over.
+PASSED_OVER = 20
+
+
 def _python(source: str) -> list[Row]:
+    tree = _tree(source)
+    found = _tree_functions(tree, source, 0) if tree else _block_functions(source)
+    return sorted(found, key=lambda r: (r[1], -r[2]))
+
+
+def _tree(source: str) -> ast.Module | None:
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+        return ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def _block_functions(source: str) -> list[Row]:
+    """Functions of a file with errors: blocks by indentation are parsed each. A block that has an error is parsed again with
+    the broken statement passed over; a class, and a function that can't be mended, give the blocks inside them."""
+    code = QUOTED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    lines, covered = source.split("\n"), code.split("\n")
+    starts = [0, *(m.end() for m in re.finditer("\n", code))]
+    indent = [len(x) - len(x.lstrip()) if x.strip() else -1 for x in covered]  # -1: nothing but blanks, comments and strings
+    out, done = [], 0
+    for head in HEAD.finditer(code):
+        first = bisect_right(starts, head.start()) - 1
+        if first < done:
+            continue
+        column, at, depth = len(head[1]), head.end(), 0
+        while at < len(code) and (depth or code[at] not in ":\n"):  # the head may go over lines
+            depth += (code[at] in "([{") - (code[at] in ")]}")
+            if code[at] == "\n" and HEAD.match(code, at + 1):  # a bracket that isn't closed
+                break
+            at += 1
+        last = stop = bisect_right(starts, min(at, len(code) - 1))
+        while stop < len(lines) and not 0 <= indent[stop] <= column:
+            stop += 1
+            last = stop if lines[stop - 1].strip() else last
+        while last > first + 1 and not lines[last - 1].strip():
+            last -= 1
+        block = [x[column:] if x[:column].strip() == "" else x for x in lines[first:last]]
+        tree = _tree("\n".join(block))
+        for _ in range(PASSED_OVER if head[2] == "def" and not tree else 0):
+            try:
+                tree = ast.parse("\n".join(block))
+                break
+            except (ValueError, RecursionError, MemoryError):
+                break
+            except SyntaxError as e:
+                at = (e.lineno or 1) - 1
+                if not 0 < at < len(block) or block[at].strip() == "pass":
+                    break
+                block[at] = block[at][: len(block[at]) - len(block[at].lstrip())] + "pass"
+        if tree:
+            out += _tree_functions(tree, "\n".join(block), first)
+            done = last
+        elif head[2] == "def" and not depth and code[at : at + 1] == ":":
+            out.append((head[3], first + 1, last, last - first, 0, 1, 0, _hash("\n".join(lines[first + 1 : last]).strip())))
+    return out
+
+
+def _tree_functions(tree: ast.Module, source: str, before: int) -> list[Row]:
+    """Functions of a tree of source, which has so many lines before it in its file."""
     lines, out = source.splitlines(keepends=True), []
 
     def walk(node, nesting: int, total: list[int]) -> None:
@@ -364,8 +476,8 @@ def _python(source: str) -> list[Row]:
         params = sum(not (p.arg in ("self", "cls") and p.annotation is None) for p in plain) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None)
         last = f.end_lineno or f.lineno
         body = "".join(lines[f.body[0].lineno - 1 : last])
-        out.append((f.name, f.lineno, last, last - f.lineno + 1, params, *total, _hash(body.strip())))
-    return sorted(out, key=lambda r: (r[1], -r[2]))
+        out.append((f.name, f.lineno + before, last + before, last - f.lineno + 1, params, *total, _hash(body.strip())))
+    return out
 
 
 # Public items: (kind, name, signature, line, method)
@@ -382,13 +494,13 @@ RUST_KINDS = {"fn": "function", "struct": "type", "enum": "type", "trait": "type
 EXPORT = re.compile(r"^[ \t]*export\b", re.M)
 
 
-def surface(lang: str, source: str) -> list[tuple]:
+def surface(lang: str, source: str, path: str = "") -> list[tuple]:
     out = []
     if lang == "rust":
         t = Text(source, lang)
         _rust_items(t, 0, len(t.code), out)
     elif lang in ("typescript", "javascript"):
-        _exports(Text(source, lang), out)
+        _exports(Text(source, lang, path), out)
     route = ROUTES.get("js" if lang in ("typescript", "javascript") else lang)
     if route:
         out += [("http_route", m["path"], None, source.count("\n", 0, m.start()) + 1, m["method"].upper()) for m in route.finditer(source)]
@@ -443,7 +555,7 @@ def _exports(t: Text, out: list) -> None:
         i = bisect_left(outer, (at,)) - 1
         if i >= 0 and at < outer[i][1]:
             continue
-        rest, line = t.code[m.end() :], t.line(at)
+        rest, line = t.code[m.end() : m.end() + 1000], t.line(at)  # as much as a head may take
         if re.match(r"\s*(?:type\s+)?(?:\*|\{)", rest):
             end = t.code.find(";", m.end())
             nl = t.code.find("\n", t.close.get(t.code.find("{", m.end()), m.end()) if re.match(r"\s*(?:type\s+)?\{", rest) else m.end())

@@ -1,6 +1,8 @@
 import json
 import os
+import re
 import subprocess
+import time
 
 import pytest
 
@@ -246,3 +248,110 @@ def test_tools_are_run_or_passed_over(spark, tmp_path, monkeypatch):
     (tmp_path / "store" / "diagnostics" / "ruff.json").write_text(json.dumps([later]))
     os.utime(tmp_path / "store" / "diagnostics" / "ruff.json", (2_000_000_000, 2_000_000_000))
     assert [r.rule for r in Engine(spark, str(tmp_path / "tree"), store=str(tmp_path / "store")).diagnostics().collect()] == ["E1"]  # newer than the store
+
+
+TEMPLATES = """export function f(a, b) {
+  const s = `a ${b ? `x{${a}` : ''} c`;
+}
+function g(x) {
+  return `x ${x ? 1 : 2} ${x && 3} \\` \\${ }`;
+}
+function j(p) {
+  return <p>Don't {p.a && <b>it's</b>} stop</p>;
+}
+function k(v) {
+  return v ? /[/'"}]/.test(v) || v / 2 / 3 : "a" === v && v ?? `}`;
+}
+class A {
+  m(a, b = `${1}`) { if (a) { return <Foo a={b => b && a} {...a}/> } else if (b) { return <></> } return a?.x ? a?.5:b : 1 }
+}
+"""
+
+
+def test_templates_and_tags():
+    for lang, path in (("javascript", "a.js"), ("typescript", "a.tsx"), ("typescript", "")):
+        rows = {r[0]: r[1:7] for r in parse.functions(lang, TEMPLATES, path)}
+        # start, end, lines, parameters, cyclomatic, cognitive
+        assert rows == {"f": (1, 3, 3, 2, 2, 1), "g": (4, 6, 3, 1, 3, 2), "j": (7, 9, 3, 1, 2, 1), "k": (10, 12, 3, 1, 5, 4), "m": (14, 14, 1, 2, 5, 5)}
+
+
+def test_what_only_looks_like_tags_and_branches():
+    types = """function k<T, U>(v: any) {
+  type X = T extends U ? 1 : 2;
+  let y: T extends (a: string) => infer R ? R : never;
+  const f = <A,>(a: A) => a, g = <B extends {}>(b: B) => b, h: <C>(c: C) => void = () => {};
+  v ||= 1; v &&= 2; v ??= 3;
+  return v!/2 > 1 / 3 ? v < 3 : v;
+}
+function l(x) { let i = 0; i++ / 2; if (x) /[}]/.test(x); return x.return / 2 / 1; }
+"""
+    rows = {r[0]: r[1:7] for r in parse.functions("typescript", types, "a.tsx")}
+    assert rows == {"k": (1, 7, 7, 1, 2, 1), "l": (8, 8, 1, 1, 2, 1)}
+    old = "function c(x) { const y = <T>x; return y && <string>(x) }\nfunction d() {}\n"
+    assert [(r[0], r[5]) for r in parse.functions("typescript", old, "a.ts")] == [("c", 2), ("d", 1)]
+    # a tag without an end was none: what follows is read as code
+    assert [r[0] for r in parse.functions("javascript", "const a = <T;\nfunction d() {}\n")] == ["d"]
+
+
+def test_operands_in_quotes():
+    assert parse.functions("rust", 'fn f(s: &str) -> bool { s == "x" && t || s == "y" }')[0][5:7] == (3, 2)
+    assert parse.functions("go", 'func f(s string) bool {\n return s == "x" && t\n}\n')[0][5:7] == (2, 1)
+
+
+@pytest.mark.parametrize("more", ["  if (a && b) { c(); } else if (x) d();\n", "  else if (a && b) { c(); }\n", "  `${a ? b : <p>{a && b}</p>}`;\n"])
+def test_long_functions_take_time_in_proportion(more):
+    taken = []
+    for n in (2000, 16000):
+        source = "function f(a) {\n  if (a) {}\n" + more * n + "}\n"
+        began = time.perf_counter()
+        (row,) = parse.functions("javascript", source)
+        taken.append(time.perf_counter() - began)
+        assert row[2] == n + 3
+        assert row[5] == 2 + n * len(re.findall(r"\?|&&|if", more))
+    assert taken[1] < 24 * taken[0]
+
+
+BROKEN = """import x
+
+def good(a, b):
+    if a:
+        return b
+    return \"\"\"
+def no(): pass
+\"\"\"
+
+class C:
+    def m(self, x):
+        return x and 1
+
+    def bad(self, y):
+        if y:
+            print y
+        for z in y:
+            z ==== 3
+        return 1
+
+    def after(self): return 2 if self else 3
+
+def headless(a, b:
+    return a
+
+async def last(
+    p,
+    q=1,
+):
+    while p:
+        p -= 1
+
+    # end
+x = = 3
+def tail(): pass
+"""
+
+
+def test_python_with_errors():
+    rows = [r[:7] for r in parse.functions("python", BROKEN)]
+    assert rows == [("good", 3, 8, 6, 2, 2, 1), ("m", 11, 12, 2, 1, 2, 1), ("bad", 14, 19, 6, 1, 3, 2), ("after", 21, 21, 1, 0, 2, 1), ("last", 26, 31, 6, 2, 2, 1), ("tail", 35, 35, 1, 0, 1, 0)]
+    whole = BROKEN[: BROKEN.index("    def bad")] + "    def z(self):\n        pass\n"
+    assert parse.functions("python", whole)[:2] == parse.functions("python", whole + "\nx = = 1\n")[:2]  # hashes too
+    assert [r[0] for r in parse.functions("python", "x = = 1\n" + "def f():\n  y = = 1\n  def g(): pass\n" * 50)] == ["f", "g"] * 50
