@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import save, ship, table
 from lodestrata.llm.words import BLANKS, BYTES, LOWER, column_bytes, lean, mix, resident, slices, text_shingles, word_hashes
 
-#: Labelled rows that the model is fitted on at most (those of the smallest hashes), and features that it has at most.
-SAMPLE, FEATURES = 20_000, 256
+#: Labelled rows that the model is fitted on at most (those of the smallest hashes).
+SAMPLE = 20_000
 #: Share of chosen features that may be there by chance, and least toxic documents that have a feature.
 CHANCE, SUPPORT = 0.2, 3
 #: Bytes of word beginnings that are features beside whole words; a feature that a text has twice is one more.
@@ -59,6 +59,10 @@ LATIN = np.zeros(256, bool)
 LATIN[97:123] = True
 
 
+#: Two characters in a row that aren't marks, and a mark.
+APART, MARK = re.compile(r"[^.\-_*~]{2}"), re.compile(r"[.\-_*~]")
+
+
 def count_symbols(column: pa.Array) -> np.ndarray:
     """Counts of four symbols in a row (blank edges between texts)."""
     buf, off = column_bytes(column)
@@ -78,15 +82,17 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi decoding of lattices under a model; remembers readings of so many words."""
+    """Viterbi decoding of lattices under a model; remembers readings of so many words that aren't longer than LONGEST."""
 
-    REMEMBERED = 50_000
+    REMEMBERED, LONGEST = 50_000, 64
 
     def __init__(self, model: np.ndarray):
         self.p = array("d", model.astype(np.float64).tobytes())
         self.known: dict[str, str] = {}
 
     def __call__(self, word: str) -> str:
+        if len(word) > self.LONGEST:
+            return self.decode(word)
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= self.REMEMBERED:
@@ -97,7 +103,7 @@ class Decoder:
     @staticmethod
     def lattice(word: str) -> Iterator[list[tuple[str, int, float]]]:
         """For each character its readings: (text, symbol or -1 for none, log probability)."""
-        spaced = " " in word or re.fullmatch(r"(?:[^.\-_*~]?[.\-_*~]+)+[^.\-_*~]?", word)
+        spaced = " " in word or APART.search(word) is None and MARK.search(word) is not None
         before = ""
         for c in word:
             if "a" <= c <= "z":
@@ -111,19 +117,25 @@ class Decoder:
             before = c
 
     def decode(self, word: str) -> str:
-        states = {0: (0.0, "")}
+        # Each state's best score and its reading, as a chain from the last text to the first.
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for options in self.lattice(word):
-            new: dict[int, tuple[float, str]] = {}
-            for ctx, (score, text) in states.items():
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for ctx, (score, read) in states.items():
                 for t, s, cost in options:
                     if s < 0:
                         to, value = ctx, score + cost
                     else:
                         to, value = ctx % (N * N) * N + s, score + cost + self.p[ctx * N + s]
                     if to not in new or value > new[to][0]:
-                        new[to] = (value, text + t)
+                        new[to] = (value, (read, t) if t else read)
             states = new
-        return max((score + self.p[ctx * N], text) for ctx, (score, text) in states.items())[1]
+        ends = {ctx: score + self.p[ctx * N] for ctx, (score, _) in states.items()}
+        read, out = states[max(ends, key=ends.get)][1], []
+        while read:
+            read, t = read
+            out.append(t)
+        return "".join(reversed(out))
 
 
 def decoder_of(name: str, model) -> Decoder:
@@ -312,7 +324,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         odds = [F.when(c > 0, c * F.log(c / of / r)).otherwise(0.0) for c, r in ((F.col("toxic"), rate), (F.col("clean"), 1 - rate))]
         best = (
             tried.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") > of * rate)).withColumn("evidence", odds[0] + odds[1])
-            .orderBy(F.desc("evidence"), "feature").limit(FEATURES).collect()
+            .orderBy(F.desc("evidence"), "feature").collect()
         )
         best = best[: beyond_chance([r.evidence for r in best], tried.count())]
         chosen = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))

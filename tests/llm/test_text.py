@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 
@@ -104,6 +105,18 @@ def plain_spans(text):
     return sorted(out)
 
 
+@pytest.mark.parametrize("word", ["$" + "-" * 10_000 + "total", "_" * 10_000 + "x9", "a.b" * 5_000 + "$", "l0" * 10_000, "s-" * 10_000, "$1" + "." * 100_000])
+def test_long_words_take_time_in_proportion(word):
+    model = toxicity.language_model(toxicity.count_symbols(pa.array(["the total of the letters", "a b c"])))
+    taken = []
+    for part in (word[: len(word) // 4], word):
+        began = time.perf_counter()
+        assert len(toxicity.Decoder(model)(part)) <= len(part)
+        taken.append(time.perf_counter() - began)
+    assert taken[1] < 5
+    assert taken[1] < 12 * taken[0] + 0.2
+
+
 def test_secrets_equal_plain_search(docs):
     rng = random.Random(4)
     bits = ["token", "PassWord", "api_key", "APIKEY", "secret", " = ", ": ", '"', "=", "AKIA", "ABCDEF0123456789", "deadbeef", "0123456789abcdef", "x", " ", "\n", "é", "ſecret", "abcdefghijkl", ".", "/", "-"]
