@@ -142,13 +142,20 @@ def search(chunks: DataFrame, index: DataFrame, query: str, vectors: DataFrame |
     return hydrate(fuse(lexical, semantic), chunks, limit, lang, kind)
 
 
-def similar(chunks: DataFrame, index: DataFrame, file: str, content: str, limit: int = 10) -> DataFrame:
-    """Files like one: its first 4096 bytes are the query, hits in itself are dropped."""
-    query = content.encode()[:4096].decode(errors="ignore")
-    hits = search(chunks, index, query, limit=max(limit + 5, 20))
+def beginning(content: str) -> str:
+    """What a file is compared by: its first 4096 bytes."""
+    return content.encode()[:4096].decode(errors="ignore")
+
+
+def others(hits: DataFrame, file: str, limit: int) -> DataFrame:
     return hits.where(F.col("file") != file).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def similar(chunks: DataFrame, index: DataFrame, file: str, content: str, limit: int = 10) -> DataFrame:
+    """Files like one: its beginning is the query, hits in itself are dropped."""
+    return others(search(chunks, index, beginning(content), limit=max(limit + 5, 20)), file, limit)
+
+
 def changed_files(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files whose content isn't the one known by (path, hash), paths that are gone)."""
     now = files.withColumn("hash", content_hash(F.col("content")))

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import paths, scores
-from lodestrata.functions.text import code_tokens
+from lodestrata.functions.text import code_tokens, tokens
 from lodestrata.operators import fleet, graph, history, metrics, resolve, rules, search, state, symbols, testmap
+from lodestrata.operators.segments import Index
 from lodestrata.schemas import RELATIONS
 from lodestrata.sources import configs, files as file_source, git, imports, scip, tools
 from lodestrata.storage import discard, exists, read_or_empty, replace_partition, replace_table, saved
@@ -297,32 +298,38 @@ class Engine:
 
     # answers: search
 
+    def index(self) -> Index:
+        return Index.open(self.spark, f"{self.store}/index", token=tokens)
+
     def reindex(self) -> int:
-        schema = "id long, file string, lang string, kind string, name string, start_line int, end_line int, content string"
-        chunks, known = self._table("chunks", schema), self._table("known", "path string, hash string")
-        new, marks = search.reindex(chunks, self.tree.select("path", "language", "content"), self.functions, known)
-        replace_table(saved(new), f"{self.store}/chunks")
-        replace_table(saved(marks), f"{self.store}/known")
-        replace_table(search.postings(self._table("chunks", schema)), f"{self.store}/postings")
-        replace_table(search.embed(self._table("chunks", schema)), f"{self.store}/vectors")
-        return self._table("chunks", schema).count()
+        """Chunks, postings and vectors of files that are new or changed, as one commit; the number of all chunks."""
+        index = self.index()
+        new, gone = search.changed_files(self.tree.select("path", "language", "content"), index.known)
+        new, gone = saved(new, "new"), saved(gone, "gone")
+        if index.version and new.isEmpty() and gone.isEmpty():
+            return index.size
+        functions = self.functions.join(new.select(F.col("path").alias("file")), "file", "left_semi")
+        return index.commit(search.numbered(search.chunk_files(new, functions)), new, gone, search.embed).size
 
     def sentinel(self) -> datetime | None:
         """The newest change of a file of the tree."""
         return self.tree.agg(F.max("modified")).first()[0]
 
     def index_status(self) -> dict:
-        c = self._table("chunks", "id long, file string, lang string")
-        return {"newest": self.sentinel(), "chunks": c.count(), "languages": [r.lang for r in c.select("lang").distinct().orderBy("lang").collect()], "state": "ready" if exists(self.spark, f"{self.store}/postings") else "empty"}
+        index = self.index()
+        return {"newest": self.sentinel(), "chunks": index.size, "languages": [r.lang for r in index.chunks.select("lang").distinct().orderBy("lang").collect()], "state": "ready" if index.version else "empty"}
 
     def search_code(self, query: str, limit: int = 20, lang: str | None = None, kind: str | None = None) -> DataFrame:
+        index = self.index()
         q = self.spark.createDataFrame([(0, "", "", query)], "id long, file string, name string, content string")
-        vector = search.embed(q).first().embedding
-        return search.search(self._chunks(), self._table("postings", RELATIONS["postings"]), query, self._table("vectors", RELATIONS["vectors"]), vector, limit, lang, kind)
+        near = search.dense(index.vectors, search.embed(q).first().embedding)
+        return search.hydrate(search.fuse(index.bm25(code_tokens(query)), near), index.chunks, limit, lang, kind)
 
     def similar(self, file: str, limit: int = 10) -> DataFrame:
-        row = self.tree.where(F.col("path") == file).select("content").first()
-        return search.similar(self._chunks(), self._table("postings", RELATIONS["postings"]), file, row.content if row else "", limit)
+        index, row = self.index(), self.tree.where(F.col("path") == file).select("content").first()
+        words = code_tokens(search.beginning(row.content if row else ""))
+        none = self.spark.createDataFrame([], "id long, score double")
+        return search.others(search.hydrate(search.fuse(index.bm25(words), none), index.chunks, max(limit + 5, 20)), file, limit)
 
     def context_list(self) -> DataFrame:
         return configs.artifacts(self.spark, configs.read_text(self.spark, f"{self.store}/artifacts.json"))
@@ -339,9 +346,6 @@ class Engine:
         index = search.postings(chunks)
         return search.hydrate(search.fuse(search.bm25(index, code_tokens(query), chunks.count()), search.bm25(index, [], 1)), chunks, limit)
 
-    def _chunks(self) -> DataFrame:
-        return self._table("chunks", "id long, file string, lang string, kind string, name string, start_line int, end_line int, content string")
-
     def _table(self, name: str, schema: str) -> DataFrame:
         return read_or_empty(self.spark, f"{self.store}/{name}", schema)
 

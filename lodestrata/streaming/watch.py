@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,16 +14,72 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestrata.functions.paths import is_watched, language
 from lodestrata.functions.scores import content_hash
 from lodestrata.operators import search
-from lodestrata.storage import read_or_empty, replace_table
+from lodestrata.operators.segments import Index
+from lodestrata.storage import saved
 
 EVENTS = "project string, path string, hash string, ts timestamp"
 
 
-def file_stream(spark: SparkSession, root: str, project: str) -> DataFrame:
-    """New and rewritten files below root; deletions aren't seen (a full scan finds them)."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    raw = spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", True).option("latestFirst", False).load(root)
-    return raw.select(F.lit(project).alias("project"), "path", content_hash(F.col("content"), 16).alias("hash"), F.col("modificationTime").alias("ts"))
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modified, length) of the files below root: what a store tells without reading them."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return raw.select("path", F.col("modificationTime").alias("modified"), "length")
+
+
+def listing_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, modified, gone): files of one listing that the other hasn't, or has with another time or length."""
+    now = new.select("path", F.col("modified").alias("m"), F.col("length").alias("n"))
+    both = old.join(now, "path", "full_outer")
+    same = (F.col("modified") == F.col("m")) & (F.col("length") == F.col("n"))
+    return both.where(~F.coalesce(same, F.lit(False))).select("path", F.col("m").alias("modified"), F.col("m").isNull().alias("gone"))
+
+
+def observe(spark: SparkSession, root: str, project: str, store: str) -> int:
+    """Lists the files below root once, and writes EVENTS of what differs from the listing before: new and changed files
+    with the hash of their content, files that are gone with none. Returns the number of listings so far.
+
+    Below store, listings/<n> is the n-th listing and events/<n> its difference to the one before. A listing counts once it
+    is whole, and its events follow from it, so a driver that is lost in between writes them when it comes back. Contents
+    are read only of files as new as the oldest changed one.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda folder: [int(f.getPath().getName()) for f in fs.listStatus(path(f"{store}/{folder}")) if f.getPath().getName().isdigit()] if fs.exists(path(f"{store}/{folder}")) else []
+
+    def put(df: DataFrame, name: str) -> None:
+        aside = f"{store}/.{uuid.uuid4().hex}"
+        df.write.parquet(aside)
+        fs.mkdirs(path(f"{store}/{name}").getParent())
+        fs.rename(path(aside), path(f"{store}/{name}"))
+
+    n = max(there("listings"), default=0)
+    if n == max(there("events"), default=0):  # else the last listing still waits for its events
+        n += 1
+        put(listing(spark, root).coalesce(64), f"listings/{n}")
+    known = "path string, modified timestamp, length long"
+    old = spark.read.schema(known).parquet(f"{store}/listings/{n - 1}") if n > 1 else spark.createDataFrame([], known)
+    found = saved(listing_changes(old, spark.read.schema(known).parquet(f"{store}/listings/{n}")), "found")
+    since = found.agg(F.min("modified")).first()[0]
+    gone = found.where("gone").select("path", F.lit(None).cast("string").alias("hash"), F.current_timestamp().alias("ts"))
+    events = gone
+    if since is not None:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("modificationTime") >= F.lit(since))
+        read = raw.select("path", content_hash(F.col("content"), 16).alias("hash"), F.col("modificationTime").alias("ts"))
+        events = events.unionByName(read.join(found.where("NOT gone").select("path"), "path", "left_semi"))
+    put(events.select(F.lit(project).alias("project"), "path", "hash", "ts"), f"events/{n}")
+    return n
+
+
+def observed(spark: SparkSession, store: str) -> DataFrame:
+    """The stream of what observe() has written and will write."""
+    spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/events"))
+    return spark.readStream.schema(EVENTS).parquet(f"{store}/events/*")
+
+
+def watch_tree(spark: SparkSession, root: str, project: str, store: str, every: str = "30 seconds"):
+    """A query that observes root at each trigger. Whatever a trigger finds goes to observed()."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, __: observe(spark, root, project, store)).trigger(processingTime=every).option("checkpointLocation", f"{store}/.ticks").start()
 
 
 def relevant(events: DataFrame) -> DataFrame:
@@ -63,22 +120,14 @@ def changes(events: DataFrame) -> DataFrame:
     )
 
 
-def reindex_batch(root: str, read: Callable[[list[str]], DataFrame], functions_of: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the tables chunks and known below root up to date. It may run twice for a
-    batch: rows are replaced by path."""
-    chunks_path, known_path = f"{root}/chunks", f"{root}/known"
-    schema = "id long, file string, lang string, kind string, name string, start_line int, end_line int, content string"
-
-    def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        paths = [r.path for r in batch.where("change <> 'removed'").select("path").distinct().collect()]  # one burst's
-        gone = batch.where("change = 'removed'").select("path").distinct()
-        chunks, known = read_or_empty(spark, chunks_path, schema), read_or_empty(spark, known_path, "path string, hash string")
+def reindex_batch(root: str, read: Callable[[DataFrame], DataFrame], functions_of: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the index below root up to date: each batch is one commit. read gives (path,
+    content) of those of the paths that are there. A batch that runs again changes nothing."""
+    def run(batch: DataFrame, number: int) -> None:
+        paths = batch.where("change <> 'removed'").select("path").distinct()
         files = read(paths).withColumn("language", language(F.col("path")))
-        new = search.numbered(search.chunk_files(files, functions_of(files))).select(*chunks.columns)
-        touched = files.select("path").unionByName(gone)
-        replace_table(chunks.join(touched.withColumnRenamed("path", "file"), "file", "left_anti").select(*chunks.columns).unionByName(new), chunks_path)
-        replace_table(known.join(touched, "path", "left_anti").unionByName(files.select("path", content_hash(F.col("content"), 16).alias("hash"))), known_path)
+        chunks = search.numbered(search.chunk_files(files, functions_of(files)))
+        Index.open(batch.sparkSession, root).commit(chunks, files.select("path", content_hash(F.col("content"), 16).alias("hash")), batch.select("path").distinct(), embed, number)
 
     return run
 

@@ -1,11 +1,13 @@
 import json
 import os
 import re
+import shutil
 import subprocess
 import time
 
 import pytest
 
+from lodestrata.operators.segments import Index
 from lodestrata.plans.engine import Engine, Fleet
 from lodestrata.sources import configs, files, git, imports, parse, scip, tools
 from lodestrata.streaming import watch
@@ -208,19 +210,69 @@ def test_stream_of_changes(spark, tmp_path):
 
 def test_reindexing_batches(spark, tmp_path):
     texts = {"a.md": "one", "b.md": "two"}
-    read = lambda ps: spark.createDataFrame([(p, texts[p]) for p in ps], "path string, content string")
+    read = lambda ps: ps.join(spark.createDataFrame(list(texts.items()), "path string, content string"), "path")
     run = watch.reindex_batch(str(tmp_path / "idx"), read, files.functions_of)
     batch = lambda *r: spark.createDataFrame(list(r), "path string, change string")
     run(batch(("a.md", "added"), ("b.md", "added")), 0)
     texts["a.md"] = "changed"
     for _ in range(2):  # a batch may run again
         run(batch(("a.md", "changed"), ("b.md", "removed")), 1)
-    assert [(r.file, r.content) for r in spark.read.parquet(str(tmp_path / "idx/chunks")).collect()] == [("a.md", "changed")]
+    index = Index.open(spark, str(tmp_path / "idx"))
+    assert index.version == 2
+    assert [(r.file, r.content) for r in index.chunks.collect()] == [("a.md", "changed")]
+    assert [r.path for r in index.known.collect()] == ["a.md"]
     seen = []
     watch.languages_batch(seen.append)(batch(("a.rs", "added"), ("b.py", "added")), 0)
     assert seen == [["python", "rust"]]
 
 
+def test_observed_tree(spark, tmp_path):
+    """Added, changed and removed files over triggers, after a restart between them, and with a driver lost in between."""
+    root, store = tmp_path / "tree", str(tmp_path / "store")
+    (root / "src").mkdir(parents=True)
+
+    def write(name, text, at):
+        (root / name).write_text(text)
+        os.utime(root / name, (at, at))
+
+    def triggered():
+        watch.observe(spark, str(root), "p", store)
+        q = watch.changes(watch.observed(spark, store)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        return sorted((r.path.rsplit("/tree/")[-1], r.change) for r in rows)
+
+    write("src/a.rs", "one", 1000)
+    write("b c.md", "two", 2000)
+    first = [("b c.md", "added"), ("src/a.rs", "added")]
+    assert triggered() == first
+    write("src/a.rs", "other", 1000)  # no newer, but of another length
+    write("d.py", "x", 3000)
+    (root / "b c.md").unlink()
+    second = [("b c.md", "removed"), ("d.py", "added"), ("src/a.rs", "changed")]
+    assert triggered() == sorted(first + second)
+    write("d.py", "x", 4000)  # touched, not changed
+    assert triggered() == sorted(first + second)
+    assert watch.observe(spark, str(root), "p", store) == 4  # nothing differs
+    (root / "d.py").unlink()
+    shutil.move(f"{store}/events/4", f"{store}/lost")
+    assert watch.observe(spark, str(root), "p", store) == 4  # the listing that still waited for its events
+    assert triggered() == sorted([*first, *second, ("d.py", "removed")])
+
+
+def test_ticks_observe(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/a.rs").write_text("fn a() {}")
+    q = watch.watch_tree(spark, str(tmp_path / "tree"), "p", str(tmp_path / "store"), "0 seconds")
+    for _ in range(300):
+        if (tmp_path / "store/events/2").exists():
+            break
+        time.sleep(0.2)
+    q.stop()
+    events = [r for n in ("1", "2") for r in spark.read.schema(watch.EVENTS).parquet(str(tmp_path / "store/events" / n)).collect()]
+    assert [r.path.rsplit("/")[-1] for r in events] == ["a.rs"]
+
+
 def test_exports_inside_braces_are_none():
     text = "namespace n {\n  export const a = 1;\n  { export function b() {} }\n}\nexport const c = { d: { e: 1 } };\nexport class F { g() {} }\n" + "{ x(); }\n" * 2000 + "export function h() {}\n"
     assert [(i[0], i[1]) for i in parse.surface("typescript", text)] == [("constant", "c"), ("type", "F"), ("function", "h")]
