@@ -155,3 +155,30 @@ def owner_regex(pattern: str) -> str:
     anchored, p = pattern.startswith("/"), pattern.removeprefix("/")
     p += "**" if p.endswith("/") else ""
     return glob_regex(p if anchored else "**/" + p, separator=True)
+
+
+#: What a pattern may be looked up by: the folder that it begins in, a whole part of a path, the ending of a file; and for
+#: patterns that have none of these, the same for all.
+ANY = "*"
+
+
+def owner_key(pattern: str) -> str:
+    """A key that owner_keys() gives for every path that the pattern can match."""
+    anchored, parts = pattern.startswith("/"), pattern.removeprefix("/").rstrip("/").split("/")
+    if set(pattern) & set("{}\\"):  # a slash may stand inside of braces
+        return ANY
+    plain = [not set(x) & set("*?[]") for x in parts]
+    if anchored and plain[0]:
+        n = plain.index(False) if False in plain else len(plain)
+        return "/" + "/".join(parts[:n])
+    if True in plain:
+        return "=" + max((x for x, p in zip(parts, plain) if p), key=len)
+    ending = re.search(r"(?<=\.)[^.*?\[\]]+$", parts[-1])
+    return "." + ending[0] if ending and not pattern.endswith("/") else ANY
+
+
+def owner_keys(path: Column) -> Column:
+    """The keys of a path: all folders that it lies in and itself, its parts, its ending, and the one for all."""
+    parts = F.split(path, "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return F.array_distinct(F.concat(heads, F.transform(parts, lambda x: F.concat(F.lit("="), x)), F.array(F.concat(F.lit("."), F.regexp_extract(path, r"([^./]*)$", 1)), F.lit(ANY))))

@@ -161,15 +161,28 @@ def entry_depths(nodes: DataFrame, edges: DataFrame, local: int | None = None) -
 
         depth = pairs.unionByName(roots).coalesce(1).mapInPandas(run, f"id {nodes.schema['id'].dataType.simpleString()}, depth_from_entry int")
     else:
-        seen = front = saved(entries.select(F.col("id").alias("entry"), "id", F.lit(0).alias("d")), "depth")
-        while not front.isEmpty():
-            step = front.join(pairs, front.id == pairs.a).select("entry", F.col("b").alias("id"), (F.col("d") + 1).alias("d")).distinct()
-            front = saved(step.join(seen.select("entry", "id"), ["entry", "id"], "left_anti"), "depth")
-            seen = saved(seen.unionByName(front), "depth")
-        depth = seen.groupBy("id").agg(F.max("d").alias("depth_from_entry"))
+        depth = _depths_by_words(entries, pairs)
     return nodes.drop("depth_from_entry").join(depth, "id", "left").fillna(0, ["depth_from_entry"])
 
 
+def _depths_by_words(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, depth_from_entry): 64 entry points walk at once, a bit each of a word, so there are nodes x entries / 64 rows. A
+    node's depth is the last round in which an entry came to it that hadn't been there."""
+    part = saved(entries.distinct().withColumn("p", F.spark_partition_id()), "entries")
+    n = F.row_number().over(W.partitionBy("p").orderBy("id")) - 1  # dense in each partition, so no task counts all
+    place = (F.shiftleft(F.col("p").cast("long"), 40) + F.shiftright("n", 6)).alias("word")
+    first = part.withColumn("n", n).select("id", place, F.expr("shiftleft(1L, n % 64)").alias("new"))
+    state, round_ = saved(first.withColumn("seen", F.col("new")).withColumn("d", F.lit(0)), "depth"), 0
+    while True:
+        front, round_ = state.where("new <> 0").select("id", "word", "new"), round_ + 1
+        if front.isEmpty():
+            return state.groupBy("id").agg(F.max("d").alias("depth_from_entry"))
+        step = front.join(pairs, front.id == pairs.a).groupBy(F.col("b").alias("id"), "word").agg(F.bit_or("new").alias("got"))
+        both = state.select("id", "word", "seen", "d").join(step, ["id", "word"], "full_outer").fillna(0, ["seen", "got", "d"])
+        new = F.col("got").bitwiseAND(F.bitwise_not(F.col("seen")))
+        state = saved(both.select("id", "word", new.alias("new"), F.col("seen").bitwiseOR(F.col("got")).alias("seen"), F.when(new != 0, round_).otherwise(F.col("d")).alias("d")), "depth")
+
+
 def module_edges(edges: DataFrame, depth: int = 2) -> DataFrame:
     a, b = group_key(F.col("from"), depth), group_key(F.col("to"), depth)
     return edges.select(a.alias("source"), b.alias("target")).where("source <> target").groupBy("source", "target").agg(F.count("*").alias("weight"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestrata.functions.paths import owner_regex
+from lodestrata.functions.paths import owner_key, owner_keys, owner_regex
 from lodestrata.functions.scores import hotspot_score
 
 
@@ -45,12 +45,13 @@ def hotspots(stats: DataFrame, metrics: DataFrame, limit: int | None = 40) -> Da
 
 
 def owners_of(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, owners) of the last rule that matches. Rules are a file's lines: as many are compiled into one expression."""
-    rows = [(r.pattern, r.owners) for r in rules.orderBy("ordinal").collect()]
-    out = F.lit(None).cast("array<string>")
-    for pattern, owners in rows:
-        out = F.when(F.regexp_replace("path", r"^\./", "").rlike(owner_regex(pattern)), F.array(*map(F.lit, owners))).otherwise(out)
-    return paths.select("path", F.coalesce(out, F.expr("CAST(array() AS array<string>)")).alias("owners"))
+    """(path, owners) of the last rule that matches. Rules are joined by a key that each path they match has (a folder, a part,
+    an ending), so a path meets few of them, and the plan is the same for any number."""
+    rows = [(r.ordinal, owner_key(r.pattern), owner_regex(r.pattern), r.owners) for r in rules.collect()]  # the lines of a file
+    keyed = rules.sparkSession.createDataFrame(rows, "ordinal int, key string, pattern string, owners array<string>")
+    each = paths.select("path").distinct().withColumn("p", F.regexp_replace("path", r"^(?:\./)+", "")).select("path", "p", F.explode(owner_keys(F.col("p"))).alias("key"))
+    hit = each.join(keyed, "key").where(F.expr("p RLIKE pattern")).groupBy("path").agg(F.max_by("owners", "ordinal").alias("owners"))
+    return paths.select("path").join(hit, "path", "left").select("path", F.coalesce("owners", F.expr("CAST(array() AS array<string>)")).alias("owners"))
 
 
 def recent_changes(stats: DataFrame, hot: DataFrame, tested: DataFrame, prefix: str | None = None, limit: int = 50) -> DataFrame:

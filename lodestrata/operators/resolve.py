@@ -1,4 +1,8 @@
-"""Specifiers to files: every edge gets its candidates in order, the first that exists wins."""
+"""Specifiers to files: every edge gets its candidates in order, the first that exists wins.
+
+Aliases, modules and crates are tables that specifiers are joined with by the folders that they begin with, so a plan is the
+same for any number of them.
+"""
 
 from __future__ import annotations
 
@@ -24,20 +28,41 @@ def _joined(base: Column, rest: Column) -> Column:
     return normalize(F.concat_ws("/", F.when(base != "", base), rest))
 
 
-def ts_candidates(source: Column, raw: Column, aliases=None) -> Column:
-    parts = []
+def prefixes(path: Column) -> Column:
+    """A path and all folders that it lies in."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+ROOTS = "lang string, prefix string, place int, whole boolean, base string"
+
+
+def roots(spark, aliases=None, modules: dict[str, str] | None = None) -> DataFrame:
+    """What stands for a folder at the beginning of a specifier: aliases in their order, modules from the longest on. whole:
+    only the specifier that is the prefix itself counts."""
+    rows = []
     for pattern, replacements in aliases or DEFAULT_ALIASES:
         star = pattern.endswith("/*")
-        prefix = pattern.removesuffix("/*")
         for r in replacements:
-            r = r.removeprefix("./")
-            if star:
-                base = r.removesuffix("/*")
-                sub = F.when(raw.startswith(prefix + "/"), F.concat(F.lit(base + "/"), F.substring(raw, F.lit(len(prefix) + 2), F.length(raw)))).when(raw == prefix, F.lit(base))
-            else:
-                sub = F.when(raw == pattern, F.lit(r))
-            parts.append(F.when(sub.isNotNull(), _ts_paths(normalize(sub))).otherwise(F.array().cast("array<string>")))
-    return F.when(raw.startswith("."), _ts_paths(_joined(parent(source), raw))).otherwise(F.concat(*parts))
+            rows.append(("script", pattern.removesuffix("/*") if star else pattern, len(rows), not star, r.removeprefix("./").removesuffix("/*") if star else r.removeprefix("./")))
+    for module, folder in sorted((modules or {}).items(), key=lambda m: -len(m[0])):
+        rows.append(("go", module, len(rows), False, folder))
+    return spark.createDataFrame(rows, ROOTS)
+
+
+def under_roots(edges: DataFrame, table: DataFrame) -> DataFrame:
+    """(eid, roots): for each edge the roots that its specifier lies under, in order, with what follows (sub)."""
+    mine = edges.where(F.col("language").isin("typescript", "javascript", "go") & ~F.col("to").startswith("."))
+    each = mine.select("eid", "to", F.when(F.col("language") == "go", "go").otherwise("script").alias("lang"), F.explode(prefixes(F.col("to"))).alias("prefix"))
+    hit = each.join(table, ["lang", "prefix"]).where(~F.col("whole") | (F.col("prefix") == F.col("to")))
+    sub = F.substring("to", F.length("prefix") + 2, F.length("to")).alias("sub")
+    return hit.groupBy("eid").agg(F.array_sort(F.collect_list(F.struct("place", "base", "whole", sub))).alias("roots"))
+
+
+def ts_candidates(source: Column, raw: Column, found: Column) -> Column:
+    """found: the roots that the specifier lies under."""
+    under = lambda r: _ts_paths(normalize(F.when(r["whole"] | (r["sub"] == "") & ~raw.endswith("/"), r["base"]).otherwise(F.concat(r["base"], F.lit("/"), r["sub"]))))
+    return F.when(raw.startswith("."), _ts_paths(_joined(parent(source), raw))).otherwise(F.flatten(F.transform(found, under)))
 
 
 def _rust_parts(raw: Column) -> Column:
@@ -52,7 +77,12 @@ def _rust_paths(base: Column, parts: Column) -> Column:
     return F.flatten(F.transform(lengths, lambda n: F.array(join(n, ".rs"), join(n, "/mod.rs"))))
 
 
-def rust_candidates(source: Column, raw: Column, crates: dict[str, str] | None = None) -> Column:
+def crate_name(raw: Column) -> Column:
+    return F.translate(F.try_element_at(_rust_parts(raw), F.lit(1)), "-", "_")
+
+
+def rust_candidates(source: Column, raw: Column, crate: Column) -> Column:
+    """crate: the folder of the crate that the specifier begins with, or null."""
     parts = _rust_parts(raw)
     first = F.try_element_at(parts, F.lit(1))
     rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
@@ -62,9 +92,7 @@ def rust_candidates(source: Column, raw: Column, crates: dict[str, str] | None =
     up = F.aggregate(F.sequence(F.lit(1), supers), folder, lambda p, _: parent(p))
     after = F.slice(parts, supers + 1, F.greatest(F.size(parts), F.lit(1)))
     none = F.array().cast("array<string>")
-    other = none
-    for name, src in (crates or {}).items():
-        other = F.when(F.translate(first, "-", "_") == name, F.array(F.lit(f"{src}/lib.rs"), F.lit(f"{src}/main.rs"))).otherwise(other)
+    other = F.when(crate.isNotNull(), F.array(F.concat(crate, F.lit("/lib.rs")), F.concat(crate, F.lit("/main.rs")))).otherwise(none)
     found = (
         F.when(first == "crate", _rust_paths(root, rest)).when(first == "super", _rust_paths(up, after)).when(first == "self", _rust_paths(folder, rest))
         .when(first.isin(*EXTERNAL), none).otherwise(other)
@@ -87,32 +115,33 @@ def python_candidates(source: Column, raw: Column, relative: bool = True) -> Col
     return F.when(dots > 0, F.array(*both(at))).otherwise(plain)
 
 
-def go_candidates(raw: Column, modules: dict[str, str] | None = None, directories: str = "dirs") -> Column:
-    """By the longest module that fits: base.go, base/last.go, then the first file of the directory (column dirs)."""
-    out = F.array().cast("array<string>")
-    for module, folder in sorted((modules or {}).items(), key=lambda m: -len(m[0])):
-        sub = F.when(raw == module, F.lit("")).when(raw.startswith(module + "/"), F.substring(raw, F.lit(len(module) + 2), F.length(raw)))
-        base = F.concat_ws("/", F.when(F.lit(folder) != "", F.lit(folder)), F.when(sub != "", sub))
+def go_candidates(found: Column) -> Column:
+    """By the longest module that fits: base.go, base/last.go, then the first file of the directory."""
+    def under(r: Column) -> Column:
+        base = F.concat_ws("/", F.when(r["base"] != "", r["base"]), F.when(r["sub"] != "", r["sub"]))
         own = F.array(F.concat(base, F.lit(".go")), F.concat(base, F.lit("/"), F.element_at(F.split(base, "/"), -1), F.lit(".go")), F.concat(base, F.lit("/*.go")))
-        out = F.concat(out, F.when(sub.isNotNull() & (base != ""), own).otherwise(F.array().cast("array<string>")))
-    return out
+        return F.when(base != "", own).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(found, under))
 
 
 def resolve_edges(files: DataFrame, raw: DataFrame, aliases=None, crates=None, modules=None, relative_python: bool = True) -> DataFrame:
     """raw edges with `target`, the file that each means, or null."""
     lang = files.select(F.col("path").alias("from"), "language")
     edges = raw.join(lang, "from").withColumn("eid", F.xxhash64("from", "line", "k", "to", "kind"))
-    src, to = F.col("from"), F.col("to")
+    src, to, found = F.col("from"), F.col("to"), F.coalesce("roots", F.expr("cast(array() as array<struct<place: int, base: string, whole: boolean, sub: string>>)"))
+    spark = files.sparkSession
+    folders = spark.createDataFrame(list((crates or {}).items()), "crate string, crate_folder string")
+    named = edges.join(under_roots(edges, roots(spark, aliases, modules)), "eid", "left").withColumn("crate", F.when(F.col("language") == "rust", crate_name(to))).join(folders, "crate", "left")
     candidates = (
-        F.when(F.col("language").isin("typescript", "javascript"), ts_candidates(src, to, aliases))
-        .when(F.col("language") == "rust", rust_candidates(src, to, crates))
+        F.when(F.col("language").isin("typescript", "javascript"), ts_candidates(src, to, found))
+        .when(F.col("language") == "rust", rust_candidates(src, to, F.col("crate_folder")))
         .when(F.col("language") == "python", python_candidates(src, to, relative_python))
-        .when(F.col("language") == "go", go_candidates(to, modules))
+        .when(F.col("language") == "go", go_candidates(found))
     )
     # A directory of Go files stands for its first file in name order.
     go = files.where("language = 'go'").where(~F.col("path").endswith("_test.go")).groupBy(F.concat(parent(F.col("path")), F.lit("/*.go")).alias("candidate")).agg(F.min("path").alias("target"))
     known = files.select(F.col("path").alias("candidate"), F.col("path").alias("target")).unionByName(go)
-    tried = edges.select("eid", F.posexplode(candidates).alias("prio", "candidate"))
+    tried = named.select("eid", F.posexplode(candidates).alias("prio", "candidate"))
     best = tried.join(known, "candidate").groupBy("eid").agg(F.min_by("target", "prio").alias("target"))
     return edges.join(best, "eid", "left")
 

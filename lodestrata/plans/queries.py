@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +13,11 @@ from pyspark.sql.window import Window as W
 from lodestrata.functions import paths, scores
 from lodestrata.functions.text import simple_tokens
 from lodestrata.operators import fleet, graph, history, metrics, rules, search, state, symbols, testmap
+from lodestrata.operators.segments import Index
 from lodestrata.plans.proxies import lang, path
 from lodestrata.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from lodestrata.sources.files import surface_counts
-from lodestrata.storage import saved
+from lodestrata.storage import saved, shared_dir
 from lodestrata.streaming import watch
 
 AS_OF = datetime(2001, 11, 4)
@@ -430,10 +433,11 @@ CHUNKS = (
     "chunks AS (SELECT path AS file, language AS lang, s + 1 AS start_line, least(s + 60, n) AS end_line, 'L' || (s + 1) || '-' || least(s + 60, n) AS name, array_to_string(list_slice(l, s + 1, least(s + 60, n)), chr(10)) AS content FROM st WHERE s = 0 OR s + 10 < n)"
 )
 TF = (
-    f"{CHUNKS}, tk AS (SELECT file || ':' || name AS id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS term FROM chunks), tf AS (SELECT id, term, count(*) AS tf FROM tk GROUP BY 1, 2), "
-    "ln AS (SELECT id, sum(tf) AS len FROM tf GROUP BY 1), k AS (SELECT count(*) AS n FROM chunks), av AS (SELECT sum(len) / (SELECT n FROM k) AS avg FROM ln), "
-    "hit AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM tf WHERE term IN ('the', 'idiot', 'of', 'que')), "
-    "bm AS (SELECT id, sum(ln(1 + ((SELECT n FROM k) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg FROM av)))) AS score FROM hit JOIN ln USING (id) GROUP BY id)"
+    f"{CHUNKS}, tk AS (SELECT file || ':' || name AS id, 'content' AS field, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS term FROM chunks "
+    "UNION ALL SELECT file || ':' || name, 'name', unnest(regexp_extract_all(lower(name), '[a-z0-9_]+')) FROM chunks), tf AS (SELECT id, field, term, count(*) AS tf FROM tk GROUP BY 1, 2, 3), "
+    "ln AS (SELECT id, field, sum(tf) AS len FROM tf GROUP BY 1, 2), k AS (SELECT count(*) AS n FROM chunks), av AS (SELECT field, sum(len) / (SELECT n FROM k) AS avg FROM ln GROUP BY 1), "
+    "hit AS (SELECT *, count(*) OVER (PARTITION BY field, term) AS df FROM tf WHERE term IN ('the', 'idiot', 'of', 'que', 'l1', '60')), "
+    "bm AS (SELECT id, round(sum(CASE field WHEN 'name' THEN 2 ELSE 1 END * ln(1 + ((SELECT n FROM k) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 12) AS score FROM hit JOIN ln USING (id, field) JOIN av USING (field) GROUP BY id)"
 )
 
 
@@ -446,15 +450,29 @@ def x2_window_chunks(s):
     return search.window_chunks(s.chunk_files).select("file", "lang", "name", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("hash"))
 
 
+def standing_index(s) -> tuple[Index, DataFrame]:
+    """The index of the documents of a folder of tables, kept between queries: what has changed since the last is committed.
+    The second is its chunks, with the ids that the SQL gives them."""
+    root = f"{shared_dir(s.spark)}/index-{crc32(s.dir.encode()):08x}"
+    index = Index.open(s.spark, root, token=simple_tokens)
+    new, gone = (saved(x, "delta") for x in search.changed_files(s.chunk_files, index.known))
+    if not index.version or not new.isEmpty() or not gone.isEmpty():
+        index = index.commit(search.numbered(search.window_chunks(new)), new, gone)
+    return index, index.chunks.select("id", F.concat_ws(":", "file", "name").alias("name"))
+
+
 def _bm25(s, k=50) -> DataFrame:
-    chunks = _chunks(s)
-    index = saved(search.postings(chunks.withColumn("name", F.lit("")), simple_tokens), "postings")  # an index is stored
-    return search.bm25(index, ["the", "idiot", "of", "que"], chunks.count(), k, {"content": 1.0})
+    index, names = standing_index(s)
+    top = index.bm25(["the", "idiot", "of", "que", "l1", "60"], k)
+    return names.join(top, "id").select(F.col("name").alias("id"), "score")
 
 
-@query(f"+ {TF} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, id LIMIT 50", "chunk_files")
+@query(f"+ {TF} SELECT id, round(score, 6) AS score FROM bm WHERE round(score, 9) >= (SELECT round(score, 9) FROM bm ORDER BY score DESC LIMIT 1 OFFSET 49)", "chunk_files")
 def x5_bm25(s):
-    return _bm25(s).withColumn("score", r6("score"))
+    """The best 50, and what ties with the last of them."""
+    top = saved(_bm25(s, 200), "top")
+    last = top.orderBy(F.desc("score")).limit(50).agg(F.min(F.round("score", 9))).first()[0]
+    return top.where(F.round("score", 9) >= last).withColumn("score", r6("score"))
 
 
 COS = (
@@ -591,6 +609,38 @@ def z1_debounce(s):
     return watch.debounce(e, "30 minutes").select("project", "events", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
+@query(
+    f"WITH p AS (SELECT p_partkey AS k, {path('p_partkey')} AS path FROM part) SELECT path, CASE WHEN k % 7 = 0 THEN 'removed' WHEN k % 5 = 0 THEN 'added' ELSE 'changed' END AS change FROM p "
+    "WHERE (k % 7 = 0 AND k % 5 <> 0) OR (k % 7 <> 0 AND (k % 5 = 0 OR k % 11 = 0 OR k % 13 = 0))"
+)
+def z1_listing_changes(s):
+    files = s.part.select(F.col("p_partkey").alias("k"), F.expr(path("p_partkey")).alias("path"), F.timestamp_seconds("p_size").alias("modified"), F.length("p_name").cast("long").alias("length"))
+    old = files.where("k % 5 <> 0")
+    new = files.where("k % 7 <> 0").withColumn("modified", F.when(F.col("k") % 11 == 0, F.current_timestamp()).otherwise(F.col("modified"))).withColumn("length", F.when(F.col("k") % 13 == 0, F.col("length") + 1).otherwise(F.col("length")))
+    found = watch.listing_changes(old.drop("k"), new.drop("k")).join(old.select("path", F.lit(True).alias("known")), "path", "left")
+    return found.select("path", F.when(F.col("gone"), "removed").when(F.col("known"), "changed").otherwise("added").alias("change"))
+
+
+@query(
+    f"+ {CHUNKS.replace('chunk_files', 'now')} SELECT file, name, lang, md5(content) AS hash FROM chunks".replace("+ ", "+ now AS (SELECT path, language, CASE WHEN d % 10 = 3 THEN 'changed' || chr(10) || content ELSE content END AS content FROM (SELECT *, CAST(regexp_extract(path, '[0-9]+') AS INTEGER) AS d FROM chunk_files) WHERE d % 10 <> 7), ", 1),
+    "chunk_files",
+)
+def z4_index_after_batches(s):
+    """Documents come in three batches; then every tenth is changed and every tenth removed."""
+    f = s.chunk_files.withColumn("d", F.regexp_extract("path", "[0-9]+", 0).cast("int"))
+    texts = f.select("path", "d", F.when(F.col("d") % 10 == 3, F.concat(F.lit("changed\n"), "content")).otherwise(F.col("content")).alias("content"), "language", F.col("content").alias("before"))
+    root = f"{shared_dir(s.spark)}/batches-{uuid.uuid4().hex}"
+    read = lambda column: lambda paths: texts.join(paths, "path", "left_semi").select("path", F.col(column).alias("content"))
+    none = lambda files: s.spark.createDataFrame([], "file string, name string, start_line int, end_line int")
+    change = lambda rows, kind: rows.select("path", F.lit(kind).alias("change"))
+    for n in range(3):
+        watch.reindex_batch(root, read("before"), none)(change(texts.where(F.col("d") % 3 == n), "added"), n)
+    later = change(texts.where("d % 10 = 3"), "changed").unionByName(change(texts.where("d % 10 = 7"), "removed"))
+    watch.reindex_batch(root, read("content"), none)(later, 3)
+    chunks = Index.open(s.spark, root).chunks.join(texts.select(F.col("path").alias("file"), "language"), "file")
+    return chunks.select("file", "name", F.col("language").alias("lang"), F.md5(F.col("content").cast("binary")).alias("hash"))
+
+
 @query(
     "WITH e AS (SELECT 'u' || (user_id % 50) AS project, event_type AS path, substr(props, 1, 7) AS hash, min(event_id) AS k FROM events GROUP BY user_id % 50, event_type, substr(props, 1, 7), ts), l AS (SELECT *, lag(hash) OVER (PARTITION BY project, path ORDER BY k) AS old FROM e) "
     "SELECT project, path, CASE WHEN old IS NULL THEN 'added' ELSE 'changed' END AS change, count(*) AS n FROM l WHERE old IS NULL OR old <> hash GROUP BY 1, 2, 3"

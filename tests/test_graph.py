@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 from datetime import datetime
 
@@ -141,3 +142,25 @@ def test_queries_pass_cycles_and_violations(spark):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(engine, "next_actions", lambda v, gaps, hot, todos, n, f=engine.next_actions: f(v, gaps, hot, todos, 99))
         assert {r.category for r in run("c9_next_action")} == {"rules_violation", "test_gap", "hotspot", "pinned_todo"}
+
+
+def test_depth_of_many_entries(spark):
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(220)]
+    pairs = {(rng.choice(names), rng.choice(names)) for _ in range(260)}
+    entries = set(rng.sample(names, 150))
+    after = defaultdict(set)
+    for a, b in pairs:
+        after[a].add(b)
+    want = dict.fromkeys(names, 0)
+    for e in entries:
+        at, todo = {e: 0}, [e]
+        for x in todo:
+            want[x] = max(want[x], at[x])
+            for y in after[x] - set(at):
+                at[y] = at[x] + 1
+                todo.append(y)
+    n = spark.createDataFrame([(x, "rust", 1, x in entries) for x in names], "id string, language string, loc int, is_entry_point boolean")
+    e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "`from` string, `to` string, line int")
+    for local in (0, None):
+        assert {r.id: r.depth_from_entry for r in graph.entry_depths(n, e, local).collect()} == want

@@ -315,3 +315,35 @@ def test_steps_are_discarded(spark, tmp_path):
     storage.discard(spark)
     assert not os.path.exists(path)
     storage.STEPS[:] = before
+
+
+def test_many_owner_rules(spark):
+    """5,000 rules: the owners of each of them tried in turn, by a plan that doesn't grow with them."""
+    rng = random.Random(4)
+    names = ["a", "b", "core", "x.rs", "y.test.js", "z.py", "Makefile", "web"]
+    shapes = ["/{}/", "{}/", "/{}/{}", "{}/{}", "*.{}", "/{}/*.rs", "{}/**", "/**/{}", "{}*", "/*.py", "[a-c]/{}", "{}/*", "*.{{js,py}}", "/{}/**/{}", "./{}"]
+    rows = [(i, rng.choice(shapes).format(rng.choice(names), rng.choice(names)), [f"@{i}"]) for i in range(5000)]
+    rows = [(i, p if rng.random() < 0.01 else f"/only/{i}/" if rng.random() < 0.5 else f"{p}{i}", o) for i, p, o in rows]
+    rows[0] = (0, "*", ["@all"])
+    paths_ = sorted({"/".join(rng.choice(names) for _ in range(rng.randrange(1, 5))) for _ in range(150)} | {"only/77/q.c", "./a/x.rs"})
+    files = spark.createDataFrame([(p,) for p in paths_], "path string")
+    own = spark.createDataFrame(rows, RELATIONS["owner_rules"])
+    found = history.owners_of(files, own)
+    patterns = [(re.compile(paths.owner_regex(p)), o) for _, p, o in rows]
+    want = {p: next((o for r, o in reversed(patterns) if r.search(re.sub(r"^(?:\./)+", "", p))), []) for p in paths_}
+    assert {r.path: r.owners for r in found.collect()} == want
+    assert len(set(map(tuple, want.values()))) > 10
+    size = lambda r: history.owners_of(files, r)._jdf.queryExecution().optimizedPlan().treeString().count("\n")
+    assert size(own) == size(own.limit(3))
+
+
+def test_many_modules_aliases_and_crates(spark):
+    n = 400
+    rows = [(f"m{i}/p/f{i}.go", "go", 1) for i in range(n)] + [(f"src{i}/u.ts", "typescript", 1) for i in range(n)] + [(f"c{i}/src/lib.rs", "rust", 1) for i in range(n)] + [("m1/deep/p/g.go", "go", 1), ("src3/index.ts", "typescript", 1)]
+    f = spark.createDataFrame(rows, "path string, language string, loc int")
+    raw_ = [("m0/p/f0.go", 1, 0, "host/m7/p", "import"), ("m0/p/f0.go", 2, 0, "host/m1/deep/p", "import"), ("m0/p/f0.go", 3, 0, "host/m1x/p", "import"), ("src0/u.ts", 1, 0, "@9/u", "import"),
+            ("src0/u.ts", 2, 0, "@3", "import"), ("src0/u.ts", 3, 0, "one", "import"), ("src0/u.ts", 4, 0, "one/more", "import"), ("c0/src/lib.rs", 1, 0, "crate-5::x", "use"), ("c0/src/lib.rs", 2, 0, "std::x", "use")]
+    edges = spark.createDataFrame(raw_, "`from` string, line int, k int, `to` string, kind string")
+    config = dict(aliases=[(f"@{i}/*", [f"./src{i}/*"]) for i in range(n)] + [("one", ["src1/u.ts"])], modules={f"host/m{i}": f"m{i}" for i in range(n)} | {"host/m1/deep": "m1/deep"}, crates={f"crate_{i}": f"c{i}/src" for i in range(n)})
+    got = {(r["from"], r["to"]) for r in resolve.build_graph(f, edges, **config)["edges"].collect()}
+    assert got == {("m0/p/f0.go", "m7/p/f7.go"), ("m0/p/f0.go", "m1/deep/p/g.go"), ("src0/u.ts", "src9/u.ts"), ("src0/u.ts", "src3/index.ts"), ("src0/u.ts", "src1/u.ts"), ("c0/src/lib.rs", "c5/src/lib.rs")}
