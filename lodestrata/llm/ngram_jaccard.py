@@ -321,16 +321,15 @@ def spanning_links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, in
     if m < 2:
         return []
     size = np.array([len(a) for a in sets], np.int64)
-    if m == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if q * both >= p * (int(size.sum()) - both) else []
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
+    flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
-    flat, by_token = flat[order], owner[order]
+    flat = flat[order]
+    by_token = np.repeat(np.arange(m, dtype=np.int32), size)[order]
     new = np.concatenate([[True], flat[1:] != flat[:-1]])
     start = np.append(np.flatnonzero(new), len(flat))
-    token = np.empty(len(flat), np.int64)
-    token[order] = np.cumsum(new) - 1
+    token = np.empty(len(flat), np.int32)
+    token[order] = np.cumsum(new, dtype=np.int32) - 1
+    del flat, order, new
     begin = np.concatenate([[0], np.cumsum(size)])
     shared = np.diff(start) > 1
     step = -(-len(shared) // FRAGMENTS)
