@@ -4,14 +4,19 @@ Markup is stripped: each block of a page becomes a line, with the place that it
 inside a menu, an advert and so on) and the share of its text that is link text. Lines that markup shows to be no content
 go. The text lengths of the others (none for a line of links) are summed over sliding windows of WINDOW lines; text
 surges where a window's sum reaches a threshold and dives where a window holds nothing, and the lines between are kept, from
-the first surge to the last dive but for windows that hold nothing. The distribution is taken over the lines of the page's articles, or of its main element if it has no
-article, where any text surges; over all lines otherwise. So a line of links goes where it is one of WINDOW or more in a
-row, or before the first or after the last text of a page without an article.
+the first surge to the last dive but for windows that hold nothing.
+
+What the page calls an article, or its main element if that has much of the text, is a weight in this: its lines weigh
+SURGE times their length, so any text surges there. A line elsewhere takes part if it is as long as such lines are in the
+middle, and SURGE characters at least; shorter ones are no text of this page. Pages that call nothing so weigh all lines
+alike. So a line of links goes where it is one of WINDOW or more in a row that no heading and no colon leads in, or before
+the first or after the last text of a page without an article.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -46,18 +51,45 @@ NO_CONTENT = re.compile(
     r"contentinfo|dialog|disclaimer|paywall|masthead)(?:$|[\s_\d-])",
     re.I,
 )
-#: Inside an article words that may name a part of it count only as a whole, or with what makes them lists of other pages.
-WEAK = re.compile(r"(?:^|[\s_-])(?:related|search|discussion|widget|skip|header|banner|alert|notification)(?:$|[\s_\d-])", re.I)
-LISTS = re.compile(r"(?:^|\s)(?:related|widget|alert|banner|notification|(?:related|search|widget)[_-]?(?:posts?|articles?|links?|stories|news|content|items|box|bar|form|area))(?:$|\s)", re.I)
+#: Inside an article such words count only as whole names, or beside a word for a box of them; others are what its text is about.
+BOXES = r"(?:bars?|box|boxes|lists?|links?|buttons?|icons?|widgets?|area|forms?|section|block|container|wrapper|wrap|panel|posts?|articles?|stories|items?|menu|nav|tools|threads?|counts?|feed|slot|unit|text|content|message|placeholder|news|grid|row|inner|outer|meta|entry|page|site|article|main|js|google|top|bottom|side|inline|sticky|floating|mobile|desktop|left|right|header|head|\d+)"
+WEAK = re.compile(r"^(?:related|search|discussion|skip|header|alert|notification|banner|widget|replies|responses)$", re.I)
+HERE = re.compile(r"^(?:related|widget|alert|banner|notification)$", re.I)
+#: Elements whose ids are places to link to, not names of what they hold.
+PLACES = frozenset("h1 h2 h3 h4 h5 h6 p section li dt dd blockquote pre figure table article details".split())
+ID = re.compile(r"""\bid\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+LED = re.compile(r"[:\uff1a]\s*$")
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner|topbar)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main)(?:[_-]?(?:body|content|text))?(?:$|[\s_-])", re.I)
 
 
+def names_of(name: str, rest: str) -> str:
+    """Classes, roles and, where it isn't a mere place, the id of an element."""
+    rest = ID.sub(" ", rest) if name in PLACES else rest
+    return " ".join(x for t in NAMES.findall(rest) for x in t if x)
+
+
+def no_part(names: str) -> bool:
+    """Whether names inside an article say that an element is no part of its text: a name that is such a word, or joins it
+    with words for boxes only."""
+    for token in names.split():
+        words = [x for x in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", token) if x]
+        noise = [x for x in words if NO_CONTENT.search(x)] or ([token] if NO_CONTENT.fullmatch(token) else [])
+        if not noise:
+            continue
+        if len(words) == 1:
+            if not WEAK.match(token) or HERE.match(token):
+                return True
+        elif all(x in noise or re.fullmatch(BOXES, x, re.I) for x in words):
+            return True
+    return False
+
+
 class _Line:
-    __slots__ = ("text", "linked", "drop", "article", "main")
+    __slots__ = ("text", "linked", "drop", "article", "main", "heading")
 
-    def __init__(self, text: str, linked: int, drop: bool, article: int, main: int):
-        self.text, self.linked, self.drop, self.article, self.main = text, linked, drop, article, main
+    def __init__(self, text: str, linked: int, drop: bool, article: int, main: int, heading: bool):
+        self.text, self.linked, self.drop, self.article, self.main, self.heading = text, linked, drop, article, main, heading
 
 
 def lines_of(html: str) -> list[_Line]:
@@ -66,25 +98,31 @@ def lines_of(html: str) -> list[_Line]:
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, int, int]] = []  # name, dropped, article, main
-    drop, article, main, counted, anchors = False, 0, 0, 0, 0
+    drop, article, main, counted = False, 0, 0, 0
+    open_: Counter[str] = Counter()  # elements on the stack, by name
+    anchors = headings = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                heading = article and any(x[0] in HEADINGS for x in stack)  # a title that is a link is no menu
-                lines.append(_Line(text, 0 if heading else linked, drop, article, main))
+                heading = bool(headings)
+                lines.append(_Line(text, 0 if heading and article else linked, drop, article, main, heading))  # a title that is a link is no menu
             parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal drop, article, main, anchors
-        if any(x[0] in BLOCKS for x in stack[to:]):
+        nonlocal drop, article, main, anchors, headings
+        gone = [x[0] for x in stack[to:]]
+        if any(x in BLOCKS for x in gone):
             flush()
         del stack[to:]
         drop, article, main = stack[-1][1:] if stack else (False, 0, 0)
-        anchors = sum(x[0] == "a" for x in stack)
+        for x in gone:
+            open_[x] -= 1
+            anchors -= x == "a"
+            headings -= x in HEADINGS
 
     at, end = 0, len(html)
     while at < end:
@@ -118,13 +156,13 @@ def lines_of(html: str) -> list[_Line]:
         if closing:
             if name == "br":
                 parts.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-            else:
-                if name in BLOCKS:
-                    flush()
+            if open_[name]:  # else the whole stack would be looked through in vain
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                pop(i)
+            elif name in BLOCKS:
+                flush()
             continue
         if name in RAW:
             if name == "title":
@@ -148,12 +186,12 @@ def lines_of(html: str) -> list[_Line]:
                 if stack[i][0] in BLOCKS and stack[i][0] != "p":
                     break
             flush()
-        names = " ".join(x for t in NAMES.findall(rest) for x in t if x) if rest else ""
+        names = names_of(name, rest) if rest else ""
         root = name in ("html", "body", "article", "main")
         drop = drop or name in DROPPED or bool(rest and HIDDEN.search(rest)) or name == "footer" or name == "header" and not article
         if names and not drop and name not in ("html", "body", "main"):
             if article:
-                drop = bool(LISTS.search(names) or NO_CONTENT.search(WEAK.sub(" ", names)))
+                drop = no_part(names)
             else:
                 drop = bool(NO_CONTENT.search(names)) or not root and bool(HEADER.search(names))
         if not drop:
@@ -162,8 +200,9 @@ def lines_of(html: str) -> list[_Line]:
                 article = counted
             if not main and (name == "main" or "main" in names.split() or "articleBody" in rest or name in ("div", "section") and names and CONTENT.search(names)):
                 main = counted
-        if name == "a":
-            anchors += 1
+        open_[name] += 1
+        anchors += name == "a"
+        headings += name in HEADINGS
         stack.append((name, drop, article, main))
     flush()
     return lines
@@ -191,28 +230,43 @@ def text_ranges(lengths: list[int], least: int) -> list[tuple[int, int]]:
 def main_text(html: str | None) -> str:
     """The page's main text: blocks joined by line feeds, empty if there is none."""
     lines = [x for x in lines_of(html or "") if not x.drop]
-    if any(x.article for x in lines):
-        return _kept([x for x in lines if x.article], 1, whole=True)
+    article = any(x.article for x in lines)
     size: dict[int, int] = {}
     for x in lines:
         if x.main:
             size[x.main] = size.get(x.main, 0) + len(x.text)
     best = max(size, key=lambda k: (size[k], -k), default=0)
-    if size and size[best] >= 0.4 * sum(len(x.text) for x in lines):
-        return _kept([x for x in lines if x.main == best], 1, whole=False)
-    return _kept(lines, SURGE, whole=False)
+    main = best if size and size[best] >= 0.4 * sum(len(x.text) for x in lines) else 0
+    inside = [bool(x.article) if article else x.main == main if main else False for x in lines]
+    return "\n".join(lines[i].text for i in kept(own_text(lines), inside, article))
+
+
+def own_text(lines: list[_Line]) -> list[int]:
+    """Each line's text that isn't links: none of a line of links, unless a heading or a colon leads its list in."""
+    out: list[int] = []
+    led = False
+    for i, x in enumerate(lines):
+        links = x.linked >= LINKED * len(x.text)
+        if not links:
+            led = bool(x.article and (x.heading and i and lines[i - 1].article == x.article or LED.search(x.text)))
+        out.append(len(x.text) if not links or led else 0)
+    return out
 
 
-def _kept(lines: list[_Line], least: int, whole: bool) -> str:
-    """The lines of all stretches; whole: those of links at both ends too, and all lines where no text surges."""
-    weight = [0 if x.linked >= LINKED * len(x.text) else len(x.text) for x in lines]
-    surged, found = text_ranges(weight, least), text_ranges(weight, 1)
+def kept(own: list[int], inside: list[bool], article: bool) -> list[int]:
+    """The places of the lines that are main text, by their lengths (own) and whether markup calls them so (inside)."""
+    marked = sorted(n for n, i in zip(own, inside) if i and n)
+    typical = max(SURGE, marked[len(marked) // 2]) if marked else 0
+    alike = not any(inside)
+    place = [k for k, n in enumerate(own) if inside[k] or alike or n >= typical and marked]
+    weight = [own[k] * (SURGE if inside[k] else 1) for k in place]
+    surged, found = text_ranges(weight, SURGE), text_ranges(weight, 1)
     if surged:  # from the first surge to the last dive
         found = [(max(a, surged[0][0]), b) for a, b in found if b > surged[0][0] and a < surged[-1][1]]
-    if whole:
-        return "\n".join(x.text for a, b in found or [(0, len(lines))] for x in lines[a:b])
+    if article:  # lines of links at both ends too, and all lines where no text surges
+        return [place[i] for a, b in found or [(0, len(place))] for i in range(a, b)]
     text = [i for a, b in found for i in range(a, b) if weight[i]]
-    return "\n".join(lines[i].text for a, b in found for i in range(a, b) if text[0] <= i <= text[-1]) if text else ""
+    return [place[i] for a, b in found for i in range(a, b) if text[0] <= i <= text[-1]] if text else []
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

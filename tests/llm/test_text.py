@@ -248,6 +248,59 @@ def test_pages_of_other_kinds():
     assert text(f"<article><p>{a * 2000}</p></article>") == (a * 2000).strip()
 
 
+@pytest.mark.parametrize(("part", "stays"), [
+    ('<h2 id="share">Share of trade</h2>', "Share of trade"), ('<div class="social-history">The social history</div>', "The social history"), ('<p id="comments">Of comments</p>', "Of comments"),
+    ('<section id="replies"><p>Replies to critics were many.</p></section>', "Replies to critics were many."), ("<h2>Sources</h2><ul><li><a href=x>One</a><li><a href=y>Two</a><li><a href=z>Three</a></ul>", "Sources\nOne\nTwo\nThree"),
+    ("<p>See also:</p><ul><li><a href=x>One</a><li><a href=y>Two</a><li><a href=z>Three</a></ul>", "See also:\nOne\nTwo\nThree"), ('<div class="ad-slot-1">No</div>', ""), ('<div class="shareButtons">No</div>', ""),
+    ('<div id="comments"><p>Reader</p></div>', ""), ('<div class="post-comments">No</div>', ""), ('<div class="newsletter">No</div>', ""), ('<section class="related-posts">No</section>', ""),
+])
+def test_names_inside_articles(part, stays):
+    want = ["T", "First one.", *stays.split("\n"), "Last."]
+    assert html_text.main_text(f"<article><h1>T</h1><p>First one.</p>{part}<p>Last.</p></article>").split("\n") == [x for x in want if x]
+
+
+def plain_kept(own, inside, article):
+    """The rule of a page line by line: which lines take part, what they weigh, and the stretches."""
+    marked = sorted(n for n, i in zip(own, inside) if i and n)
+    typical = max(html_text.SURGE, marked[len(marked) // 2]) if marked else None
+    part = [k for k in range(len(own)) if inside[k] or not any(inside) or typical and own[k] >= typical]
+    weight = [own[k] * html_text.SURGE if inside[k] else own[k] for k in part]
+    strong, any_ = plain_stretches(weight, html_text.SURGE), plain_stretches(weight, 1)
+    first = strong[0] if strong else 0
+    dives = [i for i in strong if i + 1 not in strong]
+    on = [i for i in any_ if i >= first and (not strong or i <= dives[-1])]
+    if not article:
+        texts = [i for i in on if weight[i]]
+        on = [i for i in on if texts and texts[0] <= i <= texts[-1]]
+    return {part[i] for i in on if weight[i]} or ({k for k in part if own[k]} if article else set())
+
+
+def test_distribution_of_whole_pages():
+    rng = random.Random(9)
+    differs = 0
+    for _ in range(3000):
+        n = rng.randrange(25)
+        own = [rng.choice([0, 0, 5, 30, 90, 400]) for _ in range(n)]
+        inside = [rng.random() < 0.5 for _ in range(n)] if rng.random() < 0.8 else [False] * n
+        article = any(inside) and rng.random() < 0.7
+        got = html_text.kept(own, inside, article)
+        assert got == sorted(set(got))
+        assert {k for k in got if own[k]} == plain_kept(own, inside, article)
+        assert not article or {k for k in range(n) if inside[k] and own[k]} <= set(got)  # no text of an article is lost
+        differs += article and {k for k in got if own[k]} != {k for k in range(n) if inside[k] and own[k]}
+    assert differs > 300  # markup alone doesn't decide
+
+
+def test_pages_of_any_depth():
+    for page in ("<div>{}x", "<div>{}x</span></p>", "<a href=x>{}y", "<h2>{}z"):
+        taken = []
+        for n in (3000, 24000):
+            began = time.perf_counter()
+            html_text.main_text(page.replace("{}", "") * n)
+            taken.append(time.perf_counter() - began)
+        assert taken[1] < 24 * taken[0] + 0.2
+
+
 def test_extraction(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "u", ""), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit("other"))
     got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect()]
