@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.metrics import page
+
 #: Lines of a bucket: a definition is joined by the buckets that it covers instead of with every reference of a document.
 BUCKET = 256
 CAP = 200
@@ -151,13 +153,16 @@ def trace(edges: DataFrame, symbol: str, direction: str = "both", hops: int = 3,
     return {"root": symbol, "nodes": [{"symbol": s, "depth": nodes[s]} for s in names], "edges": [r.asDict() for r in among], "truncated": cut or len(nodes) > cap}
 
 
-def symbol_360(occurrences: DataFrame, edges: DataFrame, symbol: str) -> dict:
+def symbol_360(occurrences: DataFrame, edges: DataFrame, symbol: str, cap: int = CAP) -> dict:
+    """Definitions, direct callers and direct callees, so many of each at most, with the numbers that there are."""
+    definitions = page(occurrences.where(F.col("is_def") & (F.col("symbol") == symbol)).select("doc", "start_line", "start_char"), cap, "doc", "start_line")
+    calling = page(callers(edges, symbol), cap, F.desc("sites"), "symbol")
+    called = page(callees(occurrences, symbol), cap, "symbol")
     return {
-        "definitions": [r.asDict() for r in occurrences.where(F.col("is_def") & (F.col("symbol") == symbol)).select("doc", "start_line", "start_char").orderBy("doc", "start_line").collect()],
-        "callers": [r.asDict() for r in callers(edges, symbol).collect()],
-        "callees": [r.symbol for r in callees(occurrences, symbol).collect()],
+        "definitions": definitions["rows"], "callers": calling["rows"], "callees": [r["symbol"] for r in called["rows"]],
+        "n_definitions": definitions["total_count"], "n_callers": calling["total_count"], "n_callees": called["total_count"],
         "occurrences": occurrences.where(F.col("symbol") == symbol).count(),
-    }
+    }
 
 
 def symbol_of_function(occurrences: DataFrame, symbols: DataFrame, file: str, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lodestrata.functions import paths, scores
 from lodestrata.functions.text import code_tokens, tokens
@@ -21,6 +22,7 @@ from lodestrata.schemas import RELATIONS
 from lodestrata.sources import configs, files as file_source, git, imports, scip, tools
 from lodestrata.storage import discard, exists, read_or_empty, replace_partition, replace_table, saved
 
+# Endings of suggested tests, budgets of a pack in tokens, its sections, and below the titles of next actions.
 SUFFIXES = ("_happy_path", "_handles_empty_input", "_returns_error_on_invalid_input")
 MIN_BUDGET, BUDGET, RESERVE = 500, 4000, 200
 FOCUS = ("hot", "untested", "recent_changes", "architecture")
@@ -40,6 +42,16 @@ def next_actions(violations: DataFrame | None, gaps: DataFrame, hot: DataFrame,
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc("score"), "k", "target").limit(limit).drop("k")
 
 
+#: Functions of a file that tests are suggested for.
+SUGGESTED = 8
+
+
+def first_functions(functions: DataFrame, n: int = SUGGESTED) -> DataFrame:
+    """The first n functions of each file."""
+    place = F.row_number().over(W.partitionBy("file").orderBy("start_line", "name"))
+    return functions.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
+
+
 def test_names(functions: DataFrame) -> DataFrame:
     """(file, test): three suggested tests for each function."""
     base = F.lower(F.regexp_replace("name", "^_+", ""))
@@ -176,10 +188,13 @@ class Engine:
         config = configs.load_toml(configs.read_text(self.spark, f"{self.store}/rules.toml"))
         return rules.evaluate(config, self.graph["edges"], self.functions, self.graph["nodes"], self.surface)
 
-    def architecture(self, depth: int = 2) -> str:
+    def architecture(self, depth: int = 2, top: int = 200) -> str:
+        """The modules of most files, and the edges among them."""
         nodes, edges = graph.module_graph(self.graph["nodes"], self.graph["edges"], depth)
-        rows = nodes.orderBy("module").collect()  # modules are few
+        shown = nodes.orderBy(F.desc("file_count"), "module").limit(top)
+        rows = shown.orderBy("module").collect()
         name = {r.module: r.id for r in rows}
+        edges = edges.join(shown.select(F.col("module").alias("source")), "source", "left_semi").join(shown.select(F.col("module").alias("target")), "target", "left_semi")
         return mermaid([(r.id, f"{r.module} ({r.file_count})") for r in rows], [(name[e.source], name[e.target], e.weight) for e in edges.orderBy("source", "target").collect()])
 
     def file_architecture(self, top: int = 60) -> str:
@@ -289,7 +304,7 @@ class Engine:
         folder, _, base = target.rpartition("/")
         stem, _, ext = base.rpartition(".")
         file = {"rust": f"{target}  (add `#[cfg(test)] mod tests {{ ... }}` in-file)", "go": f"{folder}/{stem}_test.go", "python": f"{folder}/test_{stem}.py"}.get(language, f"{folder}/{stem}.test.{ext}" if js and language in ("typescript", "javascript") else f"{folder}/{stem}_test.unknown")
-        first = self.functions.where(F.col("file") == target).orderBy("start_line").limit(8).collect()
+        first = first_functions(self.functions.where(F.col("file") == target)).orderBy("start_line", "name").collect()
         return {"language": language, "framework": framework, "file": file, "tests": [r["name"].lstrip("_").lower() + x for r in first for x in SUFFIXES]}
 
     def next_action(self, limit: int = 8) -> DataFrame:

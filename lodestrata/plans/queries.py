@@ -38,6 +38,7 @@ IS_TEST = (
     "(regexp_matches({c}, '(^|/)(tests|__tests__|spec)/') OR regexp_matches({c}, '(^|/)conftest[.]py$') OR regexp_matches({c}, '(^|/)test_[^/]*[.]py$') "
     "OR regexp_matches({c}, '([.](test|spec)[.](ts|tsx|js|jsx)|_test[.](rs|py|go))$'))"
 )
+TESTMAP = f"tm AS (SELECT DISTINCT \"to\" AS source, \"from\" AS test FROM edges WHERE {IS_TEST.format(c=chr(34) + 'from' + chr(34))} AND NOT {IS_TEST.format(c=chr(34) + 'to' + chr(34))})"
 EXEMPT = "regexp_matches({c}, '^(lib|main)[.]rs$|/(lib|main|mod)[.]rs$|/__init__[.]py$|/src/bin/|(^|/)(tests|benches|examples)/|[.](test|spec)[.](ts|tsx|js|jsx)$|_test[.]go$')"
 PARSED = "('typescript', 'javascript', 'rust', 'python', 'go')"
 
@@ -89,12 +90,11 @@ def j3_hotspots(s):
     return history.hotspots(history.file_stats(s.commits, AS_OF), metrics.file_metrics(s.functions)).drop("last_edited", "last_author").withColumn("score", r6("score"))
 
 
-@query("+ " + HOT + ", h AS (SELECT path FROM hot ORDER BY score DESC, churn DESC, path LIMIT 40) SELECT path, commits_in_window, path IN (SELECT path FROM h) AS is_hotspot FROM stats WHERE commits_in_window > 0 AND path LIKE 'part/%' ORDER BY commits_in_window DESC, path LIMIT 50", "commits", "functions")
+@query("+ " + HOT + f", {TESTMAP}, h AS (SELECT path FROM hot ORDER BY score DESC, churn DESC, path LIMIT 40) SELECT path, commits_in_window, path IN (SELECT path FROM h) AS is_hotspot, path IN (SELECT source FROM tm) AS has_tests FROM stats WHERE commits_in_window > 0 AND path LIKE 'part/%' ORDER BY commits_in_window DESC, path LIMIT 50", "commits", "functions", "edges")
 def c8_recent_changes(s):
     st = history.file_stats(s.commits, AS_OF)
     hot = history.hotspots(st, metrics.file_metrics(s.functions))
-    none = s.files.limit(0).select(F.col("path").alias("source"))
-    return history.recent_changes(st, hot, none, "part/").select("path", "commits_in_window", "is_hotspot")
+    return history.recent_changes(st, hot, testmap.mappings(s.edges), "part/").select("path", "commits_in_window", "is_hotspot", "has_tests")
 
 
 @query("SELECT file, name, start_line, cyclomatic, cognitive FROM functions WHERE cyclomatic >= 40 ORDER BY cognitive DESC, file, start_line, name LIMIT 200", "functions")
@@ -245,8 +245,6 @@ def j12_in_function(s):
 
 # --- tests, rules, owners
 
-TESTMAP = f"tm AS (SELECT DISTINCT \"to\" AS source, \"from\" AS test FROM edges WHERE {IS_TEST.format(c=chr(34) + 'from' + chr(34))} AND NOT {IS_TEST.format(c=chr(34) + 'to' + chr(34))})"
-
 
 @query(f"+ {TESTMAP} SELECT source, string_agg(test, ',' ORDER BY test) AS tests FROM tm GROUP BY source", "edges")
 def a18_test_map(s):
@@ -346,11 +344,11 @@ def c9_next_action(s):
     return next_actions(violations.orderBy("rule", "file", "line", "summary"), gaps, hot, todos, 8).select("category", "target", r6("score").alias("score"))
 
 
-@query("SELECT file, lower(ltrim(name, '_')) || x AS test FROM (SELECT DISTINCT file, name FROM functions WHERE cyclomatic = 50), (VALUES ('_happy_path'), ('_handles_empty_input'), ('_returns_error_on_invalid_input')) t(x)", "functions")
+@query("SELECT file, lower(ltrim(name, '_')) || x AS test FROM (SELECT file, name FROM functions QUALIFY row_number() OVER (PARTITION BY file ORDER BY start_line, name) <= 8), (VALUES ('_happy_path'), ('_handles_empty_input'), ('_returns_error_on_invalid_input')) t(x)", "functions")
 def c10_suggested_tests(s):
-    from lodestrata.plans.engine import test_names
+    from lodestrata.plans.engine import first_functions, test_names
 
-    return test_names(s.functions.where("cyclomatic = 50").select("file", "name").distinct())
+    return test_names(first_functions(s.functions))
 
 
 # --- symbols
@@ -562,9 +560,9 @@ def u2_scan_delta(s):
 
 # --- fleet
 
-@query("SELECT app, kind, name, file FROM surface WHERE name ILIKE '%RING%' AND kind LIKE 'P%' ORDER BY kind, app, file, line, name LIMIT 100", "surface")
+@query("SELECT app, kind, name, file FROM surface WHERE name ILIKE '%RING%' ORDER BY kind, app, file, line, name LIMIT 100", "surface")
 def p10_find_surface(s):
-    return fleet.find_surface(s.surface.where("kind LIKE 'P%'"), "RING", None, 100).select("app", "kind", "name", "file")
+    return fleet.find_surface(s.surface, "RING", None, 100).select("app", "kind", "name", "file")
 
 
 @query("SELECT DISTINCT 'a' AS side, kind, name, method FROM surface x WHERE app = 'app0' AND NOT EXISTS (SELECT 1 FROM surface y WHERE y.app = 'app24' AND y.kind = x.kind AND y.name = x.name AND y.method = x.method) UNION ALL SELECT DISTINCT 'b', kind, name, method FROM surface x WHERE app = 'app24' AND NOT EXISTS (SELECT 1 FROM surface y WHERE y.app = 'app0' AND y.kind = x.kind AND y.name = x.name AND y.method = x.method)", "surface")

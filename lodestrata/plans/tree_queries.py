@@ -194,12 +194,17 @@ def x14_recall_best(s):
     return found.select(F.lit(mode).alias("mode"), "id")
 
 
-@query("SELECT id, round(1.0 / (60 + r), 9) AS score, r AS bm25_rank, lang FROM (SELECT doc_id AS id, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents) WHERE r < 50 AND lang = 'en' ORDER BY r LIMIT 10")
+@query(
+    f"WITH {COS}, b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents), v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM dn WHERE score IS NOT NULL), "
+    "f AS (SELECT coalesce(b.id, v.id) AS id, coalesce(1.0 / (60 + b.r), 0) + coalesce(1.0 / (60 + v.r), 0) AS score, b.r AS bm25_rank, v.r AS dense_rank FROM (FROM b WHERE r < 50) b FULL JOIN (FROM v WHERE r < 50) v ON b.id = v.id) "
+    "SELECT id, round(score, 9) AS score, bm25_rank, dense_rank, lang FROM f JOIN documents ON doc_id = id WHERE lang = 'en' ORDER BY f.score DESC, id LIMIT 20"
+)
 def t17_search_hits(s):
     hits = s.documents.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    near = search.dense(s.embeddings, s.embeddings.where("vec_id = 0").first().embedding, 50, "vec_id")
     chunks = s.documents.select(F.col("doc_id").alias("id"), F.lit("f").alias("file"), "lang", F.lit("window").alias("kind"), F.lit("n").alias("name"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("text").alias("content"))
-    found = search.hydrate(search.fuse(hits, hits.limit(0)), chunks, 10, "en", "window")
-    return found.select("id", F.round("score", 9).alias("score"), "bm25_rank", "lang")
+    found = search.hydrate(search.fuse(hits, near), chunks, 20, "en", "window")
+    return found.select("id", F.round("score", 9).alias("score"), "bm25_rank", "dense_rank", "lang")
 
 
 # --- storage
@@ -273,7 +278,7 @@ def q5_trace(s):
 def q6_symbol_360(s):
     calls, _ = _calls(s)
     x = symbols.symbol_360(s.occurrences, calls, "part 7")
-    return s.spark.createDataFrame([(len(x["definitions"]), x["occurrences"], len(x["callers"]))], "definitions long, occurrences long, callers long")
+    return s.spark.createDataFrame([(x["n_definitions"], x["occurrences"], x["n_callers"])], "definitions long, occurrences long, callers long")
 
 
 @query(

@@ -14,7 +14,7 @@ from lodestrata.operators.search import lines_of
 from lodestrata.schemas import RELATIONS
 from lodestrata.sources import parse
 
-# Fixed pattern.
+# Fixed value: the pattern of a mark.
 MARKER = r"(?i)\b(TODO|FIXME|HACK|XXX|NOTE)\b[:\s]*(.*)$"
 
 
