@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.paths import is_entry_point, normalize, parent
+from lodestrata.functions.paths import is_entry_point, normalize, parent, prefixes
 from lodestrata.operators.metrics import degrees
 
 # Extensions in the order in which they are tried.
@@ -28,12 +28,6 @@ def _joined(base: Column, rest: Column) -> Column:
     return normalize(F.concat_ws("/", F.when(base != "", base), rest))
 
 
-def prefixes(path: Column) -> Column:
-    """A path and all folders that it lies in."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-
-
 ROOTS = "lang string, prefix string, place int, whole boolean, base string"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import subprocess
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,23 +11,16 @@ from pyspark.sql import functions as F
 from lodestrata.functions.paths import has_parser, language
 from lodestrata.operators.search import lines_of
 from lodestrata.schemas import RELATIONS
-from lodestrata.sources import parse
+from lodestrata.sources import ignore, parse
+from lodestrata.storage import saved
 
 # Fixed value: the pattern of a mark.
 MARKER = r"(?i)\b(TODO|FIXME|HACK|XXX|NOTE)\b[:\s]*(.*)$"
 
 
-def ignored_by_git(root: str) -> list[str] | None:
-    """Paths that git lists as tracked or not ignored; None where root is no repository."""
-    try:
-        out = subprocess.run(["git", "-C", root, "ls-files", "-co", "--exclude-standard", "-z"], capture_output=True, check=True, timeout=120)
-    except (OSError, subprocess.SubprocessError):
-        return None
-    return [p for p in out.stdout.decode(errors="replace").split("\0") if p]
-
-
-def read_tree(spark: SparkSession, root: str, respect_git: bool = True) -> DataFrame:
-    """(path, language, content, bytes, modified) of the files of known languages below root, without hidden ones."""
+def read_tree(spark: SparkSession, root: str, respect_ignores: bool = True) -> DataFrame:
+    """(path, language, content, bytes, modified) of the files of known languages below root, without hidden ones and those
+    that ignore files pass over."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
     at = F.instr("path", base.split("://")[-1]) + len(base.split("://")[-1])
@@ -36,9 +28,9 @@ def read_tree(spark: SparkSession, root: str, respect_git: bool = True) -> DataF
         F.expr("url_decode(replace(path, '+', '%2B'))").alias("path"), F.col("content").alias("_raw"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")
     ).withColumn("path", F.substring("path", at, F.length("path")))
     out = out.where(~F.exists(F.split("path", "/"), lambda p: p.startswith("."))).withColumn("language", language(F.col("path"))).where("language IS NOT NULL")
-    listed = ignored_by_git(root) if respect_git else None
-    if listed is not None:
-        out = out.join(spark.createDataFrame([(p,) for p in listed], "path string"), "path", "left_semi")
+    rules = ignore.rules_below(spark, root) if respect_ignores else []
+    if rules:
+        out = out.join(saved(ignore.ignored(out.select("path"), rules), "ignored"), "path", "left_anti")
     return out.select("path", "language", F.decode("_raw", "UTF-8").alias("content"), "bytes", "modified")
 
 

@@ -407,3 +407,31 @@ def test_python_with_errors():
     whole = BROKEN[: BROKEN.index("    def bad")] + "    def z(self):\n        pass\n"
     assert parse.functions("python", whole)[:2] == parse.functions("python", whole + "\nx = = 1\n")[:2]  # hashes too
     assert [r[0] for r in parse.functions("python", "x = = 1\n" + "def f():\n  y = = 1\n  def g(): pass\n" * 50)] == ["f", "g"] * 50
+
+
+RULES = {
+    ".gitignore": "# comment\n*.log\n/build/\nnode_modules/\n!keep.log\ndocs/*.md\n**/gen/**\n\\#odd.py\ntemp \nfoo?.ts\n[ab].go\nsrc/deep/**/x.rs\n/only.py\ndir/\n",
+    "src/.gitignore": "*.py\n!main.py\n/local/\n!*.log\n",
+    "src/deep/.gitignore": "main.py\n",
+}
+PATHS = [
+    "a.py", "only.py", "src/only.py", "x.log.rs", "build/a.rs", "src/build/a.rs", "lib/node_modules/m/i.js", "docs/a.md", "docs/b/c.md", "x/gen/y.rs", "gen/z.rs", "gen.rs", "#odd.py", "temp/a.rs", "foo1.ts",
+    "foo12.ts", "a.go", "c.go", "src/a.go", "src/deep/x.rs", "src/deep/p/q/x.rs", "src/x.py", "src/main.py", "src/deep/main.py", "src/local/a.rs", "local/a.rs", "dir.rs", "x/dir/y.rs", "src/t/u/main.py", "keep.log.md",
+]
+
+
+def test_ignore_files(spark, tmp_path):
+    for p in PATHS:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x\n")
+    for p, text in RULES.items():
+        (tmp_path / p).write_text(text)
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], capture_output=True, check=True).stdout.decode()
+    run("init", "-q")
+    (tmp_path / ".git/info/exclude").write_text("c.go\n")
+    want = {p for p in run("ls-files", "-o", "--exclude-standard", "-z").split("\0") if p and not p.rsplit("/")[-1].startswith(".")}
+    assert {r.path for r in files.read_tree(spark, str(tmp_path)).select("path").collect()} == want
+    assert 10 < len(want) < len(PATHS)
+    assert {r.path for r in files.read_tree(spark, str(tmp_path), respect_ignores=False).select("path").collect()} == set(PATHS)
+    (tmp_path / "src/.ignore").write_text("!x.py\nmain.py\n")  # stronger than the others
+    assert {r.path for r in files.read_tree(spark, str(tmp_path)).select("path").collect()} == want - {"src/main.py", "src/t/u/main.py"} | {"src/x.py"}
