@@ -448,6 +448,23 @@ def test_order_equals_plain_search(spark):
         assert [(r.turn, r.depth) for r in own] == plain_order(messages)
 
 
+def test_long_chains_take_few_rounds(spark):
+    """An agent's run of 1,000 calls, each after the result before it, in turns that say otherwise; and a ring of as many."""
+    n = 1000
+    call = lambda i, on: ("assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": "f", "arguments": {}, "depends_on": on}]}))
+    result = lambda i: ("tool", json.dumps({"tool_call_id": f"c{i}", "content": 1}))
+    rows = [(1, 2 * (n - i), *call(i, [f"c{i - 1}"] if i else [])) for i in range(n)] + [(1, 2 * (n - i) + 1, *result(i)) for i in range(n)]
+    rows += [(2, 2 * i, *call(i, [f"c{(i - 1) % n}"])) for i in range(n)] + [(2, 2 * i + 1, *result(i)) for i in range(n)] + [(2, 2 * n, *call("x", ["c5"]))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    got = chat.format_chat(df).collect()
+    assert time.perf_counter() - began < 60  # a round for each message took about an hour
+    chain = sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)
+    assert [r.depth for r in chain] == list(range(2 * n))
+    assert [r.turn for r in chain] == [2 * (n - i) + k for i in range(n) for k in (0, 1)]
+    assert [(r.turn, r.depth) for r in sorted((r for r in got if r.conv_id == 2), key=lambda r: r.position)] == [(t, 0) for t in range(2 * n + 1)]
+
+
 def test_pipeline(spark, tmp_path, docs, labelled):
     rows, labels = labelled
     item = " ".join(f"q{i}" for i in range(12))
