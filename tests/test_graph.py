@@ -5,7 +5,9 @@ from datetime import datetime
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from lodestrata import storage
 from lodestrata.operators import graph, metrics
 from lodestrata.schemas import RELATIONS
 
@@ -164,3 +166,19 @@ def test_depth_of_many_entries(spark):
     e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "`from` string, `to` string, line int")
     for local in (0, None):
         assert {r.id: r.depth_from_entry for r in graph.entry_depths(n, e, local).collect()} == want
+
+
+def test_rings_and_chains_of_any_length(spark):
+    """A ring of 100,000 nodes, one with chords, tails into and out of it: rounds in the logarithm of their lengths."""
+    n = 100_000
+    ring = spark.range(n).selectExpr("concat('r', id) AS a", f"concat('r', (id + 1) % {n}) AS b")
+    other = spark.range(3000).selectExpr("concat('s', id) AS a", "concat('s', (id + 1) % 3000) AS b")
+    chords = spark.createDataFrame([("s10", "s500"), ("s900", "s20"), ("s77", "t0"), ("u1999", "s5"), ("x", "y"), ("y", "x"), ("y", "z1"), ("z1", "z2"), ("z2", "y"), ("z2", "w")], "a string, b string")
+    tails = spark.range(1999).selectExpr("concat('t', id) AS a", "concat('t', id + 1) AS b").union(spark.range(1999).selectExpr("concat('u', id) AS a", "concat('u', id + 1) AS b"))
+    before = len(storage.STEPS)
+    got = graph.strong_components(ring.union(other).union(chords).union(tails), 0)
+    sizes = {r[0]: r[1] for r in got.groupBy(F.substring("component", 1, 1), "component").count().groupBy("substring(component, 1, 1)").agg(F.sum("count")).collect()}
+    assert got.groupBy("component").count().count() == 3
+    assert got.count() == got.select("id").distinct().count() == n + 3000 + 4
+    assert sizes["r"] == n
+    assert len(storage.STEPS) - before < 80
