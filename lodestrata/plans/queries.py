@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from datetime import datetime
 from zlib import crc32
@@ -13,10 +14,10 @@ from pyspark.sql.window import Window as W
 from lodestrata.functions import paths, scores
 from lodestrata.functions.text import simple_tokens
 from lodestrata.operators import fleet, graph, history, metrics, rules, search, state, symbols, testmap
-from lodestrata.operators.segments import Index
+from lodestrata.operators.segments import STORED, Index
 from lodestrata.plans.proxies import lang, path
 from lodestrata.plans.registry import ORACLE, QUERIES, query  # noqa: F401
-from lodestrata.sources.files import surface_counts
+from lodestrata.sources.files import surface_counts, surface_of
 from lodestrata.storage import saved, shared_dir
 from lodestrata.streaming import watch
 
@@ -473,6 +474,43 @@ def x5_bm25(s):
     return top.where(F.round("score", 9) >= last).withColumn("score", r6("score"))
 
 
+@query(
+    f"+ {TF}, q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(left(text, 4096)), '[a-z0-9_]+')) AS term FROM documents WHERE doc_id = 5), h AS (SELECT *, count(*) OVER (PARTITION BY field, term) AS df FROM tf WHERE term IN (FROM q)), "
+    "s AS (SELECT split_part(id, ':', 1) AS file, round(sum(CASE field WHEN 'name' THEN 2 ELSE 1 END * ln(1 + ((SELECT n FROM k) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 12) AS score FROM h JOIN ln USING (id, field) JOIN av USING (field) GROUP BY id) "
+    "SELECT DISTINCT file, round(score, 6) AS score FROM s WHERE file <> 'doc/5.md' AND round(score, 9) >= (SELECT round(score, 9) FROM s WHERE file <> 'doc/5.md' ORDER BY score DESC LIMIT 1 OFFSET 9)", "chunk_files")
+def x10_similar_files(s):
+    """Files whose chunks are most like a file, itself left out: the best 10, and what ties with the last of them."""
+    index, names = standing_index(s)
+    text = s.chunk_files.where("path = 'doc/5.md'").first().content
+    terms = sorted(set(re.findall("[a-z0-9_]+", search.beginning(text).lower())))
+    top = saved(names.join(index.bm25(terms, 200), "id").select(F.split_part("name", F.lit(":"), F.lit(1)).alias("file"), "score").where("file <> 'doc/5.md'"), "top")
+    last = top.orderBy(F.desc("score")).limit(10).agg(F.min(F.round("score", 9))).first()[0]
+    return top.where(F.round("score", 9) >= last).select("file", r6("score").alias("score")).distinct()
+
+
+@query(f"+ {CHUNKS} SELECT lang, count(*) AS chunks, count(DISTINCT file) AS files, sum(len(regexp_extract_all(lower(content), '[a-z0-9_]+'))) AS terms FROM chunks GROUP BY lang", "chunk_files")
+def k6_index_status(s):
+    """What the standing index holds, by language."""
+    index, _ = standing_index(s)
+    live = index._live(index._all("chunks", STORED))
+    return live.groupBy("lang").agg(F.count("*").alias("chunks"), F.count_distinct("file").alias("files"), F.sum("content_len").alias("terms"))
+
+
+@query(
+    "SELECT 'r' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.js' ELSE '.py' END AS file, 'http_route' AS kind, '/parts/' || p_partkey || '/' || n AS name, CAST(n + 1 AS INTEGER) AS line, CASE n WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'DELETE' END AS method "
+    "FROM part, range(3) t(n) WHERE n <= p_size % 3"
+)
+def y3_http_routes(s):
+    k = F.col("p_partkey")
+    route = lambda i: F.concat(F.lit("/parts/"), k.cast("string"), F.lit(f"/{i}"))
+    forms = lambda i, m: F.when(k % 3 == 0, F.concat(F.lit('    app.route("'), route(i), F.lit(f'", {m}(list))'))).when(k % 3 == 1, F.concat(F.lit(f"router.{m}('"), route(i), F.lit("', list);"))).otherwise(F.concat(F.lit(f'@app.{m}("'), route(i), F.lit('")')))
+    lines = F.slice(F.array(*[forms(i, m) for i, m in enumerate(("get", "post", "delete"))]), F.lit(1), F.col("p_size") % 3 + 1)
+    lang = F.when(k % 3 == 0, "rust").when(k % 3 == 1, "javascript").otherwise("python")
+    name = F.concat(F.lit("r"), k.cast("string"), F.when(k % 3 == 0, ".rs").when(k % 3 == 1, ".js").otherwise(".py"))
+    texts = s.part.select(name.alias("path"), lang.alias("language"), F.array_join(lines, "\n").alias("content"))
+    return surface_of(texts).where("kind = 'http_route'").select("file", "kind", "name", "line", "method")
+
+
 COS = (
     "q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id = 0), "
     "dn AS (SELECT vec_id AS id, list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), (SELECT e FROM q)) / (sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_dot_product((SELECT e FROM q), (SELECT e FROM q)))) AS score FROM embeddings)"
