@@ -14,9 +14,11 @@ BEFORE = ".before"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of our own only where it names none."""
+    """The folder that the session names in spark.checkpoint.dir; one of our own only in local mode, where it names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         root = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lodestrata-")
         shared_dir.own = root
     return root.rstrip("/")
