@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where the session names none."""
+    """The shared folder that the cluster names; one of our own only in local mode, where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         root = getattr(work_dir, "own", None) or tempfile.mkdtemp(prefix="lodestrata-")
         work_dir.own = root
     return root.rstrip("/")
