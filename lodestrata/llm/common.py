@@ -75,14 +75,19 @@ def ship(spark: SparkSession) -> None:
     sc._lodestrata_shipped = True
 
 
+#: Edges of a task that writes a round.
+EDGES = 50_000
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected edges: (node, component), component the smallest node that is reachable.
 
-    Large-star and small-star steps in turn; each round is written to the shared folder. Nodes of no edge (or only of a
-    loop) aren't returned. Degrees may be as skewed as they like: minima combine before the shuffle and the joins
-    can be split.
+    Large-star and small-star steps in turn; each round is written to the shared folder, in as many files as its edges
+    need (EDGES each at least). Nodes of no edge (or only of a loop) aren't returned. Degrees may be as skewed as they like: minima
+    combine before the shuffle and the joins can be split.
     """
     e = save(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "edges")
+    most = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = F.xxhash64("hi", "lo").cast("decimal(38,0)")
     state = lambda x: x.agg(F.count("*"), F.sum(h)).first()
     mark = state(e)
@@ -92,7 +97,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        new = save(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        new = small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
+        new = save(new.coalesce(min(most, 1 + mark[0] // EDGES)), "edges")  # a round has no more edges than the one before
         now = state(new)
         release(e)
         e = new

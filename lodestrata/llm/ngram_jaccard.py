@@ -463,10 +463,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Rows without a doc_id all stay.
     """
     groups = save(ngram_jaccard_join(docs, words, percent), "groups")
-    gone = save(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     tidy(docs.sparkSession)
     stay = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    twice = save(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    twice = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
     if twice.isEmpty():
         return stay
     own = stay["doc_id"].cast("long") == twice["_twice"]
