@@ -463,7 +463,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Rows without a doc_id all stay.
     """
     groups = save(ngram_jaccard_join(docs, words, percent), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    # Written without a shuffle: Spark knows its size, and deals no texts out if it is small.
+    gone = save(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
     tidy(docs.sparkSession)
     stay = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     twice = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))

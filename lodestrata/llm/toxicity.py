@@ -357,7 +357,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all columns; rows without a doc_id stay."""
-    bad = score_toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad"))  # of written features
+    # Written without a shuffle: Spark knows its size, and deals no texts out if it is small.
+    bad = save(score_toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")), "toxic")
     return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
 
 
