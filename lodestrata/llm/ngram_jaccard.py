@@ -8,8 +8,10 @@ compared fragment by fragment: partial overlaps are counted separately and summe
 Stages: (A) each text to (size, hash of its set): equal sets are one node from here on. (B) Where fragments
 are short, only sets that share enough of their n-grams with any other set go on: n-grams are dealt out by ranges of the
 order, uses are counted in each range separately and summed per set. Then fragment keys, dealt out by key; nodes of one key are tied to the first of them (a star, not pairs). Each task first ties the nodes that it sees
-itself, so a key that a third of all rows share reaches the shuffle once a task. (C) families, cut in blocks of bounded
-size; a task compares two blocks and returns a spanning forest of the links that it found.
+itself, so a key that a third of all rows share reaches the shuffle once a task. (C) Families of several blocks, which
+chance ties make the larger the more texts there are, are split first: of each set the parities of its n-grams by hash are
+compared, two bits for an n-gram; they differ in no more places than the sets do, so pairs that differ in too many can't be
+similar. (D) families, cut in blocks of bounded size; a task compares two blocks and returns a spanning forest of the links that it found.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from lodestrata.llm.words import BLANKS, lean, mix, slices, text_shingles
 RATIO = 1.3
 #: Documents and n-grams of a block at most (one document may have more).
 BLOCK_DOCS, BLOCK_NGRAMS = 2048, 1_000_000
+#: The same for blocks whose parities are compared.
+SKETCH_DOCS, SKETCH_NGRAMS = 4096, 16_000_000
 #: Vertical fragments that a family's n-grams are cut into when overlaps are counted.
 FRAGMENTS = 4
 #: N-grams that a fragment holds at least on average where candidates need no other proof than one fragment.
@@ -298,6 +302,73 @@ def _token_rows(words: int, bits: np.ndarray):
     return run
 
 
+def sketch(a: np.ndarray, scheme: int) -> np.ndarray:
+    """Parities of the n-grams by hash, at least two bits for each n-gram of a set of the scheme, as words."""
+    bits = 64
+    while bits < 2 * BOUNDS[scheme]:
+        bits *= 2
+    slot = mix(a ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)
+    odd = (np.bincount(slot.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
+def _sketch_rows(words: int, p: int, q: int, bits: np.ndarray):
+    """(node, scheme, sketch) of texts, each once a task."""
+    def run(batches):
+        seen = set()
+        for b in slices(_passing(batches, bits)):
+            found = []
+            for a in text_shingles(b.column("text"), BLANKS, words):
+                if len(a) and (node := int(set_hash(a).view(np.int64))) not in seen:
+                    seen.add(node)
+                    found += [(node, g, sketch(a, g).tobytes()) for g in schemes(len(a), p, q)]
+            node, scheme, data = zip(*found) if found else ((), (), ())
+            yield pa.record_batch({"node": pa.array(node, pa.int64()), "scheme": pa.array(scheme, pa.int32()), "sketch": pa.array(data, pa.binary())})
+    return run
+
+
+def near_links(sketches: np.ndarray, size: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
+    """Links (pairs of positions) that span the components of all pairs whose parities allow that they are similar."""
+    m = len(size)
+    group, links = np.arange(m), []
+    for i in range(m - 1):
+        rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        if not len(rest):
+            continue
+        differ = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        both = size[rest] + size[i]
+        near = rest[(p + q) * (both - differ) >= 2 * p * both]
+        for g in np.unique(group[near]).tolist():
+            links.append((i, int(near[group[near] == g][0])))
+        group[np.isin(group, group[near])] = group[i]
+    return links
+
+
+def _sketch_links(p: int, q: int):
+    """Rows come sorted by (family, i, j): pairs of such a group's sets that may be similar, as far as they span all."""
+    def links(at, rows):
+        if len(rows) < 2:
+            return []
+        found = near_links(np.stack([np.frombuffer(s, np.uint64) for _, _, s in rows]), np.array([n for _, n, _ in rows], np.int64), p, q)
+        return [(at[0], rows[i][0], rows[j][0]) for i, j in found]
+
+    def batch(found):
+        return pa.record_batch({c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate(("family", "a", "b"))})
+
+    def run(batches):
+        at, rows = None, []
+        for b in batches:
+            out = []
+            for key, row in zip(zip(*(b.column(c).to_pylist() for c in ("family", "i", "j"))), zip(*(b.column(c).to_pylist() for c in ("node", "n", "sketch")))):
+                if key != at:
+                    out += links(at, rows)
+                    at, rows = key, []
+                rows.append(row)
+            yield batch(out)
+        yield batch(links(at, rows))
+    return run
+
+
 def _slots(column: str):
     """The filter's words and bits, as numpy's."""
     def run(batches):
@@ -429,18 +500,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     named = ties.select("node", "scheme").unionByName(ties.select(F.col("first").alias("node"), "scheme")).distinct()
     member = save(
         named.withColumn("u", F.xxhash64("node", "scheme")).join(family.withColumnRenamed("node", "u"), "u")
-        .select("node", F.col("component").alias("family")).join(reps, "node"),
+        .select("node", "scheme", F.col("component").alias("family")).join(reps, "node"),
         "members",
     )
-    size = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("ngrams"))
-    blocks = size.where("docs > 1").select("family", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("ngrams") / BLOCK_NGRAMS)).alias("s"))
-    dealt = (
-        member.join(blocks, "family")
-        .withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), "s"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-        .select("node", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    tokens = texts.mapInArrow(lean(_token_rows(words, _filter(member))), "node long, tokens binary")
+    split = _split(texts, member, words, p, q)
+    dealt = _dealt(split, BLOCK_DOCS, BLOCK_NGRAMS).select("node", "family", "i", "j")
+    tokens = texts.mapInArrow(lean(_token_rows(words, _filter(split))), "node long, tokens binary")
     links = save(
         dealt.join(tokens, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(lean(_block_links(p, q)), "a long, b long"),
         "links",
@@ -449,7 +514,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     found = components(links, "a", "b").withColumnRenamed("component", "c")
     least = reps.join(found, "node", "left").groupBy(F.coalesce("c", "node").alias("c")).agg(F.min("doc_id").alias("component_id"))
     label = reps.select("node").join(found, "node", "left").select("node", F.coalesce("c", "node").alias("c")).join(least, "c").select("node", "component_id")
-    release(ties, member, links)
+    release(ties, member, split, links)
     return (
         rows.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
         .join(label, "node", "left")
@@ -474,6 +539,41 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     return stay.join(twice, own, "left_anti").unionByName(stay.join(twice, own, "left_semi").dropDuplicates(["doc_id"]))
 
 
+def _blocks(member: DataFrame, docs: int, ngrams: int) -> DataFrame:
+    """(family, s): the blocks that each family of several sets is cut into."""
+    size = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("ngrams"))
+    return size.where("docs > 1").select("family", F.greatest(F.ceil(F.col("docs") / docs), F.ceil(F.col("ngrams") / ngrams)).alias("s"))
+
+
+def _dealt(member: DataFrame, docs: int, ngrams: int) -> DataFrame:
+    """member with i and j: a row for each two blocks of its family that it is compared in."""
+    return (
+        member.join(_blocks(member, docs, ngrams), "family")
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), "s"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
+        .select(*member.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    )
+
+
+def _split(texts: DataFrame, member: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """member (node, scheme, family, doc_id, n) with families of several blocks split into the sets that parities tie: a
+    set's n-grams are sent once for each block of its family, so a family has to stay small."""
+    large = save(member.join(_blocks(member, BLOCK_DOCS, BLOCK_NGRAMS).where("s > 1"), "family", "left_semi"), "large")
+    if large.isEmpty():
+        return member
+    sketches = texts.mapInArrow(lean(_sketch_rows(words, p, q, _filter(large))), "node long, scheme int, sketch binary")
+    dealt = _dealt(large.select("node", "scheme", "family", "n"), SKETCH_DOCS, SKETCH_NGRAMS).join(sketches, ["node", "scheme"])
+    dealt = dealt.select("family", "i", "j", "node", "n", "sketch").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    near = save(dealt.mapInArrow(lean(_sketch_links(p, q)), "family long, a long, b long"), "parities")
+    tidy(texts.sparkSession)
+    found = components(near.select(F.xxhash64("family", "a").alias("u"), F.xxhash64("family", "b").alias("v")), "u", "v")
+    parts = large.withColumn("u", F.xxhash64("family", "node")).join(found.withColumnRenamed("node", "u"), "u").select("node", "scheme", F.col("component").alias("family"), "doc_id", "n")
+    rest = member.join(large.select("family").distinct(), "family", "left_anti").select("node", "scheme", "family", "doc_id", "n")
+    split = save(rest.unionByName(parts), "split")
+    release(large, near)
+    return split
+
+
 def _near_sets(texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """(node): sets that share p / q of their n-grams at least with others, whichever these are."""
     spark = texts.sparkSession

@@ -193,3 +193,39 @@ def test_families_of_several_blocks(docs, monkeypatch):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(docs(*rows), 3, 80).collect()}
         assert got == brute(rows, 3, 80)
     assert 1 < len({c for _, c in got.values()}) < len(rows)
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_families_of_several_blocks_are_split_without_losing_a_link(docs, monkeypatch, n, percent):
+    """Texts that share a passage tie by chance; a set is sent once for each block of its family, so these have to stay small."""
+    rng = random.Random(n)
+    shared = " ".join(f"p{i}" for i in range(60))
+    texts = [shared + " " + " ".join(f"u{k}_{i}" for i in range(rng.randrange(5, 30))) for k in range(60)]
+    for size in (40, 150):
+        texts += family(rng, [f"b{size}_{rng.randrange(300)}" for _ in range(size)], 30, max(2, size // 12))
+    rows = list(enumerate(texts))
+    for name, value in (("BLOCK_DOCS", 4), ("SKETCH_DOCS", 25)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    sent = {}
+    old = ngram_jaccard._dealt
+
+    def dealt(member, most, ngrams):
+        sent[most] = old(member, 4, ngrams).count()
+        return old(member, most, ngrams)
+
+    monkeypatch.setattr(ngram_jaccard, "_dealt", dealt)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(docs(*rows), n, percent).collect()}
+    assert got == brute(rows, n, percent)
+    assert sent[4] < sent[25]  # all rows of families against those of large ones as they were before
+
+
+def test_parities_let_similar_sets_pass_and_part_others():
+    rng = np.random.default_rng(1)
+    for size in (3, 50, 700, 4000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in (0, size // 30, size // 12, size // 2)] + [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))]
+        g = max(ngram_jaccard.schemes(size, 80, 100))
+        found = ngram_jaccard.near_links(np.stack([ngram_jaccard.sketch(a, g) for a in sets]), np.array([len(a) for a in sets]), 80, 100)
+        assert {frozenset(x) for x in found} >= {frozenset((0, 1)), frozenset((0, 2))}
+        if size >= 50:
+            assert not {i for x in found for i in x} & {3, 4}
