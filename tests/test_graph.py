@@ -182,3 +182,11 @@ def test_rings_and_chains_of_any_length(spark):
     assert got.count() == got.select("id").distinct().count() == n + 3000 + 4
     assert sizes["r"] == n
     assert len(storage.STEPS) - before < 80
+
+
+@pytest.mark.parametrize("local", [None, 0])
+def test_entry_depths_end_at_so_many_steps(spark, local):
+    n = [f"n{i:02}" for i in range(40)]
+    e = edges(spark, [*zip(n, n[1:]), ("x", n[35])])
+    found = {r.id: r.depth_from_entry for r in graph.entry_depths(nodes(spark, [*n, "x"], (n[0], "x")), e, local, most=30).collect()}
+    assert found[n[30]] == 30 and found[n[34]] == 0 and found[n[36]] == 2
