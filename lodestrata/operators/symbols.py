@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.metrics import page
+from lodestrata.storage import saved
 
 #: Lines of a bucket: a definition is joined by the buckets that it covers instead of with every reference of a document.
 BUCKET = 256
@@ -126,6 +127,30 @@ def walk(edges: DataFrame, symbol: str, backwards: bool, depth: int = 3, cap: in
     return {"root": symbol, "nodes": nodes, "truncated": truncated}
 
 
+def reach(edges: DataFrame, roots: DataFrame, backwards: bool, depth: int = 3) -> DataFrame:
+    """(symbol, depth) of all that call edges reach from roots (symbol) in so many steps, the roots with 0: the walk without
+    a cap, in rounds of joins."""
+    near, far = ("callee", "caller") if backwards else ("caller", "callee")
+    steps = edges.select(F.col(near).alias("symbol"), F.col(far).alias("to"))
+    found = front = saved(roots.select("symbol", F.lit(0).alias("depth")).distinct(), "reach")
+    for d in range(1, depth + 1):
+        step = steps.join(front.select("symbol"), "symbol", "left_semi").select(F.col("to").alias("symbol"), F.lit(d).alias("depth")).distinct()
+        front = saved(step.join(found, "symbol", "left_anti"), "reach")
+        found = found.unionByName(front)
+    return found
+
+
+def defining(occurrences: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc): the documents that define any of the symbols."""
+    return occurrences.where("is_def").join(names.select("symbol"), "symbol", "left_semi").select("doc").distinct()
+
+
+def among(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """The call edges between any two of the symbols."""
+    ends = names.select("symbol").distinct()
+    return edges.join(ends.withColumnRenamed("symbol", "caller"), "caller", "left_semi").join(ends.withColumnRenamed("symbol", "callee"), "callee", "left_semi").select("caller", "callee", "sites")
+
+
 def impact(edges: DataFrame, occurrences: DataFrame, symbol: str, depth: int = 3, cap: int = CAP) -> dict:
     """Transitive callers, and the documents that define them."""
     out = walk(edges, symbol, True, depth, cap)

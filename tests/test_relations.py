@@ -347,3 +347,15 @@ def test_many_modules_aliases_and_crates(spark):
     config = dict(aliases=[(f"@{i}/*", [f"./src{i}/*"]) for i in range(n)] + [("one", ["src1/u.ts"])], modules={f"host/m{i}": f"m{i}" for i in range(n)} | {"host/m1/deep": "m1/deep"}, crates={f"crate_{i}": f"c{i}/src" for i in range(n)})
     got = {(r["from"], r["to"]) for r in resolve.build_graph(f, edges, **config)["edges"].collect()}
     assert got == {("m0/p/f0.go", "m7/p/f7.go"), ("m0/p/f0.go", "m1/deep/p/g.go"), ("src0/u.ts", "src9/u.ts"), ("src0/u.ts", "src3/index.ts"), ("src0/u.ts", "src1/u.ts"), ("c0/src/lib.rs", "c5/src/lib.rs")}
+
+
+def test_reach_has_no_cap(spark):
+    """More callers than a walk shows: all are found, with the documents that define them and the edges among them."""
+    calls = spark.createDataFrame([(f"c{i:03}", "hub", 1) for i in range(300)] + [("top", "c299", 2), ("hub", "hub", 1), ("hub", "c000", 1)], "caller string, callee string, sites long")
+    roots = spark.createDataFrame([("hub",)], "symbol string")
+    found = {r.symbol: r.depth for r in symbols.reach(calls, roots, True, 2).collect()}
+    assert found == {"hub": 0, "top": 2} | {f"c{i:03}": 1 for i in range(300)}
+    assert len(symbols.walk(calls, "hub", True, 2)["nodes"]) == 200
+    occ = spark.createDataFrame([(f"d{i % 250}", f"c{i:03}", True) for i in range(300)] + [("e", "c001", False)], "doc string, symbol string, is_def boolean")
+    assert symbols.defining(occ, symbols.reach(calls, roots, True, 1)).count() == 250
+    assert symbols.among(calls, symbols.reach(calls, roots, True, 1)).count() == 302
