@@ -269,8 +269,8 @@ def _calls(s) -> tuple[DataFrame, str | None]:
 )
 def q5_trace(s):
     calls, root = _calls(s)
-    found = symbols.trace(calls, root, "both", 2)["edges"] if root else []
-    return s.spark.createDataFrame([(e["caller"], e["callee"], e["sites"]) for e in found], "caller string, callee string, sites long")
+    roots = s.spark.createDataFrame([(root,)] if root else [], "symbol string")
+    return symbols.among(calls, symbols.reach(calls, roots, True, 2).unionByName(symbols.reach(calls, roots, False, 2)))
 
 
 @query(
