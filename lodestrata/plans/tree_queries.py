@@ -288,8 +288,8 @@ def q6_symbol_360(s):
 )
 def u4_impact_files(s):
     calls, root = _calls(s)
-    found = symbols.impact(calls, s.occurrences, root, 3)["files"] if root else []
-    return s.spark.createDataFrame([(d,) for d in found], "doc string")
+    roots = s.spark.createDataFrame([(root,)] if root else [], "symbol string")
+    return symbols.defining(s.occurrences, symbols.reach(calls, roots, True, 3).where("depth > 0"))
 
 
 INFO = "p_brand AS symbol, p_type AS display_name, p_size % 3 AS kind, p_partkey % 2 = 0 AS external"
