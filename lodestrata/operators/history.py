@@ -50,8 +50,9 @@ def owners_of(paths: DataFrame, rules: DataFrame) -> DataFrame:
     rows = [(r.ordinal, owner_key(r.pattern), owner_regex(r.pattern), r.owners) for r in rules.collect()]  # the lines of a file
     keyed = rules.sparkSession.createDataFrame(rows, "ordinal int, key string, pattern string, owners array<string>")
     each = paths.select("path").distinct().withColumn("p", F.regexp_replace("path", r"^(?:\./)+", "")).select("path", "p", F.explode(owner_keys(F.col("p"))).alias("key"))
-    hit = each.join(keyed, "key").where(F.expr("p RLIKE pattern")).groupBy("path").agg(F.max_by("owners", "ordinal").alias("owners"))
-    return paths.select("path").join(hit, "path", "left").select("path", F.coalesce("owners", F.expr("CAST(array() AS array<string>)")).alias("owners"))
+    hit = each.join(F.broadcast(keyed), "key").where(F.expr("p RLIKE pattern")).groupBy("path").agg(F.max_by("owners", "ordinal").alias("owners"))
+    # A row for each path: it is never sent whole to the driver, as it would be for a broadcast if it looks small.
+    return paths.select("path").join(hit.hint("merge"), "path", "left").select("path", F.coalesce("owners", F.expr("CAST(array() AS array<string>)")).alias("owners"))
 
 
 def recent_changes(stats: DataFrame, hot: DataFrame, tested: DataFrame, prefix: str | None = None, limit: int = 50) -> DataFrame:

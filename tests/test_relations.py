@@ -359,3 +359,13 @@ def test_reach_has_no_cap(spark):
     occ = spark.createDataFrame([(f"d{i % 250}", f"c{i:03}", True) for i in range(300)] + [("e", "c001", False)], "doc string, symbol string, is_def boolean")
     assert symbols.defining(occ, symbols.reach(calls, roots, True, 1)).count() == 250
     assert symbols.among(calls, symbols.reach(calls, roots, True, 1)).count() == 302
+
+
+def test_owners_of_many_paths_stay_off_the_driver(spark, tmp_path):
+    """Paths look small to Spark, rules don't: it sent the keys of all paths to the driver."""
+    spark.range(1000).selectExpr("concat('web/p', id, '.py') AS path").write.parquet(str(tmp_path / "paths"))
+    rules = spark.createDataFrame([(0, "*", ["@all"]), (1, "/web/", ["@web"])], "ordinal int, pattern string, owners array<string>")
+    found = history.owners_of(spark.read.parquet(str(tmp_path / "paths")), rules)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "BuildRight" in plan and "SortMergeJoin" in plan
+    assert {tuple(r.owners) for r in found.collect()} == {("@web",)}
