@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from lodestrata.functions.scores import content_hash, snippet
 from lodestrata.functions.text import code_tokens, tokens
-from lodestrata.storage import remove, upsert
+from lodestrata.storage import remove, saved, upsert
 
 LINES, STEP = 60, 50
 K1, B, NAME_BOOST, RRF, CANDIDATES = 1.2, 0.75, 2.0, 60, 50
@@ -159,7 +159,8 @@ def similar(chunks: DataFrame, index: DataFrame, file: str, content: str, limit:
 def changed_files(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files whose content isn't the one known by (path, hash), paths that are gone)."""
     now = files.withColumn("hash", content_hash(F.col("content")))
-    return now.join(known.select("path", "hash"), ["path", "hash"], "left_anti"), known.select("path").join(now.select("path"), "path", "left_anti")
+    new = saved(now.select("path", "hash").join(known.select("path", "hash"), ["path", "hash"], "left_anti"), "new")  # texts stay where they are
+    return now.join(new, ["path", "hash"], "left_semi"), known.select("path").join(now.select("path"), "path", "left_anti")
 
 
 def reindex(chunks: DataFrame, files: DataFrame, functions: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
