@@ -190,3 +190,18 @@ def test_entry_depths_end_at_so_many_steps(spark, local):
     e = edges(spark, [*zip(n, n[1:]), ("x", n[35])])
     found = {r.id: r.depth_from_entry for r in graph.entry_depths(nodes(spark, [*n, "x"], (n[0], "x")), e, local, most=30).collect()}
     assert found[n[30]] == 30 and found[n[34]] == 0 and found[n[36]] == 2
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    """What a round joins looks small, but each broadcast of each round goes through the driver."""
+    plans, old = [], graph.saved
+
+    def saved(df, name="step"):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return old(df, name)
+
+    monkeypatch.setattr(graph, "saved", saved)
+    n = [f"n{i}" for i in range(8)]
+    pairs = spark.createDataFrame([*zip(n, [*n[1:], n[0]]), ("n0", "n4"), ("n5", "n1"), ("n6", "x"), ("n2", "n7")], "a string, b string")
+    assert graph.strong_components(pairs, 0).where("component is not null").count() == 8
+    assert plans and not any("Broadcast" in p for p in plans)
