@@ -251,7 +251,6 @@ def test_live_pins_of_all_users(spark):
 
 
 def test_file_summaries_of_all_documents(spark):
-    from lodestrata.plans.proxies import Source
     from lodestrata.plans.queries import QUERIES
 
     rows = Source(spark, "/root/testdata/sf0.001").occurrences.select("doc", "symbol", "is_def").collect()
@@ -369,3 +368,13 @@ def test_owners_of_many_paths_stay_off_the_driver(spark, tmp_path):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") == 1 and "BuildRight" in plan and "SortMergeJoin" in plan
     assert {tuple(r.owners) for r in found.collect()} == {("@web",)}
+
+
+def test_a_similar_file_is_asked_for_by_characters(spark, tmp_path):
+    """The query's SQL takes 4096 characters of a text, not bytes."""
+    from lodestrata.plans.queries import QUERIES
+
+    rows = [(i, "web", "fr", 9, "needle" if i < 3 else "hay") for i in range(5)] + [(5, "web", "fr", 9, "é " * 1500 + "needle")]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["x10_similar_files"](spark, str(tmp_path)).collect()
+    assert {r.file for r in found} == {"doc/0.md", "doc/1.md", "doc/2.md"} and len(found) == 3
