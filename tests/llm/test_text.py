@@ -488,3 +488,22 @@ def test_pipeline(spark, tmp_path, docs, labelled):
     assert {r.doc_id for r in final} == set(seen["secret_scans"])
     clean = {i for i, t in labels[:200] if not t}
     assert clean <= set(seen["toxicity"])
+
+
+def test_the_query_checks_calls(spark, tmp_path):
+    """Against a conversation's own list of tools, or what calls of one name agree on."""
+    calls = lambda *cs: json.dumps({"tool_calls": [{"id": f"c{i}", "name": n, "arguments": a} for i, (n, a) in enumerate(cs)]})
+    find = {"name": "find", "parameters": {"type": "object", "properties": {"q": {"type": "string"}, "k": {"type": "integer"}, "any": {}}, "required": ["q"]}}
+    rows = [
+        (1, 0, "system", json.dumps({"tools": [find, {"type": "function", "function": {"name": "now"}}, {"name": "find"}]})),
+        (1, 1, "assistant", calls(("find", {"q": "a", "any": [1]}), ("now", {}))),
+        (1, 2, "assistant", calls(("find", {"k": 1}), ("find", {"q": 1}), ("find", {"q": "a", "z": 1}), ("now", {"x": 1}), ("add", {"x": 1, "y": 2}), ("find", {"q": "b"}))),
+        *[(c, 0, "assistant", calls(("add", {"x": c, "y": 0.5}))) for c in range(2, 32)],
+        (40, 0, "assistant", calls(("add", {"x": "one", "y": 2}), ("add", {"x": 1}), ("add", {"x": 1, "y": 2, "z": 3}), ("say", {"b": 1}))),
+        (None, 0, "system", json.dumps({"tools": []})), (None, 1, "assistant", calls(("say", {}))),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): (r.n_calls, r.n_invalid) for r in chat.op1_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got[1, 0] == (0, 0) and got[1, 1] == (2, 0) and got[1, 2] == (6, 5)
+    assert {got[c, 0] for c in range(2, 32)} == {(1, 0)}
+    assert got[40, 0] == (4, 3) and got[None, 1] == (1, 1)
