@@ -205,3 +205,24 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     pairs = spark.createDataFrame([*zip(n, [*n[1:], n[0]]), ("n0", "n4"), ("n5", "n1"), ("n6", "x"), ("n2", "n7")], "a string, b string")
     assert graph.strong_components(pairs, 0).where("component is not null").count() == 8
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_weak_components_end_in_a_task_each(spark, monkeypatch):
+    """Rings in parts of at most `local` edges need no colouring, whatever their number; a larger part has it."""
+    import random
+
+    rng, pairs = random.Random(3), []
+    for part in range(12):
+        n = 30 if part else 90
+        pairs += [(part * 1000 + rng.randrange(n), part * 1000 + rng.randrange(n)) for _ in range(2 * n)]
+    pairs = sorted({(a, b) for a, b in pairs if a != b})
+    want = sorted(tuple(x) for x in graph._strong(pairs))
+    got = graph.find_cycles(spark.createDataFrame([(a, b, 1) for a, b in pairs], "`from` long, `to` long, line int"), 100)
+    assert sorted(tuple(r.nodes) for r in got.collect()) == want and len(want) >= 12
+    names = []
+    saved = graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, name="step", **o: names.append((name, df.columns)) or saved(df, name, **o))
+    small = spark.createDataFrame([p for p in pairs if p[0] >= 1000], "a long, b long")
+    got = graph.strong_components(small, 100).groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("nodes"))
+    assert sorted(tuple(r.nodes) for r in got.collect()) == [w for w in want if w[0] >= 1000]
+    assert not any("c" in columns for _, columns in names)  # no colours
