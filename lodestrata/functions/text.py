@@ -14,12 +14,18 @@ RUN = re.compile(r"\w+")
 BREAK = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[^\W\d_])(?=[0-9])|(?<=[0-9])(?=[^\W\d_])")
 
 
+def _pieces(run: str) -> list[str]:
+    """Of a run of several: its pieces."""
+    return [p for part in run.split("_") if part for p in BREAK.split(part) if len(p) != len(run)]
+
+
 def code_tokens(text: str, stemmed: bool = False) -> list[str]:
-    out = []
-    for run in RUN.findall(text or ""):
-        pieces = [p for part in run.split("_") if part for p in BREAK.split(part)]
-        out += [run, *[p for p in pieces if len(p) != len(run)]]
-    out = [t.lower() for t in out]
+    out = RUN.findall(text or "")
+    several = {r: _pieces(r) for r in set(out) if not (r.isalpha() and r.islower())}  # words of small letters are most, and never several
+    several = {r: p for r, p in several.items() if p}
+    if several:
+        out = [t for r in out for t in (r, *several.get(r, ()))]
+    out = "\0".join(out).lower().split("\0") if out else []  # stands in no run, and words end there
     return [stem(t) for t in out] if stemmed else out
 
 

@@ -15,7 +15,7 @@ from lodestrata.functions.paths import is_watched, language
 from lodestrata.functions.scores import content_hash
 from lodestrata.operators import search
 from lodestrata.operators.segments import Index
-from lodestrata.storage import saved
+from lodestrata.storage import forget, saved
 
 EVENTS = "project string, path string, hash string, ts timestamp"
 
@@ -124,10 +124,15 @@ def reindex_batch(root: str, read: Callable[[DataFrame], DataFrame], functions_o
     """A foreachBatch function that keeps the index below root up to date: each batch is one commit. read gives (path,
     content) of those of the paths that are there. A batch that runs again changes nothing."""
     def run(batch: DataFrame, number: int) -> None:
+        index = Index.open(batch.sparkSession, root)
+        if index.batch is not None and number <= index.batch:
+            return
         paths = batch.where("change <> 'removed'").select("path").distinct()
-        files = read(paths).withColumn("language", language(F.col("path")))
+        there = saved(read(paths), "read", compression="zstd")  # chunks and hashes are of one reading
+        files = there.withColumn("language", language(F.col("path")))
         chunks = search.numbered(search.chunk_files(files, functions_of(files)))
-        Index.open(batch.sparkSession, root).commit(chunks, files.select("path", content_hash(F.col("content"), 16).alias("hash")), batch.select("path").distinct(), embed, number)
+        index.commit(chunks, files.select("path", content_hash(F.col("content"), 16).alias("hash")), batch.select("path").distinct(), embed, number)
+        forget(there)
 
     return run
 
