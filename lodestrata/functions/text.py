@@ -38,6 +38,16 @@ def tokens(content: Column, stemmed: bool = False) -> Column:
     return run(content)
 
 
+def joined_tokens(content: Column, by: str) -> Column:
+    """struct<n long, terms string>: what tokens() finds as one string, so no object is made for each on the way; null where there are none."""
+    @F.pandas_udf("n long, terms string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        found = [code_tokens(t) for t in s]
+        return pd.DataFrame({"n": [len(x) for x in found], "terms": [by.join(x) if x else None for x in found]})
+
+    return run(content)
+
+
 def simple_tokens(content: Column) -> Column:
     """Runs of ASCII letters, digits and _ in lower case, in the JVM: what SQL engines can express alike."""
     return F.regexp_extract_all(F.lower(content), F.lit(r"([a-z0-9_]+)"), F.lit(1))
